@@ -118,29 +118,64 @@ def words_of(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop shuffle files of finished rounds: it follows the collection of dead plan objects."""
+    import gc
+
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+#: Bits of Sieve's map: 4 MB whatever the corpus. When it fills up, it lets more rows through, never fewer.
+SIEVE_BITS = 1 << 25
+
+
+class Sieve:
+    """A fixed-size bitmap of ids (two hashes each) that thins out a scan before an exact join."""
+
+    def __init__(self, ids: DataFrame, column: str):
+        at = F.explode(F.array(*[F.pmod(F.xxhash64(F.col(column).cast("long"), F.lit(i)), F.lit(SIEVE_BITS)) for i in (0, 1)]))
+        words = ids.select(at.alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 AS int))")).alias("b"))
+        got = words.toArrow()  # SIEVE_BITS / 64 rows at most
+        bits = np.zeros(SIEVE_BITS // 64, dtype=np.int64)
+        bits[got.column("w").to_numpy()] = got.column("b").to_numpy()
+        self.bits = ids.sparkSession.sparkContext.broadcast(bits)
+
+    @staticmethod
+    def places(column: str) -> list:
+        """Columns of the two positions, computed where the rows are scanned."""
+        return [F.pmod(F.xxhash64(F.col(column).cast("long"), F.lit(i)), F.lit(SIEVE_BITS)).alias(f"_p{i}") for i in (0, 1)]
+
+    @staticmethod
+    def passes(bits: np.ndarray, *places: np.ndarray) -> np.ndarray:
+        ok = np.ones(len(places[0]), dtype=bool)
+        for p in places:
+            ok &= (bits[p >> 6] >> (p & 63)) & 1 == 1
+        return ok
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, label) for every node of undirected ``edges`` (a, b): label is the least node it reaches.
 
     Alternating large-star and small-star rounds: O(log n) of them, each a grouped minimum (partial sums on the map
-    side) and a join whose large keys AQE can split. The edges are rewritten each round, never collected.
+    side) and a join whose large keys AQE can split. The edges are rewritten each round, never collected. It ends when
+    each node has one edge, and that to a node without one.
     """
-    e = cut(edges.where("a != b").select(F.least("a", "b").alias("v"), F.greatest("a", "b").alias("u")).distinct())
-    before = None
+    spark = edges.sparkSession
+    e = cut(edges.where("a <> b").select(F.least("a", "b").alias("v"), F.greatest("a", "b").alias("u")))
     for _ in range(rounds):
         both = e.union(e.select(F.col("u").alias("v"), F.col("v").alias("u")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("m"), F.explode(F.array("u", "v")).alias("u"))
-        nxt = cut(small.where("u != m").select(F.col("m").alias("v"), "u").distinct())
-        now = nxt.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        small = large.join(low, "u").select("m", F.explode(F.array("u", "v")).alias("u"))
+        nxt = cut(small.where("u <> m").select(F.col("m").alias("v"), "u").distinct())
         drop(e)
         e = nxt
-        if now == before:
+        release(spark)
+        roles = e.select(F.col("u").alias("x"), F.lit(1).alias("d")).union(e.select("v", F.lit(0)).distinct())
+        if roles.groupBy("x").agg(F.sum("d").alias("d"), F.min("d").alias("head")).where("d > 1 or (d = 1 and head = 0)").isEmpty():
             break
-        before = now
     else:
         raise RuntimeError(f"components did not converge in {rounds} rounds")
-    star = e.groupBy("u").agg(F.min("v").alias("label"))
-    heads = e.select(F.col("v").alias("u")).distinct().join(star.select("u"), "u", "left_anti").select("u", F.col("u").alias("label"))
-    return star.union(heads).select(F.col("u").alias("node"), "label")
+    return e.select(F.col("u").alias("node"), F.col("v").alias("label")).union(e.select("v", "v").distinct())

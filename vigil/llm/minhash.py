@@ -27,7 +27,7 @@ from . import common as C
 ROWS, BANDS = 8, 48
 #: Fields of the packed bin key: the bin comes from the high bits of the hash, the value from the rest.
 _BINS = ROWS * BANDS
-#: Orders that elect hubs in the second round; later rounds take more, and the first that links nothing is the last.
+#: Orders that elect hubs in a round; each round takes others, and the first that links nothing is the last.
 HUBS = 12
 ROUNDS = 40
 
@@ -94,16 +94,20 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "n", "k", "bands"])
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    table = C.WordHashes()
-    for b in batches:
-        keys, sets = [], []
-        for t in C.text_bytes(b.column(0)):
-            s = C.shingles(table.of(C.words_of(t)))
-            if len(s):
-                keys.append(_set_key(s)[0])
-                sets.append(s.tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sets, pa.binary())], ["k", "s"])
+def _sets(bits):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = C.WordHashes()
+        for b in batches:
+            b = b.filter(pa.array(C.Sieve.passes(bits.value, b.column(1).to_numpy(), b.column(2).to_numpy()), pa.bool_()))
+            keys, sets = [], []
+            for t in C.text_bytes(b.column(0)):
+                s = C.shingles(table.of(C.words_of(t)))
+                if len(s):
+                    keys.append(_set_key(s)[0])
+                    sets.append(s.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sets, pa.binary())], ["k", "s"])
+
+    return run
 
 
 def _verify(percent: int):
@@ -122,55 +126,81 @@ def _verify(percent: int):
     return check
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """(a, b, ok) for ``pairs`` of node keys, decided on the full sets. Only texts that occur in a pair are hashed."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct()
-    ids = ids.join(nodes.select("k", "rep"), "k").select(F.col("rep").alias("doc_id")).distinct()
-    sets = docs.join(ids, "doc_id", "left_semi").select("text").mapInArrow(_sets, "k long, s binary")
-    sets = C.cut(sets.groupBy("k").agg(F.first("s").alias("s")))
+def _candidate_sets(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """(k, s): the full shingle set of every node that shares a bucket; the scan is thinned out before the join."""
+    nodes = C.cut(members.select("k", "rep").distinct())
+    sieve = C.Sieve(nodes, "rep")
+    sets = docs.select("text", *C.Sieve.places("doc_id")).mapInArrow(_sets(sieve.bits), "k long, s binary")
+    return C.cut(sets.join(nodes.select("k"), "k", "left_semi").groupBy("k").agg(F.first("s").alias("s")))
+
+
+def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b, ok) for ``pairs`` (member a, hub b), decided on the full sets."""
     both = pairs.join(sets.select(F.col("k").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("k").alias("b"), F.col("s").alias("sb")), "b")
-    out = C.cut(both.select("a", "b", "sa", "sb").mapInArrow(_verify(percent), "a long, b long, ok boolean"))
-    C.drop(sets)
-    return out
+    return C.cut(both.select("a", "b", "sa", "sb").mapInArrow(_verify(percent), "a long, b long, ok boolean"))
+
+
+def _stars(members: DataFrame, orders: list, percent: int) -> DataFrame:
+    """Distinct candidate pairs (a, b): in each bucket, the first member by each order with all others.
+
+    Buckets whose members carry one label have nothing left to decide.
+    """
+    hubs = members.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.array(*[F.min(F.struct(o.alias("o"), "k", "n", "label")) for o in orders]).alias("hubs"))
+    hubs = hubs.where("lo <> hi").select("h", F.explode(F.array_distinct(F.transform("hubs", lambda x: F.struct(x.k.alias("k"), x.n.alias("n"), x.label.alias("label"))))).alias("hub"))
+    near = f"label <> hub.label and 100 * least(n, hub.n) >= {percent} * greatest(n, hub.n)"
+    return members.join(hubs, "h").where(near).select(F.least("k", "hub.k").alias("a"), F.greatest("k", "hub.k").alias("b")).distinct()
 
 
 def near_duplicates(documents: DataFrame, percent: int = 85) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept. Links need 100 * |A and B| >= percent * |A or B|."""
+    spark = documents.sparkSession
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sig = C.cut(docs.mapInArrow(_signatures, "doc_id long, n long, k long, bands array<long>"))
     nodes = C.cut(sig.where("n > 0 and doc_id is not null").groupBy("k").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")))
-    members = nodes.select("k", "n", F.explode("bands").alias("h"))
-    shared = members.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
-    members = C.cut(members.join(shared, "h"))
-
-    comp = members.select("k").distinct().select(F.col("k").alias("node"), F.col("k").alias("label"))
-    links = tried = None
+    of_doc = C.cut(sig.select("doc_id", "n", "k"))
+    C.drop(sig)
+    rows = nodes.select(F.explode("bands").alias("h"), "k")
+    members = rows.join(rows.groupBy("h").agg(F.count("*").alias("c")).where("c > 1"), "h")
+    members = C.cut(members)
+    small = C.cut(nodes.select("k", "rep", "n"))
+    C.drop(nodes)
+    # the member that shares most buckets with most others is likely what the others were copied from: the first hub
+    degree = members.groupBy("k").agg(F.sum("c").alias("degree"))
+    wide = C.cut(members.select("h", "k").join(degree.join(small, "k"), "k"))
+    C.drop(members)
+    C.release(spark)
+    sets = _candidate_sets(docs, wide)
+    members = wide.select("h", "k", "n", "degree", F.col("k").alias("label"))
+    turn_orders = lambda turn: [F.xxhash64("k", F.lit(turn), F.lit(i)) for i in range(HUBS)]
+    comp = tried = None
     for turn in range(ROUNDS):
-        # a hub comes first in an order of all nodes; a round takes several orders at once, each time others
-        orders = [F.col("k")] if turn == 0 else [F.xxhash64("k", F.lit(turn), F.lit(i)) for i in range(min(HUBS * turn, 4 * HUBS))]
-        at = members.join(comp.withColumnRenamed("node", "k"), "k") if links is not None else members.withColumn("label", F.col("k"))
-        stars = at.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.array(*[F.min(F.struct(o.alias("o"), "k", "n", "label")) for o in orders]).alias("hubs"))
-        stars = stars.where("lo <> hi").select("h", F.explode(F.array_distinct(F.transform("hubs", lambda x: F.struct(x.k.alias("k"), x.n.alias("n"), x.label.alias("label"))))).alias("hub"))
-        pairs = (
-            at.join(stars, "h")
-            .where(f"label <> hub.label and 100 * least(n, hub.n) >= {percent} * greatest(n, hub.n)")
-            .select(F.least("k", "hub.k").alias("a"), F.greatest("k", "hub.k").alias("b"))
-            .distinct()
-        )
+        orders = [-F.col("degree"), *turn_orders(turn)[: HUBS // 2]] if turn == 0 else turn_orders(turn)
+        pairs = _stars(members, orders, percent)
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        done = _confirm(C.cut(pairs), docs, nodes, percent)
-        found = done.where("ok").select("a", "b")
+        done = _confirm(pairs, sets, percent)
+        links = done.where("ok").select("a", "b")
         tried = done.select("a", "b") if tried is None else tried.union(done.select("a", "b"))
-        if found.isEmpty():
-            if turn:
-                break
-            continue
-        links = found if links is None else links.union(found)
-        comp = C.cut(members.select(F.col("k").alias("node")).distinct().join(C.components(links), "node", "left").select("node", F.coalesce("label", "node").alias("label")))
-    least = nodes.select("k", "rep").join(comp.select(F.col("node").alias("k"), "label"), "k", "left").select("k", "rep", F.coalesce("label", "k").alias("label"))
+        if links.isEmpty():
+            break
+        if comp is None:
+            comp = C.components(links)
+        else:
+            # contract: links between components, then new labels for old ones
+            at = lambda c: comp.select(F.col("node").alias(c), F.col("label").alias(f"l{c}"))
+            ends = links.join(at("a"), "a", "left").join(at("b"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
+            grown = C.components(ends)
+            moved = grown.select(F.col("node").alias("label"), F.col("label").alias("to"))
+            old = comp.join(moved, "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+            comp = C.cut(old.union(grown.join(comp.select("node"), "node", "left_anti").select("node", "label")))
+        members = wide.join(comp.withColumnRenamed("node", "k"), "k", "left").select("h", "k", "n", "degree", F.coalesce("label", "k").alias("label"))
+        C.release(spark)
+    nodes = small
+    least = nodes.select("k", "rep", F.col("k").alias("label"))
+    if comp is not None:
+        least = nodes.join(comp.withColumnRenamed("node", "k"), "k", "left").select("k", "rep", F.coalesce("label", "k").alias("label"))
     heads = least.groupBy("label").agg(F.min("rep").alias("component_id"))
     least = C.cut(least.join(heads, "label").select("k", "component_id"))
-    out = sig.select("doc_id", F.col("n").alias("n_shingles"), "k").join(least, "k", "left")
+    out = of_doc.select("doc_id", F.col("n").alias("n_shingles"), "k").join(least, "k", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
