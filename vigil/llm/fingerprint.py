@@ -1,10 +1,11 @@
 """Document fingerprints by one-permutation MinHash, in DataFrame functions only.
 
-Every 5-word shingle of the A-Z lower-cased words is hashed once (xxHash64). The hash's high bits name one of
+Every 5-word shingle of the lower-cased words is hashed once (xxHash64). The hash's high bits name one of
 ``BINS`` bins, the rest is its value; a bin keeps its least value. To find all minima without exploding rows, an
 array of keys (bin, value) gets one sentinel per bin, is sorted, and the first key of each bin stays. An empty bin takes
-the minimum of the first full bin on its fixed pseudo-random tour of the bins (optimal densification). A fingerprint
-is the lowest ``BITS`` bits of each bin's mixed minimum, packed as hexadecimal digits. Likeness is the share m of equal
+the minimum of the first full bin on its fixed pseudo-random tour of the bins (optimal densification); the few bins whose
+first places are all empty look again, then also at bins just filled, which leaves the chance of agreement as it is. A fingerprint
+is the lowest ``BITS`` bits of each bin's minimum, packed as hexadecimal digits. Likeness is the share m of equal
 bins, corrected for chance agreement of b bits: (m - 2**-b) / (1 - 2**-b), at least 0.
 
 The next document (ascending doc_id) is found without a global window: approximate quantiles of doc_id cut the table
@@ -22,8 +23,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BINS, BITS, SHINGLE = 256, 8, 5
+#: Places of its tour that an empty bin tries in one pass; later passes may also take what earlier ones filled in.
+_TRIES, _PASSES = 16, 3
 _SHIFT = 52  # of the value inside a key: bin in the bits above
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def _tours(bins: int) -> str:
@@ -33,8 +35,9 @@ def _tours(bins: int) -> str:
 
 
 def word_hashes(text: str) -> str:
-    words = f"filter(split(translate({text}, '{UPPER}', '{LOWER}'), '[ \\\\x09-\\\\x0D]+'), w -> w <> '')"
-    return f"transform({words}, w -> xxhash64(w))"
+    """Hashes of the words of the lower-cased text: what stands between runs of blanks and \\t-\\r."""
+    bare = f"trim(BOTH ' \t\n\x0b\x0c\r' FROM lower({text}))"
+    return f"CASE WHEN {bare} = '' THEN cast(array() AS array<bigint>) ELSE transform(split({bare}, '[ \\\\x09-\\\\x0D]+'), w -> xxhash64(w)) END"
 
 
 def shingle_keys(h: str) -> str:
@@ -49,18 +52,22 @@ def with_bins(df: DataFrame, text: str, out: str, bins: int = BINS) -> DataFrame
     low = (1 << _SHIFT) - 1
     width = 64 - (bins - 1).bit_length()
     sentinels = f"transform(sequence(0, {bins - 1}), b -> shiftleft(cast(b AS bigint), {_SHIFT}) + {low}L)"
-    keys = f"transform({shingle_keys('_h')}, x -> shiftleft(shiftrightunsigned(x, {width}), {_SHIFT}) + (x & {low - 1}L))"
+    keys = f"transform({shingle_keys('_h')}, x -> shiftleft(shiftrightunsigned(x, {width}), {_SHIFT}) + (x & {low}L))"
     firsts = f"filter(_s, (x, i) -> i = 0 OR shiftright(x, {_SHIFT}) <> shiftright(element_at(_s, i), {_SHIFT}))"
     full = lambda v: f"({v} & {low}L) <> {low}L"
-    at = f"cast(((cast(tour / {bins} AS int) + k * (tour % {bins})) & {bins - 1}) + 1 AS int)"
-    tries = [f"try_element_at(filter(transform(sequence({a}, {b}), k -> element_at(_d, {at})), v -> {full('v')}), 1)" for a, b in ((0, 7), (8, 63), (64, bins - 1))]
-    dense = f"zip_with(_d, {_tours(bins)}, (x, tour) -> CASE WHEN {full('x')} THEN x ELSE coalesce({', '.join(tries)}) END)"
-    pack = f"transform({dense}, x -> cast(xxhash64(x & {low}L) & {(1 << BITS) - 1}L AS smallint))"
+    m = (bins - 1).bit_length()
+    spots = [f"element_at(_d, ((shiftright(tour, {m}) + {k} * (tour & {bins - 1})) & {bins - 1}) + 1)" for k in range(_TRIES)]
+    tries = " ".join(f"WHEN {full(v)} THEN {v}" for v in spots)
+    fill = f"zip_with(_d, {_tours(bins)}, (x, tour) -> CASE WHEN {full('x')} THEN x {tries} ELSE x END)"
+    rest = f"CASE WHEN exists(_d, x -> NOT {full('x')}) THEN transform(_d, x -> CASE WHEN {full('x')} THEN x ELSE filter(_d, v -> {full('v')})[0] END) ELSE _d END"
+    pack = f"transform(_d, x -> x & {(1 << BITS) - 1}L)"
     df = df.withColumn("_h", F.expr(word_hashes(text)))
     df = df.withColumn("_s", F.expr(f"sort_array(concat({keys}, {sentinels}))")).withColumn("_e", F.expr("size(_h) = 0")).drop("_h")
-    df = df.withColumn("_d", F.expr(firsts)).drop("_s")
-    df = df.withColumn(out, F.expr(f"CASE WHEN _e THEN cast(array() AS array<smallint>) ELSE {pack} END"))
-    return df.drop("_d", "_e")
+    df = df.withColumn("_d", F.expr(f"CASE WHEN _e THEN cast(array() AS array<bigint>) ELSE {firsts} END")).drop("_s", "_e")
+    for _ in range(_PASSES):
+        df = df.withColumn("_d", F.expr(f"CASE WHEN exists(_d, x -> NOT {full('x')}) THEN {fill} ELSE _d END"))
+    df = df.withColumn("_d", F.expr(rest))
+    return df.withColumn(out, F.expr(pack)).drop("_d")
 
 
 def as_text(bins: Column) -> Column:
