@@ -5,27 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-FLAGSHIP = "scan_secret_lines"
+from .plans import commits  # noqa: F401  registers its queries
+from .plans.registry import QUERIES, SQL
 
-
-def scan_secret_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of documents that hold an assignment of a long hexadecimal token."""
-    lines = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    return lines.where(F.col("line").rlike("token = \"[0-9a-f]{40}\"")).select("doc_id", (F.col("pos") + 1).cast("long").alias("line_number"), F.trim("line").alias("line"))
-
-
-SCAN_SECRET_LINES_SQL = """
-SELECT doc_id, CAST(pos AS BIGINT) AS line_number, trim(line, ' ') AS line
-FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents)
-WHERE regexp_matches(line, 'token = "[0-9a-f]{40}"')
-"""
+FLAGSHIP = "developer_anomalies"
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"scan_secret_lines": scan_secret_lines}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"scan_secret_lines": SCAN_SECRET_LINES_SQL}
+    return dict(SQL)
