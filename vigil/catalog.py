@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import commits  # noqa: F401  registers its queries
+from .plans import commits, dashboards, scans  # noqa: F401  registers their queries
 from .plans.registry import QUERIES, SQL
 
 FLAGSHIP = "developer_anomalies"
