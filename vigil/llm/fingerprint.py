@@ -87,9 +87,11 @@ def fingerprints(documents: DataFrame) -> DataFrame:
     return df.select("doc_id", as_text(F.col("bins")).alias("fingerprint"))
 
 
-def with_next(df: DataFrame, key: str, tie: str, columns: list[str]) -> DataFrame:
+def with_next(df: DataFrame, key: str, tie: str, columns: list[str], prepare=lambda d: d) -> DataFrame:
     """Adds next_<column> of the row that follows in (key, tie) order; after the last row comes the first.
 
+    ``prepare`` adds columns to the rows before they are shuffled; it sees each row once, and the copied ones again.
+
     Blocks hold about equally many distinct keys; one shuffle moves every row once, and as many more rows as there are
     blocks move twice. Only the block bounds (as many as shuffle partitions) come to the driver.
     """
@@ -106,7 +108,7 @@ def with_next(df: DataFrame, key: str, tie: str, columns: list[str]) -> DataFram
     ghosts = ghosts.withColumn("_block", F.col("_to")).withColumn("_ghost", F.lit(True)).drop("_b", "_k", "_t", "_to")
     df = df.withColumn("_ghost", F.lit(False))
     order = Window.partitionBy("_block").orderBy("_ghost", F.col(key).asc_nulls_first(), tie)
-    both = df.union(ghosts)
+    both = prepare(df.unionByName(ghosts))
     for c in columns:
         both = both.withColumn(f"next_{c}", F.lead(c).over(order))
     return both.where(~F.col("_ghost")).drop("_block", "_ghost")
@@ -115,8 +117,8 @@ def with_next(df: DataFrame, key: str, tie: str, columns: list[str]) -> DataFram
 def edited_pairs(documents: DataFrame) -> DataFrame:
     """Per document: its fingerprint, that of its edited text, and their likenesses (see the query's contract)."""
     df = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    df = with_bins(df, "text", "bins").withColumn("tie", F.xxhash64("text"))
-    df = with_next(df, "doc_id", "tie", ["text", "bins"])
+    df = df.withColumn("tie", F.xxhash64("text"))
+    df = with_next(df, "doc_id", "tie", ["text", "bins"], lambda d: with_bins(d, "text", "bins"))
     df = df.withColumn("n_chars", F.length("text").cast("long"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     df = df.withColumn("edited", F.concat(F.expr("substring(text, 1, cast(n_chars AS int) - cast(floor(n_chars / 2) AS int))"), F.when(half > 0, F.left("next_text", half)).otherwise("")))
