@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .iterate import cut
+
 
 def simple_paths(edges: DataFrame, starts: DataFrame, max_depth: int = 5) -> DataFrame:
     """(start, node, depth, path): all simple paths from ``starts`` (start), up to max_depth edges.
@@ -24,15 +26,15 @@ def simple_paths(edges: DataFrame, starts: DataFrame, max_depth: int = 5) -> Dat
 
 def closure(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     """(src, dst) pairs connected by a path; doubles the reach each round until nothing new comes."""
-    known = edges.select("src", "dst").distinct()
-    before = -1
+    known = cut(edges.select("src", "dst").distinct())
+    before = known.count()
     for _ in range(max_rounds):
+        step = known.select("src", F.col("dst").alias("mid")).join(known.select(F.col("src").alias("mid"), "dst"), "mid").select("src", "dst")
+        known = cut(known.union(step).distinct())
         now = known.count()
         if now == before:
             break
         before = now
-        step = known.select("src", F.col("dst").alias("mid")).join(known.select(F.col("src").alias("mid"), "dst"), "mid").select("src", "dst")
-        known = known.union(step).distinct().checkpoint()
     return known
 
 
