@@ -26,7 +26,7 @@ def source_tree(spark: SparkSession, root: str, max_bytes: int = MAX_BYTES) -> t
     vendor = F.col("path").rlike("/(" + "|".join(s.replace(".", r"\.") for s in SKIPPED) + ")/")
     reason = F.when(vendor, "vendor folder").when(F.col("language") == "unknown", "extension").when(F.col("length") > max_bytes, "too large")
     tagged = tagged.withColumn("reason", reason)
-    files = tagged.where("reason is null").select("path", "language", F.decode("content", F.lit("UTF-8")).alias("content"))
+    files = tagged.where("reason is null").select("path", "language", F.decode("content", "UTF-8").alias("content"))
     return files, tagged.where("reason is not null").select("path", "reason")
 
 

@@ -17,9 +17,10 @@ def fresh(commits: DataFrame, keys: list[str], at: str, late: str = "7 days") ->
     return commits.withWatermark(at, late).dropDuplicatesWithinWatermark(keys)
 
 
-def daily(commits: DataFrame, at: str, level: str, late: str = "1 day") -> DataFrame:
-    """Counts per day and level, emitted when a day is closed."""
-    return commits.withWatermark(at, late).groupBy(F.window(at, "1 day"), level).count().select(F.col("window.start").alias("day"), level, "count")
+def daily(commits: DataFrame, at: str, level: str, late: str | None = "1 day") -> DataFrame:
+    """Counts per day and level, emitted when a day is closed; late=None where the stream has a watermark already."""
+    marked = commits if late is None else commits.withWatermark(at, late)
+    return marked.groupBy(F.window(at, "1 day"), level).count().select(F.col("window.start").alias("day"), level, "count")
 
 
 def profiles(commits: DataFrame, key: str, value: str) -> DataFrame:
