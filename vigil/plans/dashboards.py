@@ -240,13 +240,13 @@ def best_match(spark, sf_dir):
 
 
 @query("""
-SELECT n_name AS sector, count(c_custkey) AS projects, round(avg(coalesce(CASE WHEN c_acctbal > 0 THEN c_acctbal / 10000 END, 0.7)), 6) AS effectiveness FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY n_name
+SELECT n_name AS sector, count(c_custkey) AS projects, round(avg(coalesce(CASE WHEN c_acctbal > 0 THEN c_acctbal / 10000 END, 0.7)), 9) AS effectiveness FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY n_name
 """)
 def coverage_matrix(spark, sf_dir):
     """Groups without members stay; a missing effectiveness counts as 0.7."""
     n, c = table(spark, sf_dir, "nation"), table(spark, sf_dir, "customer")
     e = F.coalesce(F.when(F.col("c_acctbal") > 0, F.col("c_acctbal") / 10000), F.lit(0.7))
-    return n.join(c, n["n_nationkey"] == c["c_nationkey"], "left").groupBy(F.col("n_name").alias("sector")).agg(F.count("c_custkey").alias("projects"), F.round(F.avg(e), 6).alias("effectiveness"))
+    return n.join(c, n["n_nationkey"] == c["c_nationkey"], "left").groupBy(F.col("n_name").alias("sector")).agg(F.count("c_custkey").alias("projects"), F.round(F.avg(e), 9).alias("effectiveness"))
 
 
 @query("""
