@@ -110,7 +110,7 @@ def fit(documents: DataFrame, labels: DataFrame, column: str = "quality", sample
 
     rows = labelled(documents, labels, column, sample).mapInArrow(run, "y int, x array<double>").toArrow()
     y = rows.column("y").to_numpy()
-    x = np.array(rows.column("x").to_pylist(), dtype=float).reshape(len(y), -1)
+    x = np.array(rows.column("x").to_pylist(), dtype=float).reshape(len(y), len(statistics(b"")))
     return Discriminant(x, y, pooled, identity)
 
 

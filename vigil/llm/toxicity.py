@@ -98,17 +98,26 @@ def votes(text: bytes, lexicon: Lexicon, own: int = -1) -> tuple[list[float], li
 
 
 def label_model(v: np.ndarray, given: np.ndarray, rounds: int = 15, trust: float = 0.95) -> np.ndarray:
-    """Posterior of class 1 for every row of votes; ``given`` is one more voter of accuracy ``trust`` at the start."""
+    """Posterior of class 1 for every row of votes.
+
+    The votes have a mean per class and a shared covariance; ``given`` is one more voter, independent of them given the
+    class, of accuracy ``trust`` at the start and never over 0.99 or under 0.01 later, so that the votes can overrule it.
+    """
     q = np.where(given == 1, trust, 1 - trust)
-    x = np.column_stack([v, given])
+    cov = None  # correlations are taken against the given labels: refitted to q, voters that copy each other would become the class
     for _ in range(rounds):
         w1 = q.sum()
-        m1, m0 = (q @ x) / max(w1, 1e-9), ((1 - q) @ x) / max(len(x) - w1, 1e-9)
-        d1, d0 = x - m1, x - m0
-        cov = ((d1 * q[:, None]).T @ d1 + (d0 * (1 - q)[:, None]).T @ d0) / len(x)
-        cov = 0.9 * cov + np.diag(0.1 * np.diag(cov) + 0.02)
+        w0 = len(q) - w1
+        m1, m0 = (q @ v) / max(w1, 1e-9), ((1 - q) @ v) / max(w0, 1e-9)
+        d1, d0 = v - m1, v - m0
+        if cov is None:
+            cov = ((d1 * q[:, None]).T @ d1 + (d0 * (1 - q)[:, None]).T @ d0) / len(v)
+            cov = 0.9 * cov + np.diag(0.1 * np.diag(cov) + 0.02)
         weight = np.linalg.solve(cov, m1 - m0)
-        logit = (x - (m1 + m0) / 2) @ weight + np.log(max(w1, 1e-9) / max(len(x) - w1, 1e-9))
+        hit = np.clip(q @ given / max(w1, 1e-9), 0.01, 0.99)  # how often the given label is 1 in either class
+        false = np.clip((1 - q) @ given / max(w0, 1e-9), 0.01, 0.99)
+        own = np.where(given == 1, np.log(hit / false), np.log((1 - hit) / (1 - false)))
+        logit = (v - (m1 + m0) / 2) @ weight + own + np.log(max(w1, 1e-9) / max(w0, 1e-9))
         q = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
     return q
 
