@@ -138,3 +138,17 @@ def test_streaming_twins(spark, tmp_path):
     q = St.daily(St.fresh(stream, ["event_id"], "ts"), "ts", "event_type", late=None).writeStream.format("memory").queryName("days").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "d")).start()
     q.awaitTermination()
     assert spark.sql("select sum(count) s from days").first().s <= rows.count()
+
+
+def test_commit_signals(spark):
+    from vigil.operators import commit_signals as G
+
+    df = spark.createDataFrame([("config/.env", "update", 80, "2024-01-01T03:00:00+05:00"), ("a/b.PY", "a good message", 80, "2024-01-01T20:59:00Z"), ("x.tar.gz", "", 90, None), ("id_rsa", "wip", 10, "bad")], "path string, message string, n int, at string")
+    got = df.select(G.sensitive_pattern(F.col("path")).alias("s"), G.binary_extension(F.col("path")).alias("b"), G.message_signal(F.col("message"), F.col("n")).alias("m"), G.off_hours(F.col("at")).alias("o")).collect()
+    assert [tuple(r) for r in got] == [(r"\.env$", None, "vague", True), (None, None, None, False), (None, ".tar.gz", "empty", False), ("id_rsa", None, None, False)]
+    diff = "+++ b/package.json\n+ \"postinstall\": \"x\"\n- old\n+++ b/app/settings.py\n+DEBUG = True\n+verify_ssl = False\n"
+    c = spark.createDataFrame([(1, diff)], "sha int, diff string")
+    assert [r.label for r in G.labelled_lines(c, "sha", "diff", G.DEPENDENCY_TAMPERING, r"package\.json$").collect()] == ["install_script"]
+    assert {r.label for r in G.labelled_lines(c, "sha", "diff", G.CONFIG_WEAKENING, ignore_case=False).collect()} == {"debug_enabled", "ssl_verify_disabled"}
+    s = spark.createDataFrame([(1, "sensitive_file")] * 3 + [(1, "critical"), (2, "unsigned"), (3, "off_hours"), (3, "off_hours")], "sha int, signal string")
+    assert {(r.sha, r.score, r.level) for r in G.score(s, "sha").collect()} == {(1, 5.5, "high"), (2, 0.5, "low"), (3, 1.0, "low")}

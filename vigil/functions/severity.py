@@ -43,4 +43,4 @@ def scaled_risk(total: Column) -> Column:
 
 def level(score: Column) -> Column:
     """Risk level of a score of 0 to 10."""
-    return F.when(score >= 7.5, "critical").when(score >= 5.0, "high").when(score >= 2.5, "medium").when(score > 0, "low").otherwise("clean")
+    return F.when(score >= 7.0, "critical").when(score >= 4.0, "high").when(score >= 2.0, "medium").when(score >= 0.5, "low").otherwise("clean")

@@ -133,7 +133,7 @@ def summary_counts(spark, sf_dir):
 @query("""
 WITH c AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL),
 s AS (SELECT user_id, CASE event_type WHEN 'error' THEN least(n * 1.5, 4.0) WHEN 'signup' THEN least(n * 1.0, 3.0) WHEN 'purchase' THEN least(n * 0.5, 2.0) ELSE 0.0 END AS w FROM c)
-SELECT user_id, CAST(round(least(10.0, sum(w)), 4) AS DOUBLE) AS score, CASE WHEN sum(w) >= 7.5 THEN 'critical' WHEN sum(w) >= 5 THEN 'high' WHEN sum(w) >= 2.5 THEN 'medium' WHEN sum(w) > 0 THEN 'low' ELSE 'clean' END AS level
+SELECT user_id, CAST(round(least(10.0, sum(w)), 4) AS DOUBLE) AS score, CASE WHEN sum(w) >= 7 THEN 'critical' WHEN sum(w) >= 4 THEN 'high' WHEN sum(w) >= 2 THEN 'medium' WHEN sum(w) >= 0.5 THEN 'low' ELSE 'clean' END AS level
 FROM s GROUP BY user_id
 """)
 def capped_signal_score(spark, sf_dir):
