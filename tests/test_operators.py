@@ -152,3 +152,15 @@ def test_commit_signals(spark):
     assert {r.label for r in G.labelled_lines(c, "sha", "diff", G.CONFIG_WEAKENING, ignore_case=False).collect()} == {"debug_enabled", "ssl_verify_disabled"}
     s = spark.createDataFrame([(1, "sensitive_file")] * 3 + [(1, "critical"), (2, "unsigned"), (3, "off_hours"), (3, "off_hours")], "sha int, signal string")
     assert {(r.sha, r.score, r.level) for r in G.score(s, "sha").collect()} == {(1, 5.5, "high"), (2, 0.5, "low"), (3, 1.0, "low")}
+
+
+def test_nested_trees_and_exports(spark):
+    from vigil.sources import exports as E
+
+    old = json.dumps({"dependencies": {"a": {"version": "1", "dependencies": {"b": {"version": "2", "dependencies": {"c": {"version": "3"}}}}}, "d": {"version": "4"}}})
+    lock = '[[package]]\nname = "x"\nversion = "1.0"\ndependencies = [\n "y 0.1",\n "z",\n]\n\n[[package]]\nname = "y"\nversion = "0.1"\n'
+    files = spark.createDataFrame([("p/package-lock.json", old), ("q/package-lock.json", "{"), ("r/Cargo.lock", lock)], "path string, content string")
+    assert {(r.name, r.version, r.depth, r.parent) for r in M.npm_v1_tree(files).collect()} == {("a", "1", 0, None), ("b", "2", 1, "a"), ("c", "3", 2, "b"), ("d", "4", 0, None)}
+    assert {(r.name, r.version, tuple(r.dependencies)) for r in M.cargo_lock(files).collect()} == {("x", "1.0", ("y", "z")), ("y", "0.1", ())}
+    rules = spark.createDataFrame([("r1", "it's \\d+", "high", "*", "bad")], "id string, pattern string, severity string, language string, message string")
+    assert "pattern-regex: 'it''s \\d+'" in E.semgrep(rules).first().document and '"level":"error"' in E.sarif_rule(rules).first().document

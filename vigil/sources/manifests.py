@@ -203,3 +203,43 @@ def indented_tree(files: DataFrame, file: str, pattern: str, step: int) -> DataF
     above = [F.last(F.when(F.col("depth") == d, F.col("name")), ignorenulls=True).over(w) for d in range(12)]
     parent = F.when(F.col("depth") > 0, F.try_element_at(F.array(*above), F.col("depth")))
     return m.select("path", "name", "version", "depth", parent.alias("parent"), (F.col("depth") == 0).alias("is_direct"))
+
+
+def npm_v1_tree(files: DataFrame) -> DataFrame:
+    """Trees of version 1 lockfiles, nested to any depth: (path, name, version, depth, parent, is_direct).
+
+    The nesting has no fixed schema, so a file's JSON is walked by a Python table function over Arrow batches.
+    """
+    import json
+    from collections.abc import Iterator
+
+    import pandas as pd
+
+    def walk(deps: dict, depth: int, parent: str | None) -> Iterator[tuple]:
+        for name, d in deps.items():
+            if isinstance(d, dict):
+                yield name, d.get("version"), depth, parent, depth == 0
+                if isinstance(d.get("dependencies"), dict):
+                    yield from walk(d["dependencies"], depth + 1, name)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for p, c in zip(b["path"], b["content"], strict=True):
+                try:
+                    j = json.loads(c or "")
+                except ValueError:
+                    continue
+                if isinstance(j, dict) and "packages" not in j and isinstance(j.get("dependencies"), dict):
+                    rows += [(p, *r) for r in walk(j["dependencies"], 0, None)]
+            yield pd.DataFrame(rows, columns=["path", "name", "version", "depth", "parent", "is_direct"])
+
+    return _of(discover(files), "package-lock.json").select("path", "content").mapInPandas(run, "path string, name string, version string, depth int, parent string, is_direct boolean")
+
+
+def cargo_lock(files: DataFrame) -> DataFrame:
+    """(path, name, version, dependencies) of Cargo.lock: one block per package."""
+    f = files.where(file_name(F.col("path")) == "Cargo.lock")
+    b = f.select("path", F.explode(F.split("content", r"\[\[package\]\]")).alias("b")).where(F.col("b").rlike(r"(?m)^name = "))
+    deps = F.regexp_extract("b", r"(?s)dependencies = \[(.*?)\]", 1)
+    return b.select("path", F.regexp_extract("b", r"(?m)^name = \"([^\"]+)\"", 1).alias("name"), F.regexp_extract("b", r"(?m)^version = \"([^\"]+)\"", 1).alias("version"), F.regexp_extract_all(deps, F.lit(r"\"([^\s\"]+)[^\"]*\""), F.lit(1)).alias("dependencies"))
