@@ -90,6 +90,20 @@ def test_op1_chains_and_groups(spark):
     assert {x.doc_id: x.component_id for x in got.collect()} == brute_components(rows, 85)
 
 
+def test_op1_template(spark):
+    """Pairs whose only common buckets are those of a template that many unlike documents share."""
+    r = random.Random(11)
+    template = [f"t{i}" for i in range(400)]
+    rows = [(i, " ".join([*template, *(f"u{i}x{j}" for j in range(41))])) for i in range(1500)]
+    for i in range(40):
+        w = rows[i][1].split()
+        w[r.randrange(150, 250)] = "edit"
+        w[400 + r.randrange(10, 30)] = "edit"
+        rows.append((5000 + i, " ".join(w)))
+    got = {x.doc_id: x.component_id for x in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i % 5000 for i, _ in rows}
+
+
 def test_components(spark):
     r = random.Random(1)
     pairs = [(r.randrange(200), r.randrange(200)) for _ in range(150)] + [(i, i + 1) for i in range(300, 340)]
@@ -223,6 +237,20 @@ def test_op6_histogram():
     assert used == h
 
 
+def test_op6_padding():
+    """A third of all rows of one length: sequences are filled, not opened for one piece each."""
+    assert packing.patterns({100: 1000}) == [(100, [100] * 10)]
+    for hot, top in ((200, 250), (400, 500)):
+        h = collections.Counter(rng.randint(20, top) for _ in range(20_000)) + collections.Counter({hot: 10_000})
+        used, plan = collections.Counter(), packing.patterns(h)
+        for count, parts in plan:
+            assert sum(parts) <= 1024
+            for p in parts:
+                used[p] += count
+        assert used == h
+        assert sum(n * p for p, n in h.items()) >= 0.94 * 1024 * sum(c for c, _ in plan)
+
+
 def test_op7(spark, edge, none, docs):
     got = queries.op7_lm_score(spark, SF).collect()
     tok = {i: [*ascii_lower(t).encode().split(), None] for i, t in docs.items()}
@@ -303,6 +331,26 @@ def test_op9(spark, edge, none):
     assert {x.doc_id: x.text for x in out.collect()}[1] is None
 
 
+def test_op9_many_edits(spark):
+    """Copies of one passage, each with another word changed: alike to the original, most not to each other."""
+    r = random.Random(13)
+    prose = lambda n: [f"{r.choice(WORDS)}{r.randrange(10**6)}" for _ in range(n)]
+    lines = []
+    for n in (60, 90):
+        words = prose(n)
+        lines.append(" ".join(words) + ".")
+        for i in range(5, n - 5):
+            lines.append(" ".join([*words[:i], f"new{i}", *words[i + 1 :]]) + ".")
+    phrase = prose(30)  # 26 of 46 shingles, shared by many unlike paragraphs
+    lines += [" ".join(phrase + prose(20)) + "." for _ in range(300)]
+    lines += [x.rsplit(" ", 2)[0] + " end here." for x in lines[-20:]]
+    r.shuffle(lines)
+    rows = list(enumerate(lines))
+    got = {x.doc_id: x.text for x in substring.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    heads = brute_components(rows, 80)
+    assert {i for i, t in got.items() if t} == set(heads.values())
+
+
 def test_pipeline(spark, none):
     import corpus_pipeline as P
 

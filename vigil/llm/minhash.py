@@ -5,9 +5,10 @@ takes the minimum of the first non-empty bin on its own pseudo-random tour of al
 set of any size fills every bin). ``ROWS`` bins make a band; documents that agree in a band share a bucket. A bucket
 is never expanded into pairs: its members are compared with one hub. Exact copies are folded into one node first.
 
-Stars verify each member against its hub only. As two members may be alike though both are unlike the hub, further
-rounds elect other hubs among the bucket's members and compare them with members of other components, until a round
-over all buckets links nothing more. Every link is confirmed on the full shingle sets.
+Stars verify each member against its hub only. As two members may be alike though both are unlike the hub, what then
+shares a bucket across components goes through an exact join: with a fixed order of shingles, rare ones first, two
+sets alike share one of the first few, at places that leave enough behind them (prefix and position filter). So all
+pairs that share a bucket are decided. Every link is confirmed on the full shingle sets.
 
 Defined cases: null or blank text has no shingles and is linked with nothing; a null doc_id is returned with a null
 component_id and kept; rows that repeat a doc_id are separate documents with that id; an empty table gives no rows.
@@ -27,9 +28,10 @@ from . import common as C
 ROWS, BANDS = 8, 48
 #: Fields of the packed bin key: the bin comes from the high bits of the hash, the value from the rest.
 _BINS = ROWS * BANDS
-#: Orders that elect hubs in a round; each round takes others, and the first that links nothing is the last.
-HUBS = 12
-ROUNDS = 40
+#: Hubs of a bucket in each round of stars; they only leave less to the exact join that follows.
+STARS = (7, 12)
+#: Counters that order shingles by frequency: 8 MB whatever the corpus. Shared counters cost time, never a pair.
+CELLS = 1 << 21
 
 _tour_cache: dict[int, np.ndarray] = {}
 
@@ -151,6 +153,139 @@ def _stars(members: DataFrame, orders: list, percent: int) -> DataFrame:
     return members.join(hubs, "h").where(near).select(F.least("k", "hub.k").alias("a"), F.greatest("k", "hub.k").alias("b")).distinct()
 
 
+def _frequencies(have: DataFrame):
+    """Broadcast counters of the shingles of all sets, by their low bits."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(CELLS, dtype=np.int64)
+        for b in batches:
+            n += np.bincount((np.frombuffer(b"".join(b.column(0).to_pylist()), dtype=np.uint64) & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], ["cell", "n"])
+
+    got = have.select("s").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).where("n > 1").toArrow()  # CELLS rows at most
+    n = np.ones(CELLS, dtype=np.int32)
+    n[got.column("cell").to_numpy()] = np.minimum(got.column("n").to_numpy(), np.iinfo(np.int32).max)
+    return have.sparkSession.sparkContext.broadcast(n)
+
+
+def _prefixes(frequencies, percent: int):
+    """(t, label, k, n, i): the i-th shingles t, rare ones first, of which sets alike must share one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f = frequencies.value
+        for b in batches:
+            who, n, at, token = [], [], [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
+            for raw in b.column(2).to_pylist():
+                s = np.frombuffer(raw, dtype=np.uint64)
+                c = f[(s & np.uint64(CELLS - 1)).astype(np.int64)]
+                first = np.lexsort((s, c))[: len(s) + 1 + -percent * len(s) // 100]
+                i = np.flatnonzero(c[first] > 1)
+                who.append(len(i))
+                n.append(len(s))
+                at.append(i)
+                token.append(s[first[i]])
+            row = np.repeat(np.arange(len(who)), who)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(token).view(np.int64)), b.column(1).take(pa.array(row)), b.column(0).take(pa.array(row)), pa.array(np.array(n, dtype=np.int64)[row]), pa.array(np.concatenate(at))], ["t", "label", "k", "n", "i"])
+
+    return run
+
+
+def _cross(percent: int, block: int = 1 << 21):
+    """Rows sorted by (t, label): pairs of a shingle's members under different labels that pass the position filter."""
+
+    def pairs(t, label, k, n, i):
+        edge = np.r_[True, t[1:] != t[:-1]]
+        part = edge | np.r_[True, label[1:] != label[:-1]]
+        span = lambda new: (np.flatnonzero(new)[np.cumsum(new) - 1], np.r_[np.flatnonzero(new)[1:], len(new)][np.cumsum(new) - 1])
+        (g0, g1), (l0, l1) = span(edge), span(part)
+        # the smaller set of a pair alike has the shared shingle among fewer than the larger one
+        few = np.flatnonzero(i < n + 1 + -2 * percent * n // (100 + percent))
+        for lo, hi in ((g0, l0), (l1, g1)):
+            size = hi[few] - lo[few]
+            row, start, size = few[size > 0], lo[few][size > 0], size[size > 0]
+            end = np.cumsum(size)
+            at = 0
+            while at < (end[-1] if len(end) else 0):
+                j = np.arange(at, min(at + block, end[-1]))
+                r = np.searchsorted(end, j, side="right")
+                x, y = row[r], start[r] + j - (end - size)[r]
+                need = -(-percent * (n[x] + n[y]) // (100 + percent))
+                ok = np.minimum(n[x] - i[x], n[y] - i[y]) >= need
+                x, y = k[x[ok]], k[y[ok]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+                at += block
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []  # the batches of the last shingle, which may go on
+        for b in batches:
+            cols = [c.to_numpy() for c in b.columns]
+            if not len(cols[0]):
+                continue
+            if held and cols[0][-1] == held[0][0][-1]:
+                held.append(cols)
+                continue
+            last = int(np.searchsorted(cols[0], cols[0][-1]))
+            yield from pairs(*(np.concatenate([h[c] for h in held] + [cols[c][:last]]) for c in range(5)))
+            held = [[c[last:] for c in cols]]
+        if held:
+            yield from pairs(*(np.concatenate([h[c] for h in held]) for c in range(5)))
+
+    return run
+
+
+def _exact(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (a, b) with different labels, among nodes of buckets that hold several labels: all that can be alike."""
+    split = members.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("h")
+    have = C.cut(members.join(split, "h", "left_semi").select("k", "label").distinct().join(sets, "k").select("k", "label", "s"))
+    rows = have.mapInArrow(_prefixes(_frequencies(have), percent), "t long, label long, k long, n long, i long")
+    return rows.repartition("t").sortWithinPartitions("t", "label").mapInArrow(_cross(percent), "a long, b long").distinct()
+
+
+def _grow(comp: DataFrame | None, links: DataFrame) -> DataFrame:
+    """``comp`` (node, label) with more links: links between components, then new labels for old ones."""
+    if comp is None:
+        return C.components(links)
+    at = lambda c: comp.select(F.col("node").alias(c), F.col("label").alias(f"l{c}"))
+    ends = links.join(at("a"), "a", "left").join(at("b"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
+    grown = C.components(ends)
+    moved = grown.select(F.col("node").alias("label"), F.col("label").alias("to"))
+    old = comp.join(moved, "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+    return C.cut(old.union(grown.join(comp.select("node"), "node", "left_anti").select("node", "label")))
+
+
+def clusters(wide: DataFrame, sets: DataFrame, percent: int, stars: tuple[int, ...] = STARS) -> DataFrame | None:
+    """(node, label) of all nodes linked with another, or None: ``wide`` is (h, k, n, degree), ``sets`` (k, s)."""
+    comp = tried = None
+    members = wide.select("h", "k", "n", "degree", F.col("k").alias("label"))
+    for turn in range(len(stars) + 1):
+        if turn < len(stars):
+            orders = [F.xxhash64("k", F.lit(turn), F.lit(i)) for i in range(stars[turn])]
+            pairs = _stars(members, [-F.col("degree"), *orders[1:]] if turn == 0 else orders, percent)
+        else:
+            pairs = _exact(members, sets, percent)
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        done = _confirm(pairs, sets, percent)
+        links = done.where("ok").select("a", "b")
+        tried = done.select("a", "b") if tried is None else tried.union(done.select("a", "b"))
+        if links.isEmpty():
+            continue
+        comp = _grow(comp, links)
+        members = wide.join(comp.withColumnRenamed("node", "k"), "k", "left").select("h", "k", "n", "degree", F.coalesce("label", "k").alias("label"))
+        C.release(wide.sparkSession)
+    return comp
+
+
+def widen(members: DataFrame, small: DataFrame) -> DataFrame:
+    """``members`` (h, k, c) with the columns of ``small`` and a degree, the sizes of the member's buckets.
+
+    The member that shares most buckets with most others is likely what the others were copied from: the first hub.
+    """
+    degree = members.groupBy("k").agg(F.sum("c").alias("degree"))
+    return C.cut(members.select("h", "k").join(degree.join(small, "k"), "k"))
+
+
 def near_duplicates(documents: DataFrame, percent: int = 85) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept. Links need 100 * |A and B| >= percent * |A or B|."""
     spark = documents.sparkSession
@@ -164,37 +299,11 @@ def near_duplicates(documents: DataFrame, percent: int = 85) -> DataFrame:
     members = C.cut(members)
     small = C.cut(nodes.select("k", "rep", "n"))
     C.drop(nodes)
-    # the member that shares most buckets with most others is likely what the others were copied from: the first hub
-    degree = members.groupBy("k").agg(F.sum("c").alias("degree"))
-    wide = C.cut(members.select("h", "k").join(degree.join(small, "k"), "k"))
+    wide = widen(members, small)
     C.drop(members)
     C.release(spark)
     sets = _candidate_sets(docs, wide)
-    members = wide.select("h", "k", "n", "degree", F.col("k").alias("label"))
-    turn_orders = lambda turn: [F.xxhash64("k", F.lit(turn), F.lit(i)) for i in range(HUBS)]
-    comp = tried = None
-    for turn in range(ROUNDS):
-        orders = [-F.col("degree"), *turn_orders(turn)[: HUBS // 2]] if turn == 0 else turn_orders(turn)
-        pairs = _stars(members, orders, percent)
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        done = _confirm(pairs, sets, percent)
-        links = done.where("ok").select("a", "b")
-        tried = done.select("a", "b") if tried is None else tried.union(done.select("a", "b"))
-        if links.isEmpty():
-            break
-        if comp is None:
-            comp = C.components(links)
-        else:
-            # contract: links between components, then new labels for old ones
-            at = lambda c: comp.select(F.col("node").alias(c), F.col("label").alias(f"l{c}"))
-            ends = links.join(at("a"), "a", "left").join(at("b"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
-            grown = C.components(ends)
-            moved = grown.select(F.col("node").alias("label"), F.col("label").alias("to"))
-            old = comp.join(moved, "label", "left").select("node", F.coalesce("to", "label").alias("label"))
-            comp = C.cut(old.union(grown.join(comp.select("node"), "node", "left_anti").select("node", "label")))
-        members = wide.join(comp.withColumnRenamed("node", "k"), "k", "left").select("h", "k", "n", "degree", F.coalesce("label", "k").alias("label"))
-        C.release(spark)
+    comp = clusters(wide, sets, percent)
     nodes = small
     least = nodes.select("k", "rep", F.col("k").alias("label"))
     if comp is not None:

@@ -130,7 +130,10 @@ def patterns(histogram: dict[int, int], size: int = SIZE) -> list[tuple[int, lis
                 room[space] += stay
         if left:
             # no pack has room: open packs, as many pieces of this length in each as fit
-            room[size - length].append([left, [length]])
+            full, rest = divmod(left, size // length)
+            for count, parts in ((full, [length] * (size // length)), (1, [length] * rest)):
+                if count and parts:
+                    room[size - length * len(parts)].append([count, parts])
     return [(count, parts) for space in sorted(room) for count, parts in room[space]]
 
 

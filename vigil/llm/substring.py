@@ -5,9 +5,10 @@ cut after sentence ends where a hash of their last words is least nearby, so tha
 alike everywhere. Gathered lines under ``GATHERED`` words (licence lines, headings) and pieces under ``LEAST`` words are
 never removed. Equal paragraphs fold into one node; the nodes'
 5-word shingles go through one-permutation MinHash with ``BANDS`` bands of ``ROWS`` bins (at a likeness of 0.8 a pair
-meets with probability 0.998). A sorted stream of each bucket pairs its members with the bucket's first; pairs are
-verified by the exact Jaccard likeness of their shingle sets, and links are clustered by connected components. Of
-each cluster the first occurrence (doc_id, then place) stays, all others are removed from the texts.
+meets with probability 0.998). All pairs that share a bucket are decided as in ``minhash``: stars around the member
+that shares most buckets, then an exact join across the components; pairs are verified by the exact Jaccard likeness
+of their shingle sets, and links are clustered by connected components. Of each cluster the first occurrence (doc_id,
+then place) stays, all others are removed from the texts.
 
 Defined cases: null or blank text has no paragraphs and is returned as it is; a row with a null doc_id is returned as
 it is; rows that repeat a doc_id are one document (what stands at the same place stays in each); all columns are
@@ -26,11 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
-from .minhash import tours
+from .minhash import clusters, tours, widen
 
 LINE, GATHERED, LEAST, MOST = 24, 20, 10, 96
 ROWS, BANDS, SHINGLE = 2, 6, 5
 PERCENT = 80
+STARS = (2,)
 REPORT = ("n_removed", "removed_words", "removed_spans", "first_docs")
 _WORD = re.compile(rb"[^ \t-\r]+")
 _ENDS = frozenset(b".!?")
@@ -152,19 +154,21 @@ def _unit_batch(b: pa.RecordBatch, whom: list, place: list, key: list, band: lis
     return pa.RecordBatch.from_arrays([b.column(0).take(pa.array(whom, pa.int64())), pa.array(place, pa.int32()), pa.array(key, pa.int64()), lists], ["doc_id", "at", "k", "bands"])
 
 
-def _star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (h, k): each member with the first of its bucket. Nothing but the current bucket's first is kept."""
-    h = hub = None
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (h, k): those whose bucket has another member. The last row is held until the next is seen."""
+    h = k = np.empty(0, dtype=np.int64)
+    met = False  # the held row's bucket has had another member
     for b in batches:
-        hs, ks = b.column(0).to_numpy(), b.column(1).to_numpy()
-        if not len(hs):
+        if not b.num_rows:
             continue
-        new = np.r_[h is None or hs[0] != h, hs[1:] != hs[:-1]]
-        at = np.maximum.accumulate(np.where(new, np.arange(len(hs)), -1))
-        hubs = np.where(at >= 0, ks[np.maximum(at, 0)], 0 if hub is None else hub)
-        h, hub = hs[-1], hubs[-1]
-        keep = hubs != ks
-        yield pa.RecordBatch.from_arrays([pa.array(hubs[keep]), pa.array(ks[keep])], ["a", "b"])
+        h, k = np.r_[h, b.column(0).to_numpy()], np.r_[k, b.column(1).to_numpy()]
+        same = h[1:] == h[:-1]
+        keep = np.r_[met, same[:-1]] | same if len(h) > 1 else np.empty(0, dtype=bool)
+        yield pa.RecordBatch.from_arrays([pa.array(h[:-1][keep]), pa.array(k[:-1][keep])], ["h", "k"])
+        met = bool(same[-1]) if len(h) > 1 else False
+        h, k = h[-1:], k[-1:]
+    if met:
+        yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(k)], ["h", "k"])
 
 
 def _sets(bits):
@@ -184,28 +188,28 @@ def _sets(bits):
 
 def repeats(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, at, k, head_doc, head_at): every paragraph occurrence that repeats the first one of its cluster."""
-    from .minhash import _verify
-
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     rows = C.cut(docs.mapInArrow(_units, "doc_id long, at int, k long, bands array<long>"))
     nodes = C.cut(rows.groupBy("k").agg(F.min(F.struct("doc_id", "at")).alias("head"), F.count("*").alias("c"), F.first("bands").alias("bands")))
     places = C.cut(rows.select("doc_id", "at", "k"))
     C.drop(rows)
     stream = nodes.select(F.explode("bands").alias("h"), "k").repartition("h").sortWithinPartitions("h", "k")
-    pairs = C.cut(stream.mapInArrow(_star, "a long, b long").distinct())
+    members = C.cut(stream.mapInArrow(_shared, "h long, k long"))
     small = C.cut(nodes.select("k", "head", "c"))
     C.drop(nodes)
     C.release(documents.sparkSession)
-    wanted = C.cut(pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct().join(small.select("k", "head.doc_id"), "k"))
+    wanted = C.cut(members.select("k").distinct().join(small.select("k", "head.doc_id"), "k"))
     sieve = C.Sieve(wanted, "doc_id")
     sets = docs.select("text", *C.Sieve.places("doc_id")).mapInArrow(_sets(sieve.bits), "k long, s binary")
     sets = C.cut(sets.join(wanted.select("k"), "k", "left_semi").groupBy("k").agg(F.first("s").alias("s")))
-    both = pairs.join(sets.select(F.col("k").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("k").alias("b"), F.col("s").alias("sb")), "b")
-    links = C.cut(both.select("a", "b", "sa", "sb").mapInArrow(_verify(percent), "a long, b long, ok boolean").where("ok").select("a", "b"))
-    C.drop(sets, wanted)
+    sizes = sets.select("k", (F.octet_length("s") / 8).cast("long").alias("n"))
+    wide = widen(members.join(members.groupBy("h").agg(F.count("*").alias("c")), "h"), sizes)
+    C.drop(members)
+    comp = clusters(wide, sets, percent, STARS)
+    C.drop(sets, wanted, wide)
     C.release(documents.sparkSession)
     # only nodes that occur twice or are linked have anything to remove
-    linked = C.components(links).withColumnsRenamed({"node": "k"}) if not links.isEmpty() else links.select(F.col("a").alias("k"), F.col("b").alias("label"))
+    linked = comp.withColumnRenamed("node", "k") if comp is not None else small.where("false").select("k", F.col("k").alias("label"))
     some = small.join(linked, "k", "left").where("c > 1 or label is not null").select("k", "head", F.coalesce("label", "k").alias("label"))
     heads = some.groupBy("label").agg(F.min("head").alias("head"))
     some = C.cut(some.drop("head").join(heads, "label").select("k", "head"))
