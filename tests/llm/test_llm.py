@@ -351,6 +351,33 @@ def test_op9_many_edits(spark):
     assert {i for i, t in got.items() if t} == set(heads.values())
 
 
+def test_op9_planted(spark):
+    """Passages of 55 to 100 words in two documents, wrapped behind other short lines or inside text without sentence ends."""
+    r = random.Random(17)
+    prose = lambda n: [f"{r.choice(WORDS)}{r.randrange(10**6)}" for _ in range(n)]
+    wrap = lambda w: "\n".join(" ".join(w[i : i + 12]) for i in range(0, len(w), 12))
+    rows, passages = [], []
+    for n in (55, 70, 100):
+        for case in range(40):
+            p = prose(n)
+            passages.append(set(p))
+            for _ in range(2):
+                before, after = prose(r.randrange(30, 200)), prose(r.randrange(30, 200))
+                rows.append((len(rows), "\n".join(map(wrap, (before, p, after))) if case % 2 else " ".join(before + p + after)))
+    clean = [(1000 + i, wrap(prose(100))) for i in range(50)]
+    got = {x.doc_id: x for x in substring.dedup(spark.createDataFrame(rows + clean, "doc_id long, text string"), report=True).collect()}
+    assert all(got[i].text == t and got[i].n_removed == 0 for i, t in clean)
+    caught = 0
+    for i, p in enumerate(passages):
+        first, second = (got[2 * i + j] for j in (0, 1))
+        assert first.text == rows[2 * i][1]
+        gone = set(rows[2 * i + 1][1].split()) - set(second.text.split())
+        assert len(gone - p) <= 5  # of a paragraph alike that reaches over the edge
+        assert second.removed_words == len(gone) and second.n_removed == len(second.removed_spans)
+        caught += second.removed_words >= substring.RUN
+    assert caught >= 0.98 * len(passages)
+
+
 def test_pipeline(spark, none):
     import corpus_pipeline as P
 

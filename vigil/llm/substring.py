@@ -10,6 +10,10 @@ that shares most buckets, then an exact join across the components; pairs are ve
 of their shingle sets, and links are clustered by connected components. Of each cluster the first occurrence (doc_id,
 then place) stays, all others are removed from the texts.
 
+Passages that paragraphs cut differently are found by grams: the word stream, whatever its lines and sentences, is cut
+where a hash of two words is least within ``NEAR`` words on either side, and the fewest pieces from a cut on that hold
+``RUN`` words make a gram. Of equal grams clear of removed paragraphs the first stays and the others are removed.
+
 Defined cases: null or blank text has no paragraphs and is returned as it is; a row with a null doc_id is returned as
 it is; rows that repeat a doc_id are one document (what stands at the same place stays in each); all columns are
 kept; an empty table gives no rows.
@@ -30,6 +34,7 @@ from . import common as C
 from .minhash import clusters, tours, widen
 
 LINE, GATHERED, LEAST, MOST = 24, 20, 10, 96
+NEAR, RUN = 4, 20
 ROWS, BANDS, SHINGLE = 2, 6, 5
 PERCENT = 80
 STARS = (2,)
@@ -94,6 +99,25 @@ def inner_cuts(ws: list[bytes], table: C.WordHashes) -> list[int]:
     return out
 
 
+def grams(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first word, end, key) of every gram; a cut depends on the NEAR + 1 words before and after it only."""
+    n = len(h)
+    v = C.mix(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:])  # v[j - 1] decides the cut before word j
+    least = np.ones(len(v), dtype=bool)
+    for i in range(1, NEAR + 1):
+        least[i:] &= v[i:] < v[:-i]
+        least[:-i] &= v[:-i] <= v[i:]
+    at = np.r_[0, np.flatnonzero(least) + 1, n].astype(np.int64)
+    i = np.searchsorted(at, at + RUN)
+    a, b = at[i < len(at)], at[i[i < len(at)]]
+    # words weighted by powers of an odd number: the key of a range is a difference of sums, divided by its start's power
+    odd = 0x9E3779B97F4A7C15
+    up, down = (np.cumprod(np.r_[np.uint64(1), np.full(n, np.uint64(x))]) for x in (odd, pow(odd, -1, 1 << 64)))
+    total = np.r_[np.uint64(0), np.cumsum(C.mix(h) * up[:-1])]
+    k = C.mix((total[b] - total[a]) * down[a] + (b - a).astype(np.uint64))
+    return a, b, (k >> np.uint64(1)).view(np.int64)
+
+
 def keys(h: np.ndarray, cuts: list[tuple[int, int]]) -> list[int]:
     return [xxhash.xxh3_64_intdigest(h[a:b].tobytes()) & 0x7FFFFFFFFFFFFFFF for a, b in cuts]
 
@@ -134,24 +158,28 @@ def bands(h: np.ndarray, cuts: list[tuple[int, int]]) -> np.ndarray:
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     table = C.WordHashes()
     for b in batches:
-        whom, place, key, band = [], [], [], []
+        rows: list[tuple] = []
         for d, t in enumerate(C.text_bytes(b.column(1))):
             h, cuts = units(t, table)
             if cuts:
-                whom += [d] * len(cuts)
-                place += [a for a, _ in cuts]
-                key += keys(h, cuts)
-                band.append(bands(h, cuts))
-            if len(whom) > 20_000:
-                yield _unit_batch(b, whom, place, key, band)
-                whom, place, key, band = [], [], [], []
-        yield _unit_batch(b, whom, place, key, band)
-
-
-def _unit_batch(b: pa.RecordBatch, whom: list, place: list, key: list, band: list) -> pa.RecordBatch:
-    flat = np.concatenate(band).reshape(-1) if band else np.empty(0, dtype=np.int64)
-    lists = pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, BANDS, dtype=np.int32), pa.array(flat))
-    return pa.RecordBatch.from_arrays([b.column(0).take(pa.array(whom, pa.int64())), pa.array(place, pa.int32()), pa.array(key, pa.int64()), lists], ["doc_id", "at", "k", "bands"])
+                a, e = np.array(cuts).T
+                rows.append((d, a, e, np.array(keys(h, cuts)), bands(h, cuts).reshape(-1), True))
+            if len(h) >= RUN:
+                rows.append((d, *grams(h), np.empty(0, dtype=np.int64), False))
+            if sum(len(r[1]) for r in rows[-2:]) > 20_000 or len(rows) > 256:
+                yield _unit_batch(b, rows)
+                rows = []
+        yield _unit_batch(b, rows)
+
+
+def _unit_batch(b: pa.RecordBatch, rows: list[tuple]) -> pa.RecordBatch:
+    """Paragraphs with their bands, grams with none."""
+    n = np.array([len(r[1]) for r in rows], dtype=np.int64)
+    cat = lambda i, t: np.concatenate([np.empty(0, t), *(r[i] for r in rows)]).astype(t)
+    whom = np.repeat(np.array([r[0] for r in rows], dtype=np.int64), n)
+    width = np.repeat(np.array([BANDS if r[5] else 0 for r in rows], dtype=np.int32), n)
+    lists = pa.ListArray.from_arrays(np.r_[np.int32(0), np.cumsum(width, dtype=np.int32)], pa.array(cat(4, np.int64)))
+    return pa.RecordBatch.from_arrays([b.column(0).take(pa.array(whom)), pa.array(cat(1, np.int32)), pa.array(cat(2, np.int32)), pa.array(cat(3, np.int64)), lists], ["doc_id", "at", "to", "k", "bands"])
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,12 +215,13 @@ def _sets(bits):
 
 
 def repeats(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, at, k, head_doc, head_at): every paragraph occurrence that repeats the first one of its cluster."""
+    """(doc_id, at, k, head_doc, head_at): every paragraph and gram that repeats the first one of its cluster."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    rows = C.cut(docs.mapInArrow(_units, "doc_id long, at int, k long, bands array<long>"))
+    both = C.cut(docs.mapInArrow(_units, "doc_id long, at int, to int, k long, bands array<long>"))
+    rows, runs = both.where("size(bands) > 0"), C.cut(both.where("size(bands) = 0").drop("bands"))
     nodes = C.cut(rows.groupBy("k").agg(F.min(F.struct("doc_id", "at")).alias("head"), F.count("*").alias("c"), F.first("bands").alias("bands")))
-    places = C.cut(rows.select("doc_id", "at", "k"))
-    C.drop(rows)
+    places = C.cut(rows.select("doc_id", "at", "to", "k"))
+    C.drop(both)
     stream = nodes.select(F.explode("bands").alias("h"), "k").repartition("h").sortWithinPartitions("h", "k")
     members = C.cut(stream.mapInArrow(_shared, "h long, k long"))
     small = C.cut(nodes.select("k", "head", "c"))
@@ -213,14 +242,33 @@ def repeats(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     some = small.join(linked, "k", "left").where("c > 1 or label is not null").select("k", "head", F.coalesce("label", "k").alias("label"))
     heads = some.groupBy("label").agg(F.min("head").alias("head"))
     some = C.cut(some.drop("head").join(heads, "label").select("k", "head"))
-    out = places.join(some, "k").where("doc_id <> head.doc_id or at <> head.at")
+    out = C.cut(places.join(some, "k").where("doc_id <> head.doc_id or at <> head.at"))
+    C.drop(places)
+    # grams that occur more than once, clear of the paragraphs removed
+    often = runs.groupBy("k").agg(F.count("*").alias("c")).where("c > 1").select("k")
+    met = C.cut(runs.join(often, "k", "left_semi"))
+    C.drop(runs)
+    gone = out.select(F.col("doc_id").alias("d"), F.col("at").alias("x"), F.col("to").alias("y"))
+    clear = C.cut(met.join(gone, (F.col("doc_id") == F.col("d")) & (F.col("at") < F.col("y")) & (F.col("x") < F.col("to")), "left_anti"))
+    C.drop(met)
+    heads = clear.groupBy("k").agg(F.min(F.struct("doc_id", "at")).alias("head"))
+    again = clear.join(heads, "k").where("doc_id <> head.doc_id or at <> head.at")
+    out = out.select("doc_id", "at", "k", "head").union(again.select("doc_id", "at", "k", "head"))
     return out.select("doc_id", "at", "k", F.col("head.doc_id").alias("head_doc"), F.col("head.at").alias("head_at"))
 
 
-def strip(text: bytes, gone: dict[int, int], table: C.WordHashes) -> tuple[bytes, list[tuple[int, int]], int]:
-    """Text without the paragraphs ``gone`` (first word -> key), their byte spans, and how many words they had."""
+def strip(text: bytes, gone: set[tuple[int, int]], table: C.WordHashes) -> tuple[bytes, list[tuple[int, int]], int]:
+    """Text without the paragraphs and grams ``gone`` (first word, key), the byte spans cut, and how many words they had."""
     h, cuts = units(text, table)
-    drop_ = [(a, b) for (a, b), k in zip(cuts, keys(h, cuts), strict=True) if gone.get(a) == k]
+    found = [(a, b) for (a, b), k in zip(cuts, keys(h, cuts), strict=True) if (a, k) in gone]
+    if len(h) >= RUN:
+        found += [(a, b) for a, b, k in zip(*(x.tolist() for x in grams(h)), strict=True) if (a, k) in gone]
+    drop_: list[tuple[int, int]] = []
+    for a, b in sorted(found):
+        if drop_ and a < drop_[-1][1]:
+            drop_[-1] = (drop_[-1][0], max(b, drop_[-1][1]))
+        else:
+            drop_.append((a, b))
     if not drop_:
         return text, [], 0
     spans = [m.span() for m in _WORD.finditer(text)]
@@ -254,7 +302,7 @@ def dedup(documents: DataFrame, percent: int = PERCENT, report: bool = False) ->
             i = b.schema.get_field_index("text")
             texts, n, words, spans, firsts = [], [], [], [], []
             for raw, t, g in zip(b.column(i), C.text_bytes(b.column(i)), b.column(b.num_columns - 1).to_pylist(), strict=True):
-                out, cut, w = strip(t, {x["at"]: x["k"] for x in g}, table) if g else (t, [], 0)
+                out, cut, w = strip(t, {(x["at"], x["k"]) for x in g}, table) if g else (t, [], 0)
                 texts.append(out.decode() if raw.is_valid else None)
                 n.append(len(cut))
                 words.append(w)
