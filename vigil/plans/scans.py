@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import secrets as X
 from ..operators import relational as R
 from ..operators import textscan as T
-from .registry import query, table
+from .registry import SQL, query, table
 
 #: A small default rule set; larger ones are loaded from a table of (id, pattern, severity, language, category).
 SECRET_RULES = [
@@ -97,7 +97,17 @@ SELECT doc_id, line_number, file, md5(substr(line, 2)) AS added_md5 FROM n WHERE
 """)
 def diff_file_carry(spark, sf_dir):
     """Added lines of a unified diff with their file."""
-    d = table(spark, sf_dir, "documents").where("n_chars < 2000").select("doc_id", F.expr(_DIFFS.replace("chr(10)", "'\\n'")).alias("diff"))
+    return _added(table(spark, sf_dir, "documents").where("n_chars < 2000"))
+
+
+@query(SQL["diff_file_carry"].replace(" WHERE n_chars < 2000", ""))
+def diff_file_carry_whole(spark, sf_dir):
+    """diff_file_carry over documents of any length."""
+    return _added(table(spark, sf_dir, "documents"))
+
+
+def _added(documents):
+    d = documents.select("doc_id", F.expr(_DIFFS.replace("chr(10)", "'\\n'")).alias("diff"))
     return T.diff_lines(d, "doc_id", "diff").select("doc_id", "line_number", "file", F.md5("added").alias("added_md5"))
 
 
