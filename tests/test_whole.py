@@ -8,3 +8,8 @@ from .conftest import SF
 def test_diff_file_carry(spark):
     got = catalog.queries()["diff_file_carry_whole"](spark, SF)
     assert got.select("doc_id").distinct().count() == spark.read.parquet(f"{SF}/documents.parquet").where("text is not null").count()
+
+
+def test_stride_class(spark):
+    cut, whole = ({r.doc_id: r["class"] for r in catalog.queries()[n](spark, SF).collect()} for n in ("stride_class", "stride_class_whole"))
+    assert cut.keys() == whole.keys() and cut != whole

@@ -9,7 +9,7 @@ from ..functions import classify as K
 from ..functions import severity as S
 from ..operators import relational as R
 from ..operators import textscan as T
-from .registry import query, table
+from .registry import SQL, query, table
 
 _STRIDE_SQL = "CASE " + " ".join("WHEN " + " OR ".join(f"contains(lower(t), '{w}')" for w in ws) + f" THEN '{n}'" for n, ws in K.STRIDE) + " ELSE 'tampering' END"
 
@@ -21,6 +21,12 @@ def stride_class(spark, sf_dir):
     return d.select("doc_id", K.first_class(F.concat(F.left("text", F.lit(200)), "source")).alias("class"))
 
 
+@query(SQL["stride_class"].replace("left(text, 200)", "text"))
+def stride_class_whole(spark, sf_dir):
+    """stride_class over the whole text."""
+    return table(spark, sf_dir, "documents").select("doc_id", K.first_class(F.concat("text", "source")).alias("class"))
+
+
 @query("""
 SELECT event_id, round((CASE event_type WHEN 'error' THEN 1.0 WHEN 'purchase' THEN 0.8 WHEN 'signup' THEN 0.6 ELSE 0.4 END)::DOUBLE * CASE WHEN user_id % 3 = 0 THEN 1.5 ELSE 1.0 END::DOUBLE
   * CASE WHEN date_diff('day', ts::DATE, DATE '2024-01-31') <= 7 THEN 1.3 WHEN date_diff('day', ts::DATE, DATE '2024-01-31') <= 30 THEN 1.1 ELSE 1.0 END::DOUBLE * (1 + least(10.0, value / 10) / 20) * CASE WHEN event_id % 2 = 0 THEN 1.1 ELSE 1.0 END::DOUBLE, 10) AS score FROM events
