@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import severity as S
 from ..operators import relational as R
-from .registry import query, table
+from .registry import SQL, query, table
 
 _SEV = "CASE WHEN l_quantity >= 45 THEN 'critical' WHEN l_quantity >= 30 THEN 'high' WHEN l_quantity >= 15 THEN 'medium' ELSE 'low' END"
 
@@ -98,10 +98,20 @@ SELECT job, count(*) AS n FROM j JOIN r ON x >= a AND x <= b GROUP BY job
 """)
 def interval_join_jobs(spark, sf_dir):
     """Rows that fall into the interval of a job, as an equi-join on buckets of a day."""
+    return _jobs(table(spark, sf_dir, "orders").where("o_orderkey % 50 = 1"), table(spark, sf_dir, "events"))
+
+
+@query(SQL["interval_join_jobs"].replace(" WHERE o_orderkey % 50 = 1", ""))
+def interval_join_jobs_whole(spark, sf_dir):
+    """interval_join_jobs of every job."""
+    return _jobs(table(spark, sf_dir, "orders"), table(spark, sf_dir, "events"))
+
+
+def _jobs(orders, events):
     sec = lambda c: F.unix_timestamp(F.col(c).cast("timestamp")).cast("double")
-    j = table(spark, sf_dir, "orders").where("o_orderkey % 50 = 1").select(F.col("o_orderkey").alias("job"), sec("o_orderdate").alias("a"), (sec("o_orderdate") + 86400 * 3).alias("b"))
+    j = orders.select(F.col("o_orderkey").alias("job"), sec("o_orderdate").alias("a"), (sec("o_orderdate") + 86400 * 3).alias("b"))
     micro = (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at")
-    r = table(spark, sf_dir, "events").select("event_id", (micro - 1704067200 + 788918400).alias("at"))
+    r = events.select("event_id", (micro - 1704067200 + 788918400).alias("at"))
     return R.interval_join(r, j, "at", "a", "b", 86400).groupBy("job").agg(F.count("*").alias("n"))
 
 

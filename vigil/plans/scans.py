@@ -82,9 +82,15 @@ SELECT doc_id, line_number, section FROM n WHERE line_number % 3 = 0
 """)
 def section_carry(spark, sf_dir):
     """The last short line so far is the section a line stands in."""
+    return section_carry_whole(spark, sf_dir).where("line_number % 3 = 0")
+
+
+@query(SQL["section_carry"].replace(" WHERE line_number % 3 = 0", ""))
+def section_carry_whole(spark, sf_dir):
+    """section_carry of every line."""
     lined = T.lines(table(spark, sf_dir, "documents"), "doc_id", "text")
     out = T.carry(lined, "doc_id", "line_number", F.when((F.length("line") < 60) & (F.col("line") != ""), F.col("line")), "section")
-    return out.where("line_number % 3 = 0").select("doc_id", "line_number", "section")
+    return out.select("doc_id", "line_number", "section")
 
 
 _DIFFS = "concat('+++ b/src/', source, '.py', chr(10), '+', replace(text, chr(10), chr(10) || '+'), chr(10), ' unchanged')"
@@ -194,6 +200,15 @@ SELECT item_id, doc_id, count(*) AS shared FROM a JOIN b USING (x) GROUP BY ALL
 """)
 def requirement_coverage(spark, sf_dir):
     """Requirements and texts that share at least five long words: an equi-join on words instead of a scored product."""
+    return _covered(table(spark, sf_dir, "benchmark").where("item_id < 40"), table(spark, sf_dir, "documents"))
+
+
+@query(SQL["requirement_coverage"].replace(" WHERE item_id < 40", ""))
+def requirement_coverage_whole(spark, sf_dir):
+    """requirement_coverage of every requirement."""
+    return _covered(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"))
+
+
+def _covered(requirements, documents):
     words = lambda df, key: df.select(key, F.explode(F.array_distinct(F.filter(F.split(F.lower("text"), " "), lambda w: F.length(w) > 4))).alias("x"))
-    a = words(table(spark, sf_dir, "benchmark").where("item_id < 40"), "item_id")
-    return a.join(words(table(spark, sf_dir, "documents"), "doc_id"), "x").groupBy("item_id", "doc_id").agg(F.count("*").alias("shared")).where("shared >= 5")
+    return words(requirements, "item_id").join(words(documents, "doc_id"), "x").groupBy("item_id", "doc_id").agg(F.count("*").alias("shared")).where("shared >= 5")
