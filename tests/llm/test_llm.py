@@ -331,6 +331,83 @@ def test_op9(spark, edge, none):
     assert {x.doc_id: x.text for x in out.collect()}[1] is None
 
 
+def test_repeated_ids(spark):
+    """Rows of one id are separate: unique ones stay, whichever id they share; of full repeats one stays."""
+    a, b = BASE[0], BASE[1]
+    rows = [(3, a), (12, a), (12, b), (20, b + " tail"), (20, b + " tail"), (30, BASE[2]), (30, BASE[2]), (None, a), (5, None), (5, None)]
+    docs = spark.createDataFrame([(i, t, "x", "y", 1, "t", 2) for i, t in rows], "doc_id long, text string, dup_id string, text_hash string, n long, component_id string, k int")
+    got = minhash.dedup(docs)
+    assert got.columns == docs.columns
+    have = collections.Counter((r.doc_id, r.text) for r in got.collect())
+    assert have == collections.Counter([(3, a), (12, b), (30, BASE[2]), (None, a), (5, None), (5, None)])
+
+
+def test_sample_bound(spark):
+    docs = spark.createDataFrame([(7, f"text {i}") for i in range(500)] + [(8, "x"), (None, "y")], "doc_id long, text string")
+    labels = spark.createDataFrame([(7, 1), (8, 0), (None, 1)], "doc_id long, quality int")
+    assert quality.labelled(docs, labels, "quality", 10).count() == 2
+    assert quality.labelled(docs, labels, "quality", 1).count() == 1
+
+
+def test_op1_near_group(spark):
+    """Thousands of near copies of one document, each with an edit of its own: one group, no pairs within it."""
+    r = random.Random(21)
+    words = [r.choice(WORDS) + str(i) for i in range(200)]
+    rows = [(i, " ".join([*words[: i % 190], f"e{i}", *words[i % 190 + 1 :]])) for i in range(1, 4000)] + [(0, " ".join(words))]
+    got = {x.component_id for x in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0}
+
+
+def test_op9_clashing_names(spark):
+    rows = [(i, BASE[3] + ".", i, "g", 5) for i in range(4)] + [(None, BASE[3], 9, "g", 5), (9, None, 9, "g", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, gone_id long, _gone string, n_removed long")
+    got = substring.dedup(docs)
+    assert got.columns == docs.columns and {(r.doc_id, r.gone_id, r._gone, r.n_removed) for r in got.collect()} == {(i, x, "g", 5) for i, _, x, *_ in rows}
+    assert {r.doc_id: r.text for r in got.collect()} == {0: BASE[3] + ".", 1: "", 2: "", 3: "", None: BASE[3], 9: None}
+
+
+@pytest.mark.parametrize("kind", ["plain", "short lines", "code", "wide"])
+def test_op9_recall_by_kind(kind):
+    """A passage of 51 to 100 words in two texts shares a paragraph or gram, whatever its layout and script."""
+    r, table, hit = random.Random(29), common.WordHashes(), 0
+
+    def lay(n, w=None):
+        w = w or ["".join(chr(0x4E00 + r.randrange(3000)) for _ in range(2)) if kind == "wide" else f"{r.choice(WORDS)}{r.randrange(9999)}" for _ in range(n)]
+        if kind == "plain":
+            return " ".join(w)
+        if kind == "code":
+            return "\n".join("    " * r.randrange(3) + " = ".join(w[i : i + 3]) + ";" for i in range(0, len(w), 3))
+        return "\n".join(" ".join(w[i : i + 9]) for i in range(0, len(w), 9))
+
+    for _ in range(300):
+        p = lay(r.randrange(51, 101))
+        join = " " if kind == "plain" else "\n"
+        w, a, b = substring.units([join.join((lay(r.randrange(20, 200)), p, lay(r.randrange(20, 200)))).encode() for _ in range(2)], table)
+        ga, _, gk = substring.grams(w)
+        k = [{*substring.keys(w.h, a, b)[w.text_of(a) == i].tolist(), *gk[w.text_of(ga) == i].tolist()} for i in (0, 1)]
+        hit += bool(k[0] & k[1])
+    assert hit >= 0.98 * 300
+
+
+def test_op9_against_all_pairs(spark):
+    """Paragraphs on lines of their own: what stays is the first of each component of exact Jaccard, over all pairs."""
+    r = random.Random(31)
+    lines = []
+    for _ in range(60):
+        w = [f"{r.choice(WORDS)}{r.randrange(9999)}" for _ in range(r.randrange(25, 44))]
+        for _ in range(r.randrange(1, 5)):
+            v = list(w)
+            for _ in range(r.randrange(3)):
+                v[r.choice([0, 1, len(v) - 1])] = f"e{r.randrange(9999)}"
+            lines.append(" ".join(v))
+    r.shuffle(lines)
+    rows = list(enumerate(lines))
+    got = {x.doc_id: x.text for x in substring.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    heads = brute_components(rows, 80)
+    wrong = {i for i, t in got.items() if (t == "") != (heads[i] != i) and t in ("", lines[i])}
+    assert len(wrong) <= 0.02 * len(rows)
+
+
 def test_op9_many_edits(spark):
     """Copies of one passage, each with another word changed: alike to the original, most not to each other."""
     r = random.Random(13)

@@ -28,11 +28,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see. Set by the cluster; only where it is unset, a temporary one."""
+    """The folder that all executors see. Set by the cluster; only a local master may go without, with a temporary one."""
     sc = spark.sparkContext
     configured = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     current = sc._jsc.sc().getCheckpointDir()
     if not current.isDefined():
+        if not configured and not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="vigil-"))
         current = sc._jsc.sc().getCheckpointDir()
     return configured or current.get()
@@ -64,6 +66,17 @@ def drop(*tables: DataFrame) -> None:
             fs.delete(p, True)
 
 
+def free(df: DataFrame, *names: str) -> list[str]:
+    """Each name, with underscores before it until no column of ``df`` is called so (case does not matter)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n = f"_{n}"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
 def held_out(doc_id, folds: int, fold: int):
     """crc32 of the id as text, modulo ``folds``, equals ``fold``; a null id is in training (never held out)."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % folds == fold, F.lit(False))
@@ -131,11 +144,16 @@ SIEVE_BITS = 1 << 25
 
 
 class Sieve:
-    """A fixed-size bitmap of ids (two hashes each) that thins out a scan before an exact join."""
+    """A fixed-size bitmap of ids (two hashes each) that thins out a scan before an exact join.
 
-    def __init__(self, ids: DataFrame, column: str):
-        at = F.explode(F.array(*[F.pmod(F.xxhash64(F.col(column).cast("long"), F.lit(i)), F.lit(SIEVE_BITS)) for i in (0, 1)]))
-        words = ids.select(at.alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 AS int))")).alias("b"))
+    With ``local`` the hashes are such as holds() computes inside a task, for ids that arise there.
+    """
+
+    def __init__(self, ids: DataFrame, column: str, local: bool = False):
+        at = self.places(column)
+        if local:
+            at = [F.expr(f"(({column} >> {24 * i}) ^ ({column} >> {11 + 24 * i})) & {SIEVE_BITS - 1}L") for i in (0, 1)]
+        words = ids.select(F.explode(F.array(*at)).alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 AS int))")).alias("b"))
         got = words.toArrow()  # SIEVE_BITS / 64 rows at most
         bits = np.zeros(SIEVE_BITS // 64, dtype=np.int64)
         bits[got.column("w").to_numpy()] = got.column("b").to_numpy()
@@ -153,6 +171,11 @@ class Sieve:
             ok &= (bits[p >> 6] >> (p & 63)) & 1 == 1
         return ok
 
+    @staticmethod
+    def holds(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """For hashed ids (not negative) of a ``local`` sieve."""
+        return Sieve.passes(bits, *(((ids >> 24 * i) ^ (ids >> 11 + 24 * i)) & (SIEVE_BITS - 1) for i in (0, 1)))
+
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, label) for every node of undirected ``edges`` (a, b): label is the least node it reaches.

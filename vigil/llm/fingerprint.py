@@ -4,7 +4,8 @@ Every 5-word shingle of the lower-cased words is hashed once (xxHash64). The has
 ``BINS`` bins, the rest is its value; a bin keeps its least value. To find all minima without exploding rows, an
 array of keys (bin, value) gets one sentinel per bin, is sorted, and the first key of each bin stays. An empty bin takes
 the minimum of the first full bin on its fixed pseudo-random tour of the bins (optimal densification); the few bins whose
-first places are all empty look again, then also at bins just filled, which leaves the chance of agreement as it is. A fingerprint
+first places are all empty look again, then also at bins just filled, which leaves the chance of agreement as it is; what is
+empty even then walks its whole tour. A fingerprint
 is the lowest ``BITS`` bits of each bin's minimum, packed as hexadecimal digits. Likeness is the share m of equal
 bins, corrected for chance agreement of b bits: (m - 2**-b) / (1 - 2**-b), at least 0.
 
@@ -59,7 +60,8 @@ def with_bins(df: DataFrame, text: str, out: str, bins: int = BINS) -> DataFrame
     spots = [f"element_at(_d, ((shiftright(tour, {m}) + {k} * (tour & {bins - 1})) & {bins - 1}) + 1)" for k in range(_TRIES)]
     tries = " ".join(f"WHEN {full(v)} THEN {v}" for v in spots)
     fill = f"zip_with(_d, {_tours(bins)}, (x, tour) -> CASE WHEN {full('x')} THEN x {tries} ELSE x END)"
-    rest = f"CASE WHEN exists(_d, x -> NOT {full('x')}) THEN transform(_d, x -> CASE WHEN {full('x')} THEN x ELSE filter(_d, v -> {full('v')})[0] END) ELSE _d END"
+    walk = f"filter(transform(sequence(0, {bins - 1}), k -> element_at(_d, ((shiftright(tour, {m}) + k * (tour & {bins - 1})) & {bins - 1}) + 1)), v -> {full('v')})[0]"
+    rest = f"CASE WHEN exists(_d, x -> NOT {full('x')}) THEN zip_with(_d, {_tours(bins)}, (x, tour) -> CASE WHEN {full('x')} THEN x ELSE {walk} END) ELSE _d END"
     pack = f"transform(_d, x -> x & {(1 << BITS) - 1}L)"
     df = df.withColumn("_h", F.expr(word_hashes(text)))
     df = df.withColumn("_s", F.expr(f"sort_array(concat({keys}, {sentinels}))")).withColumn("_e", F.expr("size(_h) = 0")).drop("_h")

@@ -3,7 +3,8 @@
 Each document's distinct 5-word shingles are hashed once into ``BANDS * ROWS`` bins (one permutation); an empty bin
 takes the minimum of the first non-empty bin on its own pseudo-random tour of all bins (optimal densification, so a
 set of any size fills every bin). ``ROWS`` bins make a band; documents that agree in a band share a bucket. A bucket
-is never expanded into pairs: its members are compared with one hub. Exact copies are folded into one node first.
+is never expanded into pairs: its members are compared with one hub, by one order for all buckets, so that most of a
+group's buckets name the same pairs. Exact copies are folded into one node first.
 
 Stars verify each member against its hub only. As two members may be alike though both are unlike the hub, what then
 shares a bucket across components goes through an exact join: with a fixed order of shingles, rare ones first, two
@@ -12,6 +13,8 @@ pairs that share a bucket are decided. Every link is confirmed on the full shing
 
 Defined cases: null or blank text has no shingles and is linked with nothing; a null doc_id is returned with a null
 component_id and kept; rows that repeat a doc_id are separate documents with that id; an empty table gives no rows.
+Texts of any length are taken whole. dedup() keeps all columns, whatever their names; of a group it keeps the row with
+the least doc_id, among rows with that id the one whose text has the least hash, and of rows that repeat both any one.
 """
 
 from __future__ import annotations
@@ -28,8 +31,9 @@ from . import common as C
 ROWS, BANDS = 8, 48
 #: Fields of the packed bin key: the bin comes from the high bits of the hash, the value from the rest.
 _BINS = ROWS * BANDS
-#: Hubs of a bucket in each round of stars; they only leave less to the exact join that follows.
-STARS = (7, 12)
+#: Hubs of a bucket in each round of stars; they only leave less to the exact join that follows. In the first round all
+#: members have labels of their own, so one hub keeps the join at a row per member and bucket.
+STARS = (1, 4)
 #: Counters that order shingles by frequency: 8 MB whatever the corpus. Shared counters cost time, never a pair.
 CELLS = 1 << 21
 
@@ -84,7 +88,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     table = C.WordHashes()
     for b in batches:
         n, keys, bands = [], [], []
-        for t in C.text_bytes(b.column(1)):
+        for t in C.text_bytes(b.column(2)):
             s = C.shingles(table.of(C.words_of(t)))
             n.append(len(s))
             if len(s):
@@ -93,7 +97,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             else:
                 keys.append(None)
                 bands.append(None)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "n", "k", "bands"])
+        yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(n, pa.int64()), pa.array(keys, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "th", "n", "k", "bands"])
 
 
 def _sets(bits):
@@ -257,6 +261,7 @@ def _grow(comp: DataFrame | None, links: DataFrame) -> DataFrame:
 def clusters(wide: DataFrame, sets: DataFrame, percent: int, stars: tuple[int, ...] = STARS) -> DataFrame | None:
     """(node, label) of all nodes linked with another, or None: ``wide`` is (h, k, n, degree), ``sets`` (k, s)."""
     comp = tried = None
+    used = []
     members = wide.select("h", "k", "n", "degree", F.col("k").alias("label"))
     for turn in range(len(stars) + 1):
         if turn < len(stars):
@@ -267,6 +272,7 @@ def clusters(wide: DataFrame, sets: DataFrame, percent: int, stars: tuple[int, .
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         done = _confirm(pairs, sets, percent)
+        used.append(done)
         links = done.where("ok").select("a", "b")
         tried = done.select("a", "b") if tried is None else tried.union(done.select("a", "b"))
         if links.isEmpty():
@@ -274,6 +280,7 @@ def clusters(wide: DataFrame, sets: DataFrame, percent: int, stars: tuple[int, .
         comp = _grow(comp, links)
         members = wide.join(comp.withColumnRenamed("node", "k"), "k", "left").select("h", "k", "n", "degree", F.coalesce("label", "k").alias("label"))
         C.release(wide.sparkSession)
+    C.drop(*used)
     return comp
 
 
@@ -286,30 +293,55 @@ def widen(members: DataFrame, small: DataFrame) -> DataFrame:
     return C.cut(members.select("h", "k").join(degree.join(small, "k"), "k"))
 
 
-def near_duplicates(documents: DataFrame, percent: int = 85) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept. Links need 100 * |A and B| >= percent * |A or B|."""
+def assign(documents: DataFrame, percent: int = 85) -> DataFrame:
+    """(doc_id, th, n, component_id, head_th), one row per document; th is the hash of the text.
+
+    A component's head is its least (doc_id, th). Links need 100 * |A and B| >= percent * |A or B|.
+    """
     spark = documents.sparkSession
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sig = C.cut(docs.mapInArrow(_signatures, "doc_id long, n long, k long, bands array<long>"))
-    nodes = C.cut(sig.where("n > 0 and doc_id is not null").groupBy("k").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")))
-    of_doc = C.cut(sig.select("doc_id", "n", "k"))
+    sig = docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(_signatures, "doc_id long, th long, n long, k long, bands array<long>")
+    sig = C.cut(sig)
+    nodes = C.cut(sig.where("n > 0 and doc_id is not null").groupBy("k").agg(F.min(F.struct("doc_id", "th")).alias("head"), F.first("n").alias("n"), F.first("bands").alias("bands")))
+    of_doc = C.cut(sig.select("doc_id", "th", "n", "k"))
     C.drop(sig)
     rows = nodes.select(F.explode("bands").alias("h"), "k")
-    members = rows.join(rows.groupBy("h").agg(F.count("*").alias("c")).where("c > 1"), "h")
-    members = C.cut(members)
-    small = C.cut(nodes.select("k", "rep", "n"))
+    members = C.cut(rows.join(rows.groupBy("h").agg(F.count("*").alias("c")).where("c > 1"), "h"))
+    small = C.cut(nodes.select("k", "head", F.col("head.doc_id").alias("rep"), "n"))
     C.drop(nodes)
-    wide = widen(members, small)
+    wide = widen(members, small.select("k", "rep", "n"))
     C.drop(members)
     C.release(spark)
     sets = _candidate_sets(docs, wide)
     comp = clusters(wide, sets, percent)
-    nodes = small
-    least = nodes.select("k", "rep", F.col("k").alias("label"))
+    C.drop(sets, wide)
+    least = small.select("k", "head", F.col("k").alias("label"))
     if comp is not None:
-        least = nodes.join(comp.withColumnRenamed("node", "k"), "k", "left").select("k", "rep", F.coalesce("label", "k").alias("label"))
-    heads = least.groupBy("label").agg(F.min("rep").alias("component_id"))
-    least = C.cut(least.join(heads, "label").select("k", "component_id"))
-    out = of_doc.select("doc_id", F.col("n").alias("n_shingles"), "k").join(least, "k", "left")
+        least = small.join(comp.withColumnRenamed("node", "k"), "k", "left").select("k", "head", F.coalesce("label", "k").alias("label"))
+    # a table of its own, so that the join on a label that many nodes share can be split
+    heads = C.cut(least.groupBy("label").agg(F.min("head").alias("first")))
+    least = C.cut(least.join(heads, "label").select("k", F.col("first.doc_id").alias("component_id"), F.col("first.th").alias("head_th")))
+    C.drop(heads, small)
+    out = of_doc.join(least, "k", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return out.select("doc_id", "th", "n", component.alias("component_id"), F.coalesce("head_th", "th").alias("head_th"))
+
+
+def near_duplicates(documents: DataFrame, percent: int = 85) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, kept."""
+    own = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
+    return assign(documents, percent).select("doc_id", F.col("n").alias("n_shingles"), "component_id", own.alias("kept"))
+
+
+def dedup(documents: DataFrame, percent: int = 80) -> DataFrame:
+    """``documents`` with one row of each group of near-duplicates; rows without words or id all stay."""
+    i, t, th = C.free(documents, "dup_id", "dup_th", "text_hash")
+    rows = C.cut(assign(documents, percent).where("doc_id is not null and n > 0"))
+    head = "doc_id = component_id and th = head_th"
+    gone = rows.where(f"not ({head})").select(F.col("doc_id").alias(i), F.col("th").alias(t)).distinct()
+    again = rows.where(head).groupBy(F.col("doc_id").alias(i), F.col("th").alias(t)).agg(F.count("*").alias("c")).where("c > 1").drop("c")
+    same = (F.col("doc_id").cast("long") == F.col(i)) & (F.col(th) == F.col(t))
+    kept = documents.withColumn(th, F.xxhash64(F.col("text").cast("string"))).join(gone, same, "left_anti")
+    if not again.isEmpty():
+        kept = kept.join(again, same, "left_anti").union(kept.join(again, same, "left_semi").dropDuplicates(["doc_id", th]))
+    return kept.drop(th)

@@ -9,7 +9,9 @@ Fitting reads at most ``sample`` labelled rows (those with the least hash of the
 
 Defined cases: null text is the empty text and gets the score of its statistics; labels that are null, or repeated
 with both values, are not used; with no labelled row of a class the score is the share of class 1 among labels (1 if
-there are none); null doc_id counts as not held out; an empty table gives no rows.
+there are none); null doc_id counts as not held out; texts of any length are read whole; ids with the same hash are
+ordered by id; rows that repeat an id are scored each; keep() returns all columns, whatever their names; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -94,12 +96,16 @@ class Discriminant:
 
 
 def labelled(documents: DataFrame, labels: DataFrame, column: str, sample: int, folds: int = FOLDS, fold: int = FOLD) -> DataFrame:
-    """(text, y) of at most ``sample`` documents outside the held-out fold; the ids, not the texts, are broadcast."""
+    """(text, y) of at most ``sample`` documents outside the held-out fold; the ids, not the texts, are broadcast.
+
+    Of rows that repeat an id, the one whose text has the least hash is taken, so ``sample`` bounds the rows as well.
+    """
     y = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("int").alias("y")).where("doc_id is not null and y in (0, 1)")
     y = y.groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("top")).where("y = top").where(~C.held_out("doc_id", folds, fold))
     y = y.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select("doc_id", "y")
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.join(F.broadcast(y), "doc_id").select("text", "y")  # `sample` rows at most
+    rows = docs.join(F.broadcast(y), "doc_id")  # `sample` ids at most
+    return rows.groupBy("doc_id").agg(F.min_by(F.struct("text", "y"), F.xxhash64("text")).alias("row")).select("row.text", "row.y")
 
 
 def fit(documents: DataFrame, labels: DataFrame, column: str = "quality", sample: int = SAMPLE, pooled: float = SHRINK_POOLED, identity: float = SHRINK_IDENTITY) -> Discriminant:

@@ -1,9 +1,9 @@
 """Substring dedup by paragraph MinHash: colliding paragraphs are joined, verified and clustered; repeats are removed.
 
-Paragraphs are lines of at least ``LINE`` words; shorter neighbours are gathered, and lines of twice as many words are
-cut after sentence ends where a hash of their last words is least nearby, so that a passage inside other text is cut
-alike everywhere. Gathered lines under ``GATHERED`` words (licence lines, headings) and pieces under ``LEAST`` words are
-never removed. Equal paragraphs fold into one node; the nodes'
+Paragraphs are lines of at least ``LINE`` words, cut inside after sentence ends, and shorter lines gathered up to a line
+start; where text has no sentence end nearby, any word may be a cut. Of these places, those are taken whose hash of the
+two words around is the least nearby, so that only the words around a cut decide it. Gathered lines under ``GATHERED``
+words (licence lines, headings) and pieces under ``LEAST`` words are no paragraphs. Equal paragraphs fold into one node; the nodes'
 5-word shingles go through one-permutation MinHash with ``BANDS`` bands of ``ROWS`` bins (at a likeness of 0.8 a pair
 meets with probability 0.998). All pairs that share a bucket are decided as in ``minhash``: stars around the member
 that shares most buckets, then an exact join across the components; pairs are verified by the exact Jaccard likeness
@@ -15,14 +15,17 @@ where a hash of two words is least within ``NEAR`` words on either side, and the
 ``RUN`` words make a gram. Of equal grams clear of removed paragraphs the first stays and the others are removed.
 
 Defined cases: null or blank text has no paragraphs and is returned as it is; a row with a null doc_id is returned as
-it is; rows that repeat a doc_id are one document (what stands at the same place stays in each); all columns are
-kept; an empty table gives no rows.
+it is; rows that repeat a doc_id are one document (what stands at the same place stays in each); ties are broken by
+doc_id, then by place; texts of any length are taken whole; all columns are kept, whatever their names (with a report,
+those of its names are replaced); an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,93 +36,132 @@ from pyspark.sql import functions as F
 from . import common as C
 from .minhash import clusters, tours, widen
 
-LINE, GATHERED, LEAST, MOST = 24, 20, 10, 96
+LINE, GATHERED, LEAST, FAR = 24, 20, 10, 48
 NEAR, RUN = 4, 20
+#: Words away from sentence ends are cuts only under this hash: the least of 2 * FAR words nearly always is.
+RARE = np.uint64(1 << 61)
 ROWS, BANDS, SHINGLE = 2, 6, 5
 PERCENT = 80
-STARS = (2,)
+STARS = (1,)
 REPORT = ("n_removed", "removed_words", "removed_spans", "first_docs")
 _WORD = re.compile(rb"[^ \t-\r]+")
-_ENDS = frozenset(b".!?")
-
-
-def units(text: bytes, table: C.WordHashes) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    """Word hashes of the text, and its paragraphs as ranges of words."""
-    words: list[bytes] = []
-    cuts: list[tuple[int, int]] = []
-    start = 0  # of what is being gathered from short lines
-    for line in text.lower().split(b"\n"):
-        ws = line.split()
-        at = len(words)
-        words += ws
-        n = len(ws)
-        if n < LINE:
-            if len(words) - start >= LINE:
-                cuts.append((start, len(words)))
-                start = len(words)
-            continue
-        if at - start >= GATHERED:
-            cuts.append((start, at))
-        last = at
-        for j in inner_cuts(ws, table) if n >= 2 * LINE else ():
-            cuts.append((last, at + j))
-            last = at + j
-        cuts.append((last, at + n))
-        start = at + n
-    if len(words) - start >= GATHERED:
-        cuts.append((start, len(words)))
-    return table.of(words), cuts
-
-
-def inner_cuts(ws: list[bytes], table: C.WordHashes) -> list[int]:
-    """Where a long line is cut: after sentence ends whose hash is the least within LEAST words on either side.
-
-    Only the words around it decide a cut, so a passage is cut alike whatever stands before it. Stretches of more than
-    MOST words without such a place are cut every MOST words.
-    """
-    n = len(ws)
-    ends = [j for j in range(1, n) if ws[j][-1] in _ENDS]
-    value = [(table[ws[j]] * 31 + table[ws[j - 1]]) & 0xFFFFFFFF for j in ends]
-    cuts, lo, hi = [], 0, 0
-    for i, j in enumerate(ends):
-        while ends[lo] <= j - LEAST:
-            lo += 1
-        while hi < len(ends) and ends[hi] < j + LEAST:
-            hi += 1
-        if LEAST <= j + 1 <= n - LEAST and value[i] <= min(value[lo:hi]) and value.index(value[i], lo, hi) == i:
-            cuts.append(j + 1)
-    out, last = [], 0
-    for j in [*cuts, n]:
-        while j - last > MOST + LEAST:
-            last += MOST
-            out.append(last)
-        if j < n:
-            out.append(j)
-            last = j
-    return out
-
-
-def grams(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+_BLANK, _STOP = (np.isin(np.arange(256), [*x]) for x in (b" \t\n\x0b\x0c\r", b".!?"))
+
+
+def minima(at: np.ndarray, value: np.ndarray, reach: int) -> np.ndarray:
+    """Which of the sorted places ``at`` have the least value within ``reach`` words on either side; the first of equals."""
+    least = np.ones(len(at), dtype=bool)
+    for s in range(1, len(at)):
+        near = at[s:] - at[:-s] <= reach
+        if not near.any():
+            break
+        least[s:] &= ~near | (value[s:] < value[:-s])
+        least[:-s] &= ~near | (value[:-s] <= value[s:])
+    return least
+
+
+@dataclass(frozen=True)
+class Words:
+    """Texts laid end to end: the hashes of their words, and where each text begins (one more place: the end)."""
+
+    h: np.ndarray
+    begin: np.ndarray
+
+    def text_of(self, at: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.begin, at, side="right") - 1
+
+
+def units(texts: list[bytes], table: C.WordHashes) -> tuple[Words, np.ndarray, np.ndarray]:
+    """Words of the texts, and their paragraphs as ranges of words; no text has a say in another's."""
+    low = [t.lower() for t in texts]
+    words = [t.split() for t in low]
+    begin = np.concatenate(([0], np.cumsum([len(w) for w in words], dtype=np.int64)))
+    h, n = table.of([*chain.from_iterable(words)]), int(begin[-1])
+    out = Words(h, begin)
+    if not n:
+        return out, begin[:0], begin[:0]
+    raw = np.frombuffer(b"\n".join(low) + b" ", dtype=np.uint8)
+    blank = _BLANK[raw]
+    last = np.flatnonzero(blank[1:] & ~blank[:-1])  # the last byte of each word
+    line = np.searchsorted(np.flatnonzero(raw == 10), last)
+    start = np.concatenate(([0], np.flatnonzero(line[1:] != line[:-1]) + 1))
+    size = np.diff(start, append=n)
+    long = size >= LINE
+    value = np.full(n, np.iinfo(np.uint64).max)  # of a cut before each word
+    value[1:] = C.mix(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:])
+    heads = begin[:-1][begin[1:] > begin[:-1]]
+    value[heads] = np.iinfo(np.uint64).max
+    # lines, and stretches of short lines, lie further apart than any reach: none decides a cut in another
+    new = np.zeros(n + 1, dtype=bool)
+    new[heads] = True
+    apart = np.cumsum(long | np.concatenate(([True], long[:-1])) | new[start]) * 1000
+    line_of = np.repeat(np.arange(len(size)), size)
+    inside = np.repeat(long, size)
+    shift = np.arange(n) + apart[line_of]
+    first = start[~long]
+    cuts = [heads, start[long], (start + size)[long], np.array([n]), first[minima(shift[first], value[first], GATHERED - 1)]]
+    after = shift - (start + apart)[line_of]
+    room = inside & (after >= LEAST) & (size[line_of] - after >= LEAST)
+    stop = np.zeros(n, dtype=bool)
+    stop[1:] = _STOP[raw[last[:-1]]]
+    ends = np.flatnonzero(stop & room)
+    cuts.append(ends[minima(shift[ends], value[ends], LEAST - 1)])
+    # words without a sentence end, or an end of the line, within FAR words
+    far = np.flatnonzero(inside & (after > FAR) & (size[line_of] - after > FAR) & (value < RARE))
+    at = np.searchsorted(shift[ends], shift[far])
+    there = np.concatenate(([-(1 << 60)], shift[ends], [1 << 60]))
+    far = far[np.minimum(shift[far] - there[at], there[at + 1] - shift[far]) > FAR]
+    cuts.append(far[minima(shift[far], value[far], FAR)])
+    at = np.unique(np.concatenate(cuts))
+    a, b = at[:-1], at[1:]
+    keep = b - a >= np.where(inside[a], LEAST, GATHERED)
+    return out, a[keep], b[keep]
+
+
+def grams(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(first word, end, key) of every gram; a cut depends on the NEAR + 1 words before and after it only."""
-    n = len(h)
-    v = C.mix(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:])  # v[j - 1] decides the cut before word j
+    h, n = w.h, len(w.h)
+    if n < RUN:
+        return w.begin[:0], w.begin[:0], w.begin[:0]
+    first = np.zeros(n, dtype=bool)
+    first[w.begin[:-1][w.begin[1:] > w.begin[:-1]]] = True
+    pad = NEAR + 2  # between texts
+    place = np.arange(n) + np.repeat(np.arange(len(w.begin) - 1) * pad, np.diff(w.begin))
+    v = np.full(place[-1] + 1, np.iinfo(np.uint64).max)
+    v[place[1:]] = C.mix(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:])  # decides the cut before a word
+    v[place[first]] = np.iinfo(np.uint64).max
     least = np.ones(len(v), dtype=bool)
     for i in range(1, NEAR + 1):
         least[i:] &= v[i:] < v[:-i]
         least[:-i] &= v[:-i] <= v[i:]
-    at = np.r_[0, np.flatnonzero(least) + 1, n].astype(np.int64)
-    i = np.searchsorted(at, at + RUN)
-    a, b = at[i < len(at)], at[i[i < len(at)]]
+    at = np.append(np.flatnonzero((least[place] & ~first) | first), n)
+    i = np.minimum(np.searchsorted(at, at + RUN), len(at) - 1)
+    ok = (at[i] - at >= RUN) & (at[i] <= w.begin[np.minimum(w.text_of(at) + 1, len(w.begin) - 1)])
+    a, b = at[ok], at[i[ok]]
     # words weighted by powers of an odd number: the key of a range is a difference of sums, divided by its start's power
     odd = 0x9E3779B97F4A7C15
-    up, down = (np.cumprod(np.r_[np.uint64(1), np.full(n, np.uint64(x))]) for x in (odd, pow(odd, -1, 1 << 64)))
-    total = np.r_[np.uint64(0), np.cumsum(C.mix(h) * up[:-1])]
+    up, down = (np.cumprod(np.concatenate((np.ones(1, dtype=np.uint64), np.full(n, np.uint64(x))))) for x in (odd, pow(odd, -1, 1 << 64)))
+    total = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(C.mix(h) * up[:-1])))
     k = C.mix((total[b] - total[a]) * down[a] + (b - a).astype(np.uint64))
     return a, b, (k >> np.uint64(1)).view(np.int64)
 
 
-def keys(h: np.ndarray, cuts: list[tuple[int, int]]) -> list[int]:
-    return [xxhash.xxh3_64_intdigest(h[a:b].tobytes()) & 0x7FFFFFFFFFFFFFFF for a, b in cuts]
+def _chunks(texts: list[bytes], most: int = 1 << 19) -> Iterator[list[bytes]]:
+    """Neighbouring texts of about ``most`` bytes together; a longer text alone."""
+    held, n = [], 0
+    for t in texts:
+        if held and n + len(t) > most:
+            yield held
+            held, n = [], 0
+        held.append(t)
+        n += len(t)
+    if held:
+        yield held
+
+
+def keys(h: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    raw, digest = memoryview(np.ascontiguousarray(h)).cast("B"), xxhash.xxh3_64_intdigest
+    return np.array([digest(raw[8 * x : 8 * y]) & 0x7FFFFFFFFFFFFFFF for x, y in zip(a.tolist(), b.tolist(), strict=True)], dtype=np.int64)
 
 
 def _shingle_hashes(h: np.ndarray) -> np.ndarray:
@@ -129,13 +171,12 @@ def _shingle_hashes(h: np.ndarray) -> np.ndarray:
     return acc
 
 
-def bands(h: np.ndarray, cuts: list[tuple[int, int]]) -> np.ndarray:
-    """Band keys [paragraph, BANDS], for all paragraphs of a text at once."""
+def bands(h: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Band keys [paragraph, BANDS], for all paragraphs at once."""
     s, bins = _shingle_hashes(h), ROWS * BANDS
-    sig = np.full(len(cuts) * bins, np.iinfo(np.uint64).max, dtype=np.uint64)
-    size = np.array([b - a - SHINGLE + 1 for a, b in cuts])
-    first = np.array([a for a, _ in cuts])
-    who = np.repeat(np.arange(len(cuts)), size)
+    sig = np.full(len(a) * bins, np.iinfo(np.uint64).max, dtype=np.uint64)
+    size, first = b - a - SHINGLE + 1, a
+    who = np.repeat(np.arange(len(a)), size)
     at = np.arange(len(who)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(first, size)
     v = s[at]
     np.minimum.at(sig, who * bins + (((v >> np.uint64(32)) * np.uint64(bins)) >> np.uint64(32)).astype(np.int64), v)
@@ -148,38 +189,30 @@ def bands(h: np.ndarray, cuts: list[tuple[int, int]]) -> np.ndarray:
         take = ~full & have[:, tour[:, k]]
         sig = np.where(take, original[:, tour[:, k]], sig)
         full |= take
-    acc = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), (len(cuts), BANDS)).copy()
-    v = sig.reshape(len(cuts), BANDS, ROWS)
+    acc = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), (len(a), BANDS)).copy()
+    v = sig.reshape(len(a), BANDS, ROWS)
     for i in range(ROWS):
         acc = C.mix(acc * np.uint64(0x9E3779B97F4A7C15) + v[:, :, i])
     return acc.view(np.int64)
 
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Paragraphs with their bands, grams with none; places are counted in the words of the text."""
     table = C.WordHashes()
     for b in batches:
-        rows: list[tuple] = []
-        for d, t in enumerate(C.text_bytes(b.column(1))):
-            h, cuts = units(t, table)
-            if cuts:
-                a, e = np.array(cuts).T
-                rows.append((d, a, e, np.array(keys(h, cuts)), bands(h, cuts).reshape(-1), True))
-            if len(h) >= RUN:
-                rows.append((d, *grams(h), np.empty(0, dtype=np.int64), False))
-            if sum(len(r[1]) for r in rows[-2:]) > 20_000 or len(rows) > 256:
-                yield _unit_batch(b, rows)
-                rows = []
-        yield _unit_batch(b, rows)
-
-
-def _unit_batch(b: pa.RecordBatch, rows: list[tuple]) -> pa.RecordBatch:
-    """Paragraphs with their bands, grams with none."""
-    n = np.array([len(r[1]) for r in rows], dtype=np.int64)
-    cat = lambda i, t: np.concatenate([np.empty(0, t), *(r[i] for r in rows)]).astype(t)
-    whom = np.repeat(np.array([r[0] for r in rows], dtype=np.int64), n)
-    width = np.repeat(np.array([BANDS if r[5] else 0 for r in rows], dtype=np.int32), n)
-    lists = pa.ListArray.from_arrays(np.r_[np.int32(0), np.cumsum(width, dtype=np.int32)], pa.array(cat(4, np.int64)))
-    return pa.RecordBatch.from_arrays([b.column(0).take(pa.array(whom)), pa.array(cat(1, np.int32)), pa.array(cat(2, np.int32)), pa.array(cat(3, np.int64)), lists], ["doc_id", "at", "to", "k", "bands"])
+        done = 0
+        for texts in _chunks(C.text_bytes(b.column(1))):
+            w, a, e = units(texts, table)
+            ga, ge, gk = grams(w)
+            at, to, k = np.concatenate((a, ga)), np.concatenate((e, ge)), np.concatenate((keys(w.h, a, e), gk))
+            text = w.text_of(at)
+            some = bands(w.h, a, e).reshape(-1) if len(a) else np.empty(0, dtype=np.int64)
+            offsets = np.minimum(np.arange(len(at) + 1), len(a)) * BANDS
+            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(some))
+            cols = [b.column(0).take(pa.array(done + text)), pa.array((at - w.begin[text]).astype(np.int32)), pa.array((to - w.begin[text]).astype(np.int32)), pa.array(k), lists]
+            done += len(texts)
+            whole = pa.RecordBatch.from_arrays(cols, ["doc_id", "at", "to", "k", "bands"])
+            yield from (whole.slice(i, 20_000) for i in range(0, max(1, len(at)), 20_000))
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,16 +232,23 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(k)], ["h", "k"])
 
 
-def _sets(bits):
+def _sets(docs_bits, key_bits):
+    """(k, s): shingle sets of the paragraphs that the sieve of keys lets through, in texts that the other lets through."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = C.WordHashes()
         for b in batches:
-            b = b.filter(pa.array(C.Sieve.passes(bits.value, b.column(1).to_numpy(), b.column(2).to_numpy()), pa.bool_()))
+            b = b.filter(pa.array(C.Sieve.passes(docs_bits.value, b.column(1).to_numpy(), b.column(2).to_numpy()), pa.bool_()))
             key, sets = [], []
-            for t in C.text_bytes(b.column(0)):
-                h, cuts = units(t, table)
-                key += keys(h, cuts)
-                sets += [C.shingles(h[x:y], SHINGLE).tobytes() for x, y in cuts]
+            for texts in _chunks(C.text_bytes(b.column(0))):
+                w, x, y = units(texts, table)
+                ks = keys(w.h, x, y)
+                want = np.flatnonzero(C.Sieve.holds(key_bits.value, ks))
+                s = _shingle_hashes(w.h)
+                for i in want.tolist():
+                    one = np.sort(s[x[i] : y[i] - SHINGLE + 1])
+                    key.append(ks[i])
+                    sets.append(one[np.concatenate(([True], one[1:] != one[:-1]))].tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(sets, pa.binary())], ["k", "s"])
 
     return run
@@ -228,8 +268,8 @@ def repeats(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     C.drop(nodes)
     C.release(documents.sparkSession)
     wanted = C.cut(members.select("k").distinct().join(small.select("k", "head.doc_id"), "k"))
-    sieve = C.Sieve(wanted, "doc_id")
-    sets = docs.select("text", *C.Sieve.places("doc_id")).mapInArrow(_sets(sieve.bits), "k long, s binary")
+    sieve, named = C.Sieve(wanted, "doc_id"), C.Sieve(wanted, "k", local=True)
+    sets = docs.select("text", *C.Sieve.places("doc_id")).mapInArrow(_sets(sieve.bits, named.bits), "k long, s binary")
     sets = C.cut(sets.join(wanted.select("k"), "k", "left_semi").groupBy("k").agg(F.first("s").alias("s")))
     sizes = sets.select("k", (F.octet_length("s") / 8).cast("long").alias("n"))
     wide = widen(members.join(members.groupBy("h").agg(F.count("*").alias("c")), "h"), sizes)
@@ -259,10 +299,9 @@ def repeats(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 def strip(text: bytes, gone: set[tuple[int, int]], table: C.WordHashes) -> tuple[bytes, list[tuple[int, int]], int]:
     """Text without the paragraphs and grams ``gone`` (first word, key), the byte spans cut, and how many words they had."""
-    h, cuts = units(text, table)
-    found = [(a, b) for (a, b), k in zip(cuts, keys(h, cuts), strict=True) if (a, k) in gone]
-    if len(h) >= RUN:
-        found += [(a, b) for a, b, k in zip(*(x.tolist() for x in grams(h)), strict=True) if (a, k) in gone]
+    w, a, b = units([text], table)
+    found = [(x, y) for x, y, k in zip(a.tolist(), b.tolist(), keys(w.h, a, b).tolist(), strict=True) if (x, k) in gone]
+    found += [(x, y) for x, y, k in zip(*(c.tolist() for c in grams(w)), strict=True) if (x, k) in gone]
     drop_: list[tuple[int, int]] = []
     for a, b in sorted(found):
         if drop_ and a < drop_[-1][1]:
@@ -289,9 +328,10 @@ def dedup(documents: DataFrame, percent: int = PERCENT, report: bool = False) ->
     With ``report``: also (in place of columns of these names) n_removed, removed_words, removed_spans (byte ranges of the old text) and the sorted ids of the
     documents that hold the first occurrences (first_docs).
     """
-    gone = repeats(documents, percent).groupBy("doc_id").agg(F.collect_list(F.struct("at", "k", "head_doc")).alias("_gone")).withColumnRenamed("doc_id", "_id")
     kept = documents.drop(*REPORT) if report else documents
-    both = kept.join(gone, F.col("doc_id").cast("long") == F.col("_id"), "left").drop("_id")
+    i, g = C.free(kept, "gone_id", "gone")
+    gone = repeats(documents, percent).groupBy(F.col("doc_id").alias(i)).agg(F.collect_list(F.struct("at", "k", "head_doc")).alias(g))
+    both = kept.join(gone, F.col("doc_id").cast("long") == F.col(i), "left").drop(i)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
     if report:
         schema += ", n_removed long, removed_words long, removed_spans array<struct<s:long,e:long>>, first_docs array<long>"
