@@ -8,7 +8,8 @@ words (licence lines, headings) and pieces under ``LEAST`` words are no paragrap
 meets with probability 0.998). All pairs that share a bucket are decided as in ``minhash``: stars around the member
 that shares most buckets, then an exact join across the components; pairs are verified by the exact Jaccard likeness
 of their shingle sets, and links are clustered by connected components. Of each cluster the first occurrence (doc_id,
-then place) stays, all others are removed from the texts.
+then place) stays, all others are removed from the texts. Of a paragraph that is alike, not equal, to the first, words
+before and after all that the two share stay where they are more than SHINGLE: they belong to what surrounds the passage.
 
 Passages that paragraphs cut differently are found by grams: the word stream, whatever its lines and sentences, is cut
 where a hash of two words is least within ``NEAR`` words on either side, and the fewest pieces from a cut on that hold
@@ -38,7 +39,7 @@ from .minhash import clusters, tours, widen
 
 LINE, GATHERED, LEAST, FAR = 24, 20, 10, 48
 NEAR, RUN = 4, 20
-#: Words away from sentence ends are cuts only under this hash: the least of 2 * FAR words nearly always is.
+#: Words away from sentence ends are cuts only under this hash: the least of 2 * LINE words nearly always is.
 RARE = np.uint64(1 << 61)
 ROWS, BANDS, SHINGLE = 2, 6, 5
 PERCENT = 80
@@ -111,7 +112,7 @@ def units(texts: list[bytes], table: C.WordHashes) -> tuple[Words, np.ndarray, n
     at = np.searchsorted(shift[ends], shift[far])
     there = np.concatenate(([-(1 << 60)], shift[ends], [1 << 60]))
     far = far[np.minimum(shift[far] - there[at], there[at + 1] - shift[far]) > FAR]
-    cuts.append(far[minima(shift[far], value[far], FAR)])
+    cuts.append(far[minima(shift[far], value[far], LINE)])
     at = np.unique(np.concatenate(cuts))
     a, b = at[:-1], at[1:]
     keep = b - a >= np.where(inside[a], LEAST, GATHERED)
@@ -255,7 +256,10 @@ def _sets(docs_bits, key_bits):
 
 
 def repeats(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, at, k, head_doc, head_at): every paragraph and gram that repeats the first one of its cluster."""
+    """(doc_id, at, k, head_doc, head_at, ref): every paragraph and gram that repeats the first one of its cluster.
+
+    ref: the shingle set of that first one, where it is not equal.
+    """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     both = C.cut(docs.mapInArrow(_units, "doc_id long, at int, to int, k long, bands array<long>"))
     rows, runs = both.where("size(bands) > 0"), C.cut(both.where("size(bands) = 0").drop("bands"))
@@ -275,13 +279,17 @@ def repeats(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     wide = widen(members.join(members.groupBy("h").agg(F.count("*").alias("c")), "h"), sizes)
     C.drop(members)
     comp = clusters(wide, sets, percent, STARS)
-    C.drop(sets, wanted, wide)
+    C.drop(wanted, wide)
     C.release(documents.sparkSession)
     # only nodes that occur twice or are linked have anything to remove
     linked = comp.withColumnRenamed("node", "k") if comp is not None else small.where("false").select("k", F.col("k").alias("label"))
     some = small.join(linked, "k", "left").where("c > 1 or label is not null").select("k", "head", F.coalesce("label", "k").alias("label"))
-    heads = some.groupBy("label").agg(F.min("head").alias("head"))
-    some = C.cut(some.drop("head").join(heads, "label").select("k", "head"))
+    some = C.cut(some)
+    heads = C.cut(some.groupBy("label").agg(F.min(F.struct("head", "k")).alias("first")))
+    both = some.select("k", "label").join(heads, "label").select("k", F.col("first.head").alias("head"), F.col("first.k").alias("head_k"))
+    refs = both.where("k <> head_k").join(sets.select(F.col("k").alias("head_k"), F.col("s").alias("ref")), "head_k").select("k", "head", "ref")
+    some = C.cut(both.where("k = head_k").select("k", "head", F.lit(None).cast("binary").alias("ref")).union(refs))
+    C.drop(sets, small, heads)
     out = C.cut(places.join(some, "k").where("doc_id <> head.doc_id or at <> head.at"))
     C.drop(places)
     # grams that occur more than once, clear of the paragraphs removed
@@ -293,14 +301,24 @@ def repeats(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     C.drop(met)
     heads = clear.groupBy("k").agg(F.min(F.struct("doc_id", "at")).alias("head"))
     again = clear.join(heads, "k").where("doc_id <> head.doc_id or at <> head.at")
-    out = out.select("doc_id", "at", "k", "head").union(again.select("doc_id", "at", "k", "head"))
-    return out.select("doc_id", "at", "k", F.col("head.doc_id").alias("head_doc"), F.col("head.at").alias("head_at"))
+    out = out.select("doc_id", "at", "k", "head", "ref").union(again.select("doc_id", "at", "k", "head", F.lit(None).cast("binary")))
+    return out.select("doc_id", "at", "k", F.col("head.doc_id").alias("head_doc"), F.col("head.at").alias("head_at"), "ref")
 
 
-def strip(text: bytes, gone: set[tuple[int, int]], table: C.WordHashes) -> tuple[bytes, list[tuple[int, int]], int]:
-    """Text without the paragraphs and grams ``gone`` (first word, key), the byte spans cut, and how many words they had."""
+def strip(text: bytes, gone: dict[tuple[int, int], bytes | None], table: C.WordHashes) -> tuple[bytes, list[tuple[int, int]], int]:
+    """Text without the paragraphs and grams ``gone`` ((first word, key): ref), the byte spans cut, and how many words they had."""
     w, a, b = units([text], table)
-    found = [(x, y) for x, y, k in zip(a.tolist(), b.tolist(), keys(w.h, a, b).tolist(), strict=True) if (x, k) in gone]
+    found = []
+    for x, y, k in zip(a.tolist(), b.tolist(), keys(w.h, a, b).tolist(), strict=True):
+        if (x, k) in gone:
+            ref = gone[x, k]
+            if ref:
+                own = _shingle_hashes(w.h[x:y])
+                met = np.flatnonzero(np.isin(own, np.frombuffer(ref, dtype=np.uint64)))
+                if 2 * len(met) >= len(own):  # else they are linked by others only
+                    before, after = int(met[0]), y - x - int(met[-1]) - SHINGLE
+                    x, y = x + before * (before > SHINGLE), y - after * (after > SHINGLE)
+            found.append((x, y))
     found += [(x, y) for x, y, k in zip(*(c.tolist() for c in grams(w)), strict=True) if (x, k) in gone]
     drop_: list[tuple[int, int]] = []
     for a, b in sorted(found):
@@ -330,7 +348,7 @@ def dedup(documents: DataFrame, percent: int = PERCENT, report: bool = False) ->
     """
     kept = documents.drop(*REPORT) if report else documents
     i, g = C.free(kept, "gone_id", "gone")
-    gone = repeats(documents, percent).groupBy(F.col("doc_id").alias(i)).agg(F.collect_list(F.struct("at", "k", "head_doc")).alias(g))
+    gone = repeats(documents, percent).groupBy(F.col("doc_id").alias(i)).agg(F.collect_list(F.struct("at", "k", "head_doc", "ref")).alias(g))
     both = kept.join(gone, F.col("doc_id").cast("long") == F.col(i), "left").drop(i)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
     if report:
@@ -342,7 +360,7 @@ def dedup(documents: DataFrame, percent: int = PERCENT, report: bool = False) ->
             i = b.schema.get_field_index("text")
             texts, n, words, spans, firsts = [], [], [], [], []
             for raw, t, g in zip(b.column(i), C.text_bytes(b.column(i)), b.column(b.num_columns - 1).to_pylist(), strict=True):
-                out, cut, w = strip(t, {(x["at"], x["k"]) for x in g}, table) if g else (t, [], 0)
+                out, cut, w = strip(t, {(x["at"], x["k"]): x["ref"] for x in g}, table) if g else (t, [], 0)
                 texts.append(out.decode() if raw.is_valid else None)
                 n.append(len(cut))
                 words.append(w)
