@@ -284,6 +284,30 @@ def test_op7_forward_is_exact():
     assert np.allclose(ll, want) and np.isclose(start.sum(), 3) and np.isclose(trans.sum(), 4) and np.isclose(emit.sum(), 7)
 
 
+def test_op7_long_text():
+    """Counts of a text worked through in segments equal those of the whole."""
+    r, s = np.random.default_rng(1), lm.STATES
+    m = lm.Model.from_counts(r.random(s), r.random((s, s)), r.random((1 + lm.SYMBOLS + lm.CLASSES, s)))
+    for n in (1, 5, 20, 23):
+        seq = r.integers(0, 4000, n)
+        for got, want in zip(m.long_counts(seq, 5), m.forward([seq], back=True)[1:], strict=True):
+            assert np.allclose(got, want)
+
+
+def test_op2_gain(spark):
+    """On held-out documents the classifier on posteriors beats the majority of the voters, and is near one on given labels."""
+    sf = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    model = toxicity.fit(docs, labels)
+    held = docs.join(labels, "doc_id").where(common.held_out("doc_id", 5, 0)).where("toxic is not null").select("text", "toxic").collect()
+    y = np.array([r.toxic for r in held])
+    texts = [(r.text or "").encode() for r in held]
+    right = ((model.score(texts) >= 0.5) == y).mean()
+    share = np.array([np.mean(toxicity.votes(t, model.lexicon)[0]) for t in texts])
+    assert right >= 0.985 and right > ((share > np.quantile(share, 1 - y.mean())) == y).mean() + 0.01
+
+
 def test_op8(spark, edge, none):
     import pyarrow as pa
 
@@ -295,6 +319,8 @@ def test_op8(spark, edge, none):
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.media_bytes) == (len(raw), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]), len(p) + 44)
         t = pa.ipc.open_stream(r.tensors).read_all()
         assert t.schema.field("log_mel").type.shape == [media.FRAMES, media.MELS] and t.num_rows >= 1
+        assert r.tensor_shape == [t.num_rows, media.FRAMES, media.MELS] and r.feature.endswith(hashlib.sha256(media.read_tensors(r.tensors).tobytes()).hexdigest())
+        assert len(r.spans) >= 1 and all(0 <= s.start_s < s.end_s for s in r.spans)
     assert media.features(media.store(none)).count() == 0
 
 

@@ -3,11 +3,13 @@
 A payload is stored losslessly as the samples of an 8-bit mono PCM WAV file. Features: the samples are resampled by a
 rational factor with a windowed-sinc filter in polyphase form, overlapping Hann frames give log energies of triangular
 mel bands, and frames are segmented by energy with hysteresis (a segment starts above the upper threshold and lasts
-until below the lower one). Frames go into fixed-shape tensors [FRAMES, MELS]; each has its time span. Long audio is
-worked through in blocks, so memory follows the block, not the file.
+until below the lower one). Frames go into fixed-shape tensors [FRAMES, MELS], each with its time span, in an Arrow
+stream; the feature digest is computed from the tensors read back from it. Samples of long audio are worked through in
+blocks; a file's tensors (half the size of its samples) are held together.
 
 Defined cases: null text is empty and gets one block of zeros as payload; equal texts have equal rows; a file shorter
-than a frame is padded with silence to one frame; an empty table gives no rows.
+than a frame is padded with silence to one frame; texts of any length are taken whole; a null or repeated doc_id is
+returned as it is; further columns are kept, but those named like a feature are replaced; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -172,40 +174,50 @@ def store(documents: DataFrame) -> DataFrame:
     return documents.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
-def features(media: DataFrame, with_tensors: bool = True) -> DataFrame:
+def read_tensors(stream: bytes) -> np.ndarray:
+    """[tensors, FRAMES, MELS] of an Arrow stream that features() stored."""
+    return pa.ipc.open_stream(stream).read_all().column("log_mel").combine_chunks().to_numpy_ndarray()
+
+
+FEATURES = (
+    ("payload_bytes", "long"), ("payload_sha256", "string"), ("tail_crc32", "long"), ("media_bytes", "long"), ("media_sha256", "string"),
+    ("spans", "array<struct<start_s:double,end_s:double>>"), ("feature", "string"), ("tensor_shape", "array<int>"), ("tensors", "binary"),
+)
+
+
+def features(media: DataFrame) -> DataFrame:
     """Features of a ``media`` column; all other columns are kept.
 
-    Adds payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, spans (seconds), feature (a digest of the
-    log-mel statistics) and, if asked for, tensors (an Arrow stream of fixed-shape tensors with time spans).
+    Adds payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, spans (seconds), tensors (an Arrow stream
+    of fixed-shape tensors with time spans), their shape, and feature (a digest of the tensors as read back).
     """
-    kept = [f for f in media.schema if f.name != "media"]
-    extra = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, spans array<struct<start_s:double,end_s:double>>, feature string"
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [extra] + ["tensors binary"] * with_tensors)
+    kept = [f for f in media.schema if f.name != "media" and f.name not in dict(FEATURES)]
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [f"{n} {t}" for n, t in FEATURES])
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())])), pa.string(), pa.list_(pa.int32()), pa.binary()]
+
+    def row(raw: bytes, a: Audio) -> list:
+        samples, _ = read_wav(raw)
+        parts = [*a.log_mel(np.frombuffer(samples, dtype=np.uint8))]
+        energy = np.concatenate([e for _, e in parts])
+        spans, n = a.segments(energy), len(energy)
+        stream = _batch(np.concatenate([p for p, _ in parts]), a)
+        stored = read_tensors(stream)
+        mels = stored.reshape(-1, MELS)[:n].astype(np.float64)
+        code = np.clip(np.round(np.r_[mels.mean(axis=0), mels.std(axis=0)] * 8) + 128, 0, 255).astype(np.uint8).tobytes().hex()
+        return [
+            len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-PAD:]), len(raw), hashlib.sha256(raw).hexdigest(),
+            [{"start_s": a.seconds(s), "end_s": a.seconds(e - 1) + WINDOW / a.rate} for s, e in spans],
+            f"{n}:{len(spans)}:{code}:{hashlib.sha256(stored.tobytes()).hexdigest()}", list(stored.shape), stream,
+        ]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a = audio()
         for b in batches:
-            out: list[list] = [[] for _ in range(7 + with_tensors)]
-            for m in b.column(b.schema.get_field_index("media")):
-                raw = m.as_py()
-                samples, _ = read_wav(raw)
-                x = np.frombuffer(samples, dtype=np.uint8)
-                parts = [*a.log_mel(x)]
-                energy = np.concatenate([e for _, e in parts])
-                spans = a.segments(energy)
-                n = len(energy)
-                mean = sum(p.sum(axis=0, dtype=np.float64) for p, _ in parts) / n
-                square = sum((p.astype(np.float64) ** 2).sum(axis=0) for p, _ in parts) / n
-                sd = np.sqrt(np.maximum(0, square - mean**2))
-                code = np.clip(np.round(np.r_[mean, sd] * 8) + 128, 0, 255).astype(np.uint8).tobytes().hex()
-                row = [len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-PAD:]), len(raw), hashlib.sha256(raw).hexdigest()]
-                row += [[{"start_s": a.seconds(s), "end_s": a.seconds(e - 1) + WINDOW / a.rate} for s, e in spans], f"{n}:{len(spans)}:{code}"]
-                row += [_batch(np.concatenate([p for p, _ in parts]), a)] * with_tensors
-                for o, v in zip(out, row, strict=True):
-                    o.append(v)
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())])), pa.string(), pa.binary()]
-            names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "spans", "feature", "tensors"]
-            cols = [b.column(b.schema.get_field_index(f.name)) for f in kept] + [pa.array(o, k) for o, k in zip(out, kinds)]
-            yield pa.RecordBatch.from_arrays(cols, [f.name for f in kept] + names[: len(out)])
+            files = b.column(b.schema.get_field_index("media"))
+            for i in range(0, max(1, len(files)), 256):  # tensors of a few files at a time
+                part = b.slice(i, 256)
+                rows = [row(m.as_py(), a) for m in files[i : i + 256]]
+                cols = [part.column(b.schema.get_field_index(f.name)) for f in kept] + [pa.array([r[j] for r in rows], k) for j, k in enumerate(kinds)]
+                yield pa.RecordBatch.from_arrays(cols, [f.name for f in kept] + [n for n, _ in FEATURES])
 
     return media.mapInArrow(run, schema)

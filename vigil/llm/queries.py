@@ -48,7 +48,7 @@ def op4_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.summary(licenses.scan(table(spark, sf_dir, "documents"))).drop("spans")
+    return licenses.summary(licenses.scan(table(spark, sf_dir, "documents")))
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,7 +60,7 @@ def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.features(media.store(table(spark, sf_dir, "documents")), with_tensors=False).drop("spans")
+    return media.features(media.store(table(spark, sf_dir, "documents")))
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

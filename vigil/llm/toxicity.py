@@ -1,23 +1,27 @@
 """Toxicity by weak supervision: many lexicon and pattern voters, a generative label model, a linear classifier.
 
 Voters. Lexicon entries are whole words and word beginnings whose document frequencies differ between labels; they
-are counted over the sample on the executors, and the strongest ``LEXICON`` come back. Voters fire on one or two hits
-by kind of entry and by strength; pattern voters look at exclamation, capitals and address. While training, a
-document's own occurrence is taken out of the counts, so that an entry known from one document never explains it.
+are counted over the sample on the executors, and the strongest ``LEXICON`` come back. They are dealt to ``GROUPS``
+voters for each kind of entry, each firing on any of its own words; further voters fire on one or two hits by kind of
+entry and by strength; pattern voters look at exclamation, capitals and address. While training, a document's own
+occurrence is taken out of the counts, so that an entry known from one document never explains it.
 
-Label model. Votes and the given label (one more voter, itself fallible) come from a two-class generative model with
-a mean vote per class (accuracies) and a shared covariance (correlations), fitted by expectation maximisation;
-correlated voters thus share their weight. Classifier: ridge logistic regression of the posterior on votes and hit
-counts; it alone scores documents.
+Label model. A two-class generative model of the votes: a mean vote per class (accuracies) and a shared covariance
+(correlations), fitted by expectation maximisation that starts from the agreement of the voters (two means of the share
+that fires) and re-estimates all of them, and the shares of the classes, each round. Correlated voters thus share their
+weight. The given label is one more voter, of unknown accuracy. Classifier: ridge logistic regression of the posterior on
+votes and hit counts; it alone scores documents.
 
 Fitting reads at most ``sample`` labelled rows (those with the least hash of their id), never a held-out one.
 
 Defined cases: null text is the empty text; with no labelled row of a class every score is 0; null doc_id counts as
-not held out; rows that repeat an id are scored each; an empty table gives no rows.
+not held out; rows that repeat an id are scored each; texts of any length are read whole; entries of equal strength are
+taken in order of their key; keep() returns all columns, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -35,6 +39,8 @@ FOLDS, FOLD = 5, 0
 THRESHOLD = 0.5
 PREFIXES = (4, 5, 6)
 TIERS = (1.5, 2.5, 3.5)
+#: Voters that the entries of one kind are dealt to, by a hash of the word.
+GROUPS = 8
 
 _DROP = bytes(range(0x21, 0x30)) + bytes(range(0x3A, 0x41)) + bytes(range(0x5B, 0x61)) + bytes(range(0x7B, 0x7F)) + b"0123456789"
 _SPACES = bytes.maketrans(_DROP, b" " * len(_DROP))
@@ -79,10 +85,16 @@ class Lexicon:
         return got
 
 
-def votes(text: bytes, lexicon: Lexicon, own: int = -1) -> tuple[list[float], list[float]]:
-    """(votes of 0 or 1, further inputs of the classifier)."""
+def votes(text: bytes, lexicon: Lexicon, own: int = -1) -> tuple[list[float], list[float], list[float]]:
+    """(votes of 0 or 1, further inputs of the classifier, votes of the groups of entries while training)."""
     ws = words(text)
-    hits = [s for w in ws if (s := lexicon.strength(w, own))]
+    known = [(w, s) for w in ws if (s := lexicon.strength(w, own))]
+    hits = [s for _, s in known]
+    groups = np.zeros((1 + len(PREFIXES), GROUPS))
+    for w, s in known if own >= 0 else ():
+        for k, x in enumerate(s):
+            if x >= TIERS[0]:
+                groups[k, zlib.crc32(w.encode()) % GROUPS] = 1
     kinds = [sum(s[k] >= TIERS[0] for s in hits) for k in range(1 + len(PREFIXES))]
     best = [max(s) for s in hits]
     tiers = [sum(b >= t for b in best) for t in TIERS]
@@ -94,31 +106,47 @@ def votes(text: bytes, lexicon: Lexicon, own: int = -1) -> tuple[list[float], li
     v += [float(upper > 0), float(10 * upper > n > 0), float(caps > 0), float(5 * caps > n > 0), float(address > 0)]
     top = sorted(best, reverse=True)[:3] + [0.0] * 3
     more = [np.log1p(c) for c in tiers] + [c / (n + 1) * 20 for c in tiers] + [x / 5 for x in top[:3]]
-    return v, [float(x) for x in more]
+    return v, [float(x) for x in more], groups.reshape(-1).tolist()
 
 
-def label_model(v: np.ndarray, given: np.ndarray, rounds: int = 15, trust: float = 0.95) -> np.ndarray:
+def agreement(v: np.ndarray) -> np.ndarray:
+    """0.95 for rows on the upper of two means of the share of voters that fire, 0.05 for the others."""
+    share = v.mean(axis=1)
+    lo, hi = share.min(), share.max()
+    for _ in range(50):
+        above = share > (lo + hi) / 2
+        if above.all() or not above.any():
+            break
+        lo, hi = share[~above].mean(), share[above].mean()
+    return np.where(above, 0.95, 0.05)
+
+
+def label_model(v: np.ndarray, given: np.ndarray, rounds: int = 60, shrink: float = 0.05, ridge: float = 0.2) -> np.ndarray:
     """Posterior of class 1 for every row of votes.
 
-    The votes have a mean per class and a shared covariance; ``given`` is one more voter, independent of them given the
-    class, of accuracy ``trust`` at the start and never over 0.99 or under 0.01 later, so that the votes can overrule it.
+    The votes have a mean per class and a shared covariance, shrunk to its diagonal and with a ridge (without it, voters
+    that copy each other would become the class); ``given`` is one more voter,
+    independent of them given the class, whose accuracy (0.01 to 0.99) is estimated like all else.
     """
-    q = np.where(given == 1, trust, 1 - trust)
-    cov = None  # correlations are taken against the given labels: refitted to q, voters that copy each other would become the class
+    q = agreement(v)
     for _ in range(rounds):
         w1 = q.sum()
         w0 = len(q) - w1
-        m1, m0 = (q @ v) / max(w1, 1e-9), ((1 - q) @ v) / max(w0, 1e-9)
+        if min(w1, w0) < 1:  # the voters see one class only
+            return np.where(given == 1, 0.95, 0.05)
+        m1, m0 = (q @ v) / w1, ((1 - q) @ v) / w0
         d1, d0 = v - m1, v - m0
-        if cov is None:
-            cov = ((d1 * q[:, None]).T @ d1 + (d0 * (1 - q)[:, None]).T @ d0) / len(v)
-            cov = 0.9 * cov + np.diag(0.1 * np.diag(cov) + 0.02)
+        cov = ((d1 * q[:, None]).T @ d1 + (d0 * (1 - q)[:, None]).T @ d0) / len(v)
+        cov = (1 - shrink) * cov + np.diag(shrink * np.diag(cov) + ridge)
         weight = np.linalg.solve(cov, m1 - m0)
-        hit = np.clip(q @ given / max(w1, 1e-9), 0.01, 0.99)  # how often the given label is 1 in either class
-        false = np.clip((1 - q) @ given / max(w0, 1e-9), 0.01, 0.99)
+        hit = np.clip(q @ given / w1, 0.01, 0.99)  # how often the given label is 1 in either class
+        false = np.clip((1 - q) @ given / w0, 0.01, 0.99)
         own = np.where(given == 1, np.log(hit / false), np.log((1 - hit) / (1 - false)))
-        logit = (v - (m1 + m0) / 2) @ weight + own + np.log(max(w1, 1e-9) / max(w0, 1e-9))
-        q = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
+        logit = (v - (m1 + m0) / 2) @ weight + own + np.log(w1 / w0)
+        new = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
+        moved, q = np.abs(new - q).max(), new
+        if moved < 1e-4:
+            break
     return q
 
 
@@ -142,7 +170,7 @@ class Classifier:
     def score(self, texts: list[bytes]) -> np.ndarray:
         if self.weights is None or not texts:
             return np.zeros(len(texts))
-        x = np.array([sum(votes(t, self.lexicon), []) for t in texts])
+        x = np.array([sum(votes(t, self.lexicon)[:2], []) for t in texts])
         return 1 / (1 + np.exp(-np.clip(np.column_stack([(x - self.mean) / self.scale, np.ones(len(x))]) @ self.weights, -700, 700)))
 
 
@@ -180,14 +208,14 @@ def fit(documents: DataFrame, labels: DataFrame, column: str = "toxic", sample:
         for b in batches:
             y = b.column(1).to_pylist()
             out = [votes(t, lexicon, o) for t, o in zip(C.text_bytes(b.column(0)), y, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(1), *(pa.array([x[i] for x in out], pa.list_(pa.float64())) for i in (0, 1))], ["y", "v", "x"])
+            yield pa.RecordBatch.from_arrays([b.column(1), *(pa.array([x[i] for x in out], pa.list_(pa.float64())) for i in (0, 1, 2))], ["y", "v", "x", "g"])
 
-    got = rows.mapInArrow(vote, "y int, v array<double>, x array<double>").toArrow()
+    got = rows.mapInArrow(vote, "y int, v array<double>, x array<double>, g array<double>").toArrow()
     y = got.column("y").to_numpy()
     v = np.array(got.column("v").to_pylist(), dtype=float)
     x = np.column_stack([v, np.array(got.column("x").to_pylist(), dtype=float)])
     C.drop(rows, counts)
-    return Classifier(lexicon, x, label_model(v, y))
+    return Classifier(lexicon, x, label_model(np.column_stack([v, np.array(got.column("g").to_pylist(), dtype=float)]), y))
 
 
 def score(documents: DataFrame, model: Classifier, threshold: float = THRESHOLD) -> DataFrame:
