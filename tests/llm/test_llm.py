@@ -206,6 +206,35 @@ def test_op5(spark, edge, none, docs):
     assert licenses.summary(licenses.scan(none)).count() == 0
 
 
+def test_op5_matching_statistics():
+    """Longest match ending at each word and its places, against brute force; a licence with other words in it is spanned."""
+    r = random.Random(37)
+    for _ in range(30):
+        seqs = [[r.randrange(1, 4) for _ in range(r.randrange(6, 25))] for _ in range(4)]
+        auto = licenses.Automaton(seqs)
+        state = n = 0
+        text = [r.randrange(1, 5) for _ in range(60)]
+        for i, w in enumerate(text):
+            while state and w not in auto.next[state]:
+                state = auto.link[state]
+                n = auto.length[state]
+            state, n = (auto.next[state][w], n + 1) if w in auto.next[state] else (0, 0)
+            want = max(k for k in range(i + 2) if k == 0 or any(s[j : j + k] == text[i + 1 - k : i + 1] for s in seqs for j in range(len(s))))
+            assert n == want
+            if n >= licenses.LONG:
+                places = {t: [j + n - 1 for j in range(len(s)) if s[j : j + n] == text[i + 1 - n : i + 1]] for t, s in enumerate(seqs)}
+                assert auto.at[state] == {t: p for t, p in places.items() if p}
+    s = licenses.scanner()
+    label, whole = next(x for x in licenses.TEMPLATES if x[0] == "bsd-3-clause")
+    w = licenses.words(whole.encode())
+    for i in range(20, len(w), 40):
+        w[i] = b"otherword"
+    _, _, spans = s.scan(b"before it " + b" ".join(w) + b" after it")
+    assert any(x.label == label and x.start == 2 and x.end == 2 + len(w) and x.cover > 0.9 for x in spans)
+    twice = licenses.Scanner((("t", "a b c d e f g a b c d e h i"),)).scan(b"a b c d e f g a b c d e h i")[2]
+    assert [(x.start, x.end, x.cover) for x in twice] == [(0, 14, 1.0)]
+
+
 def test_op6(spark, edge, none):
     import public_tokenizers as P
     from tokenizers import Tokenizer

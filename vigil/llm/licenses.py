@@ -3,15 +3,19 @@
 The automaton holds every word sequence that occurs in a template. A text is streamed through it once: at each word it
 yields the length of the longest sequence ending there that some template contains, and the automaton state. Phrases
 of the base list are read off the states (a phrase ends where the statistics reach its length in a state below it).
-Right-maximal matches of at least ``LONG`` words (or a whole short template) are chained per template, in text order
-and with template positions that advance, over gaps of at most ``GAP`` words; a chain that covers ``COVER`` of the
-template is a span and gives the template's label.
+Right-maximal matches of at least ``LONG`` words (or a whole short template), at every place where the template holds
+them, are chained per template: the chain that covers most words, in text order and with template positions that advance,
+over gaps of at most ``GAP`` words. A chain that covers ``COVER`` of the template is a span and gives the template's label.
+
+Templates are a parameter, (label, text) pairs; ``templates()`` reads them from a table. The default ones are notices and
+whole short licences.
 
 Words outside all templates reset the stream, so only runs of known words are walked. The automaton is built from
 constants and its size does not depend on the corpus.
 
-Defined cases: null text is empty (no words, no places, no labels, score 0); equal texts have equal rows; an empty
-table gives no rows.
+Defined cases: null text is empty (no words, no places, no labels, score 0); equal texts have equal rows; of chains that
+cover as much the one that starts first counts; texts of any length are taken whole; null or repeated ids are returned as
+they are; columns but doc_id and text are not looked at; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -56,7 +60,58 @@ TEMPLATES = (
     ("cc-by-sa", "licensed under cc by sa 4 0"),
     ("cc-by-nd", "licensed under cc by nd 4 0"),
     ("cc-by-4.0", "licensed under cc by 4 0"),
-)
+    ("mit", """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
+        documentation files (the "Software"), to deal in the Software without restriction, including without limitation the
+        rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit
+        persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice
+        and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS
+        PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF
+        MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT
+        HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE,
+        ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""),
+    ("bsd-3-clause", """Redistribution and use in source and binary forms, with or without modification, are permitted provided
+        that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this
+        list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright
+        notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with
+        the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse
+        or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY
+        THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO,
+        THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE
+        COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL
+        DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR
+        BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT
+        (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE
+        POSSIBILITY OF SUCH DAMAGE."""),
+    ("isc", """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby
+        granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS
+        PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES
+        OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR
+        CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF
+        CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS
+        SOFTWARE."""),
+    ("zlib", """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held
+        liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for
+        any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following
+        restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the
+        original software. If you use this software in a product, an acknowledgment in the product documentation would be
+        appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be
+        misrepresented as being the original software. 3. This notice may not be removed or altered from any source
+        distribution."""),
+    ("bsl-1.0", """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software
+        and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute,
+        execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to
+        whom the Software is furnished to do so, all subject to the following: The copyright notices in the Software and this
+        entire statement, including the above license grant, this restriction and the following disclaimer, must be included
+        in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or
+        derivative works are solely in the form of machine-executable object code generated by a source language processor."""),
+    ("unlicense", """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify,
+        publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any
+        purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or
+        authors of this software dedicate any and all copyright interest in the software to the public domain. We make this
+        dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this
+        dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under
+        copyright law."""),
+)
 
 _KEEP = {*b"0123456789abcdefghijklmnopqrstuvwxyz", *range(0x80, 0x100)}
 _WORDS = bytes(b if b in _KEEP else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
@@ -73,16 +128,20 @@ class Automaton:
     def __init__(self, sequences: list[list[int]]):
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
-        self.at: list[dict[int, int]] = [{}]  # template -> least end position of the state's longest sequence there
+        self.at: list[dict[int, list[int]]] = [{}]  # template -> end positions of the state's sequences there
         for t, seq in enumerate(sequences):
             last = 0
             for i, w in enumerate(seq):
                 last = self._extend(last, w)
-                self.at[last].setdefault(t, i)
+                self.at[last].setdefault(t, []).append(i)
+        whole = {len(x) for x in sequences}
         for s in sorted(range(1, len(self.link)), key=lambda s: -self.length[s]):
-            up = self.at[self.link[s]]
             for t, i in self.at[s].items():
-                up[t] = min(up.get(t, i), i)
+                up = self.at[self.link[s]]
+                up[t] = sorted({*up.get(t, ()), *i})
+        for s in range(1, len(self.link)):  # no match is as short as these states' sequences
+            if self.length[s] < LONG and not any(self.length[self.link[s]] < n <= self.length[s] for n in whole):
+                self.at[s] = {}
 
     def _new(self, length: int, copy: int = -1) -> int:
         self.next.append(dict(self.next[copy]) if copy >= 0 else {})
@@ -125,9 +184,9 @@ class Span:
 class Scanner:
     def __init__(self, templates=TEMPLATES, base=BASE):
         self.labels = [lab for _, lab in base] + [lab for lab, _ in templates]
-        texts = [p.split() for p, _ in base] + [t.split() for _, t in templates]
+        texts = [words(p.encode()) for p, _ in base] + [words(t.encode()) for _, t in templates]
         self.vocabulary: dict[bytes, int] = {}
-        seqs = [[self.vocabulary.setdefault(w.encode(), len(self.vocabulary) + 1) for w in t] for t in texts]
+        seqs = [[self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in t] for t in texts]
         self.auto = Automaton(seqs)
         self.size = [len(s) for s in seqs]
         self.base = len(base)
@@ -176,46 +235,65 @@ class Scanner:
         return len(ws), places, self._chain(matches)
 
     def _match(self, matches: dict, state: int, l: int, end: int) -> None:
-        for t, i in self.auto.at[state].items():
+        for t, at in self.auto.at[state].items():
             if t >= self.base and (l >= LONG or l == self.size[t]):
-                matches.setdefault(t, []).append((end - l, end, i + 1 - l))
+                matches.setdefault(t, []).extend((end - l, end, i + 1 - l) for i in at if i + 1 >= l)
 
     def _chain(self, matches: dict) -> list[Span]:
+        """Spans of the best chains: words covered, matches in order in text and template, gaps of GAP words at most."""
         spans = []
         for t, found in matches.items():
-            found.sort()
-            chain: list[tuple[int, int, int]] = []
-            for m in [*found, None]:
-                if chain and (m is None or m[0] - chain[-1][1] > GAP or m[2] <= chain[-1][2]):
-                    covered, last = 0, chain[0][0]
-                    for s, e, _ in chain:
-                        covered += max(0, e - max(s, last))
-                        last = max(last, e)
-                    if covered >= COVER * self.size[t]:
-                        spans.append(Span(self.labels[t], chain[0][0], chain[-1][1], min(1.0, covered / self.size[t])))
-                    chain = []
-                if m is not None:
-                    chain.append(m)
+            found.sort(key=lambda m: (m[1], m[0], m[2]))
+            best, back = [], []
+            for j, (s, e, p) in enumerate(found):
+                most, via = e - s, -1
+                for i in range(j - 1, -1, -1):  # ends do not fall, so what lies further back is out of reach
+                    s0, e0, p0 = found[i]
+                    if e0 < s - GAP:
+                        break
+                    if s0 < s and e0 < e and p0 < p and best[i] + e - max(s, e0) > most:
+                        most, via = best[i] + e - max(s, e0), i
+                best.append(most)
+                back.append(via)
+            taken: list[tuple[int, int]] = []
+            for j in sorted(range(len(found)), key=lambda j: (-best[j], found[j])):
+                if best[j] < COVER * self.size[t]:
+                    break
+                i = j
+                while back[i] >= 0:
+                    i = back[i]
+                a, b = found[i][0], found[j][1]
+                if all(b <= x or a >= y for x, y in taken):
+                    taken.append((a, b))
+                    spans.append(Span(self.labels[t], a, b, min(1.0, best[j] / self.size[t])))
         return sorted(spans, key=lambda s: (s.start, s.end, s.label))
 
 
-_loaded: list[Scanner] = []
+_loaded: dict[tuple, Scanner] = {}
+
+
+def scanner(templates: tuple = TEMPLATES) -> Scanner:
+    if templates not in _loaded:
+        _loaded[templates] = Scanner(templates)
+    return _loaded[templates]
 
 
-def scanner() -> Scanner:
-    if not _loaded:
-        _loaded.append(Scanner())
-    return _loaded[0]
+def templates(table: DataFrame, most: int = 10_000) -> tuple[tuple[str, str], ...]:
+    """(label, text) pairs of a table of licence texts, of at most ``most`` rows; more is an error, as nothing is left out."""
+    rows = table.where("label is not null and text is not null").select("label", "text").distinct().orderBy("label", "text").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} licence texts")
+    return tuple((r.label, r.text) for r in rows)
 
 
 SCHEMA = "doc_id long, n_words long, places array<struct<start:int,end:int,label:string>>, spans array<struct<label:string,start:int,end:int,cover:double>>"
 
 
-def scan(documents: DataFrame) -> DataFrame:
+def scan(documents: DataFrame, texts: tuple = TEMPLATES) -> DataFrame:
     """(doc_id, n_words, places, spans): places of base phrases and covered template spans, in words from 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = scanner()
+        s = scanner(texts)
         for b in batches:
             n, places, spans = [], [], []
             for t in C.text_bytes(b.column(1)):
