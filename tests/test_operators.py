@@ -164,3 +164,57 @@ def test_nested_trees_and_exports(spark):
     assert {(r.name, r.version, tuple(r.dependencies)) for r in M.cargo_lock(files).collect()} == {("x", "1.0", ("y", "z")), ("y", "0.1", ())}
     rules = spark.createDataFrame([("r1", "it's \\d+", "high", "*", "bad")], "id string, pattern string, severity string, language string, message string")
     assert "pattern-regex: 'it''s \\d+'" in E.semgrep(rules).first().document and '"level":"error"' in E.sarif_rule(rules).first().document
+
+
+def test_short_values_are_found(spark):
+    from vigil.operators import textscan
+
+    texts = spark.createDataFrame([(1, "has abc inside"), (2, "nothing"), (3, "long-value.example here"), (4, None)], "id long, text string")
+    values = spark.createDataFrame([("abc",), ("long-value.example",), ("",), ("zz",)], "value string")
+    assert {(r.id, r.value) for r in textscan.contains_join(texts, "text", values, "value").collect()} == {(1, "abc"), (3, "long-value.example")}
+
+
+def test_greedy_unique(spark):
+    import random
+
+    from vigil.operators import correlation
+
+    r = random.Random(4)
+    rows = [(i, r.choice([None, *(f"a{x}" for x in range(40))]), r.choice([None, *(f"b{x}" for x in range(60))])) for i in range(300)]
+    seen, want = set(), []
+    for i, a, b in rows:
+        if not {a, b} & seen:
+            want.append(i)
+            seen |= {a, b} - {None}
+    got = correlation.greedy_unique(spark.createDataFrame(rows, "i long, a string, b string"), "i", "a", "b")
+    assert sorted(x.i for x in got.collect()) == want
+
+
+def test_deep_dependency_path(spark):
+    from vigil.operators import advisories
+
+    tree = spark.createDataFrame([(f"p{i:02}", f"p{i - 1:02}" if i else None) for i in range(24)], "name string, parent string")
+    got = {x.name: x.path for x in advisories.dependency_paths(tree).collect()}
+    assert len(got) == 24 and got["p23"].count(" > ") == 23
+
+
+def test_commit_analysis(spark):
+    """From commits and diffs to scores: pipeline tampering, ignore rules, owners, unknown severities."""
+    from vigil.operators import commit_signals
+
+    pipeline = "diff --git a/x b/x\n--- a/.github/workflows/ci.yml\n+++ b/.github/workflows/ci.yml\n-  run: snyk test\n+  run: git commit --no-verify\n+  EXPOSE 8080\n"
+    ignore = "--- a/.gitignore\n+++ b/.gitignore\n-.env\n-build/\n+dist/\n"
+    rows = [
+        ("a", "Change the pipeline for reasons", "2024-01-01T12:00:00Z", "x@a", "x@a", True, False, 0, 3, [".github/workflows/ci.yml"], pipeline),
+        ("b", "wip", "2024-01-01T23:00:00Z", "x@a", "y@b", False, True, 900, 1000, ["id_rsa", "lib.so"], ""),
+        ("c", "Fine and descriptive", "2024-01-01T12:00:00Z", "x@a", "X@A", True, False, 0, 3, ["main.py"], ""),
+        ("d", "Ignore less", "2024-01-01T12:00:00Z", "x@a", "noreply@h", True, False, 0, 3, [".gitignore"], ignore),
+    ]
+    commits = spark.createDataFrame(rows, "sha string, message string, committed_at string, author string, committer string, verified boolean, forced boolean, deletions long, changes long, files array<string>, diff string")
+    findings = spark.createDataFrame([("c", "high"), ("c", "weird")], "sha string, severity string")
+    got = {r.sha: r for r in commit_signals.analyze(commits, findings).collect()}
+    assert got["a"].signals == "cicd_tamper" and got["a"].score == 3.0
+    assert got["b"].signals == "author_mismatch,binary_file,force_push,large_deletion,off_hours,sensitive_file,suspicious_message,unsigned"
+    assert got["b"].score == 9.0
+    assert got["c"].signals == "high,medium" and got["c"].score == 2.0
+    assert got["d"].signals == "config_weaken" and got["d"].score == 1.0

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .iterate import cut
+
 from ..functions import versions as V
 
 
@@ -35,12 +39,16 @@ def transitive_summary(tree: DataFrame) -> DataFrame:
     return tree.agg(F.count("*").alias("total"), F.count_if("is_direct").alias("direct"), F.count_if(~F.col("is_direct")).alias("transitive"), F.countDistinct("name").alias("packages"), F.max("depth").alias("max_depth"))
 
 
-def dependency_paths(tree: DataFrame, rounds: int = 20) -> DataFrame:
-    """(name, path): from the root to each package by the name of its parent, of several the first by name."""
-    nodes = tree.groupBy("name").agg(F.min("parent").alias("parent"))
-    done = nodes.where("parent is null").select("name", F.array("name").alias("path"))
-    out, rest = done, nodes.where("parent is not null")
-    for _ in range(rounds):
-        done = rest.join(done.select(F.col("name").alias("parent"), "path"), "parent").where(~F.array_contains("path", F.col("name"))).select("name", F.concat("path", F.array("name")).alias("path"))
-        out = out.union(done)
-    return out.groupBy("name").agg(F.min(F.struct(F.size("path"), "path")).alias("m")).select("name", F.array_join("m.path", " > ").alias("path"))
+def dependency_paths(tree: DataFrame) -> DataFrame:
+    """(name, path): from the root to each package by the name of its parent, of several the first by name.
+
+    One join per level, on the packages that the level before reached, until none is left; the tree may be of any depth.
+    """
+    nodes = cut(tree.groupBy("name").agg(F.min("parent").alias("parent")))
+    level = cut(nodes.where("parent is null").select("name", F.array("name").alias("path")))
+    rest, levels = nodes.where("parent is not null"), [level]
+    while not level.isEmpty():
+        above = level.select(F.col("name").alias("parent"), "path")
+        level = cut(rest.join(above, "parent").where(~F.array_contains("path", F.col("name"))).select("name", F.concat("path", F.array("name")).alias("path")))
+        levels.append(level)
+    return reduce(DataFrame.union, levels).select("name", F.array_join("path", " > ").alias("path"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.severity import level
-from .textscan import diff_lines
+from .textscan import carry, diff_lines, lines
 
 # Patterns, extensions, labels, weights and caps that results must reproduce.
 SENSITIVE = (
@@ -39,6 +39,27 @@ CONFIG_WEAKENING = (
     (r"(verify_ssl|SSL_VERIFY|VERIFY_SSL).*=\s*(false|False|0)", "ssl_verify_disabled"),
     (r"(TLS|tls|ssl).*=\s*[\"']?(1\.0|1\.1|SSLv3)", "weak_tls"),
 )
+CICD_FILES = (
+    r"\.github/workflows/.*\.ya?ml$", r"Jenkinsfile$", r"\.gitlab-ci\.ya?ml$", r"azure-pipelines\.ya?ml$", r"\.circleci/config\.ya?ml$", r"Dockerfile$", r"docker-compose.*\.ya?ml$",
+    r"\.travis\.ya?ml$", r"bitbucket-pipelines\.ya?ml$",
+)
+CICD_TAMPERING = (
+    (r"#.*\b(snyk|sonar|trivy|semgrep|bandit|brakeman|safety|gitleaks|trufflehog|checkov)\b", "security_scan_disabled"),
+    (r"(SKIP|DISABLE|NO)_(SCAN|CHECK|LINT|SECURITY|SAST|SCA|DAST)", "security_check_disabled"),
+    (r"--no-verify", "hook_bypass"),
+    (r"--skip-integrity-check", "integrity_bypass"),
+    (r"echo\s+\$\{?\w*(SECRET|TOKEN|KEY|PASSWORD|CRED)\w*\}?\s*[|>]", "secret_exfil_ci"),
+    (r"curl.*\$\{?\w*(SECRET|TOKEN|KEY|PASSWORD)\w*\}?", "secret_exfil_ci"),
+    (r"printenv|env\s*\|", "env_dump_ci"),
+    (r"(deploy|push|publish).*\b(prod|production|live|release)\b", "prod_deploy_change"),
+    (r"FROM\s+(?!.*\.(gcr\.io|ecr\.|azurecr\.io|docker\.io|ghcr\.io))", "untrusted_base_image"),
+    (r"(useradd|adduser|net\s+user)", "docker_user_add"),
+    (r"EXPOSE\s+\d{4,5}", "port_exposed"),
+)
+CICD_TOOLS = ("snyk", "sonar", "trivy", "semgrep", "bandit", "brakeman", "safety", "gitleaks", "trufflehog", "checkov", "tfsec", "grype", "syft", "cosign")
+IGNORE_REMOVAL = (r"\.env", r"\.pem", r"\.key", r"secret", r"credential", r"\.pfx", r"\.p12", r"token", r"password")
+LARGE_DELETION = 500
+VAGUE_MESSAGE = r"^(fix|update|change|wip|test|tmp|temp|misc|stuff|asdf|todo|ok|done|na|\.+|-+)$"
 #: signal -> (weight of one, cap of all; None: counted once)
 WEIGHTS = {
     "critical": (2.5, 10.0), "high": (1.5, 10.0), "medium": (0.5, 10.0), "off_hours": (1.0, None), "author_mismatch": (1.5, None), "unsigned": (0.5, None), "sensitive_file": (1.5, 3.0), "large_deletion": (1.0, None),
@@ -58,7 +79,7 @@ def binary_extension(path: Column) -> Column:
 def message_signal(message: Column, changes: Column) -> Column:
     """empty or vague, for commits of 50 changed lines or more."""
     m = F.trim(F.coalesce(message, F.lit("")))
-    vague = F.lower(F.trim(F.substring_index(m, "\n", 1))).rlike(r"^(fix|update|change|wip|test|tmp|temp|misc|stuff|asdf|todo|ok|done|na|\.+|-+)$")
+    vague = F.lower(F.trim(F.substring_index(m, "\n", 1))).rlike(VAGUE_MESSAGE)
     return F.when(changes < 50, None).when(F.length(m) < 4, "empty").when(vague, "vague")
 
 
@@ -82,6 +103,57 @@ def labelled_lines(commits: DataFrame, key: str, diff: str, patterns, files: str
     return added.select(key, "file", F.explode(labels).alias("label"))
 
 
+def removed_lines(df: DataFrame, key: str, diff: str) -> DataFrame:
+    """Removed lines of unified diffs with the file they belong to: (key, line_number, file, removed)."""
+    named = carry(lines(df, key, diff), key, "line_number", F.when(F.col("line").startswith("+++ b/"), F.substring("line", 7, 1 << 20)), "file")
+    return named.where(F.col("line").startswith("-") & ~F.col("line").startswith("---")).select(key, "line_number", "file", F.substring("line", 2, 1 << 20).alias("removed"))
+
+
+def cicd_tampering(commits: DataFrame, key: str, diff: str) -> DataFrame:
+    """(key, file, label): suspicious lines added to pipeline files, and security tools in lines removed from them."""
+    files = "(" + "|".join(CICD_FILES) + ")"
+    gone = removed_lines(commits, key, diff).where(F.col("file").rlike(files))
+    tools = F.filter(F.array(*[F.when(F.lower("removed").contains(t), F.lit("security_tool_removed")) for t in CICD_TOOLS]), lambda x: x.isNotNull())
+    return labelled_lines(commits, key, diff, CICD_TAMPERING, files).union(gone.select(key, "file", F.explode(tools).alias("label")))
+
+
+def ignore_removals(commits: DataFrame, key: str, diff: str) -> DataFrame:
+    """(key, file, label): rules removed from ignore files that hid secrets, and owners removed from review."""
+    gone = removed_lines(commits, key, diff).withColumn("entry", F.trim("removed")).where("entry <> '' and not startswith(entry, '#')")
+    secret = F.col("file").endswith(".gitignore") & F.col("entry").rlike("(?i)(" + "|".join(IGNORE_REMOVAL) + ")")
+    owner = F.lower("file").contains("codeowners")
+    label = F.when(secret, "gitignore_sensitive_unignored").when(owner, "codeowner_removed")
+    return gone.select(key, "file", label.alias("label")).where("label is not null")
+
+
+def analyze(commits: DataFrame, findings: DataFrame) -> DataFrame:
+    """(sha, score, level, signals) of ``commits``: sha, message, committed_at, author, committer, verified, forced, deletions,
+    changes, files (array), diff; ``findings``: sha, severity, of the scan of the diffs. Every commit has a row.
+
+    Any severity but critical and high counts as medium.
+    """
+    key = commits.select("sha")
+    one = lambda cond, name: commits.where(cond).select("sha", F.lit(name).alias("signal"))
+    mismatch = (F.lower("author") != F.lower("committer")) & ~F.lower("committer").contains("noreply")
+    parts = [
+        one(off_hours(F.col("committed_at")), "off_hours"), one(mismatch, "author_mismatch"), one(~F.coalesce("verified", F.lit(False)), "unsigned"), one(F.col("forced"), "force_push"),
+        one(F.col("deletions") > LARGE_DELETION, "large_deletion"), one(message_signal(F.col("message"), F.col("changes")).isNotNull(), "suspicious_message"),
+        findings.select("sha", F.when(F.col("severity").isin("critical", "high"), F.col("severity")).otherwise("medium").alias("signal")),
+    ]
+    files = commits.select("sha", F.explode("files").alias("path"))
+    parts += [files.where(c.isNotNull()).select("sha", F.lit(n)) for c, n in ((sensitive_pattern(F.col("path")), "sensitive_file"), (binary_extension(F.col("path")), "binary_file"))]
+    parts += [
+        labelled_lines(commits, "sha", "diff", DEPENDENCY_TAMPERING).select("sha", F.lit("dependency_tamper")).distinct(),
+        cicd_tampering(commits, "sha", "diff").select("sha", F.lit("cicd_tamper")),
+        labelled_lines(commits, "sha", "diff", CONFIG_WEAKENING, r"(?i)(config|settings|nginx|apache|cors|\.cfg|\.ini|\.toml|\.yaml|\.yml)", ignore_case=False).select("sha", F.lit("config_weaken")),
+        ignore_removals(commits, "sha", "diff").select("sha", F.lit("config_weaken")),
+    ]
+    signals = reduce(DataFrame.union, parts)
+    names = signals.groupBy("sha").agg(F.array_join(F.array_sort(F.collect_set("signal")), ",").alias("signals"))
+    out = key.join(score(signals, "sha"), "sha", "left").join(names, "sha", "left")
+    return out.select("sha", F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("level", level(F.lit(0.0))).alias("level"), F.coalesce("signals", F.lit("")).alias("signals"))
+
+
 def score(signals: DataFrame, key: str) -> DataFrame:
     """(key, score, level) from rows (key, signal): weights with caps per signal, at most 10."""
     n = signals.groupBy(key, "signal").agg(F.count("*").alias("n"))

@@ -2,40 +2,46 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .iterate import cut
+from .iterate import cut, drop
 
 
 def simple_paths(edges: DataFrame, starts: DataFrame, max_depth: int = 5) -> DataFrame:
     """(start, node, depth, path): all simple paths from ``starts`` (start), up to max_depth edges.
 
-    One equi-join per level; a path never visits a node twice, so cycles end by themselves.
+    One equi-join per level, each written before the next reads it; a path never visits a node twice, so cycles end by
+    themselves. A level without paths ends the search.
     """
+    edges = edges.select("src", "dst")
     level = starts.select("start", F.col("start").alias("node"), F.lit(0).alias("depth"), F.array("start").alias("path"))
-    out = level
+    levels = []
     for d in range(1, max_depth + 1):
-        level = (
-            level.select("start", F.col("node").alias("src"), "path").join(edges.select("src", "dst"), "src").where(~F.array_contains("path", F.col("dst")))
+        level = cut(
+            level.select("start", F.col("node").alias("src"), "path").join(edges, "src").where(~F.array_contains("path", F.col("dst")))
             .select("start", F.col("dst").alias("node"), F.lit(d).alias("depth"), F.concat("path", F.array("dst")).alias("path"))
         )
-        out = out.union(level)
-    return out.where("depth > 0")
+        if level.isEmpty():
+            break
+        levels.append(level)
+    return reduce(DataFrame.union, levels) if levels else level
 
 
-def closure(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
+def closure(edges: DataFrame) -> DataFrame:
     """(src, dst) pairs connected by a path; doubles the reach each round until nothing new comes."""
     known = cut(edges.select("src", "dst").distinct())
     before = known.count()
-    for _ in range(max_rounds):
+    while True:
         step = known.select("src", F.col("dst").alias("mid")).join(known.select(F.col("src").alias("mid"), "dst"), "mid").select("src", "dst")
-        known = cut(known.union(step).distinct())
-        now = known.count()
+        wider = cut(known.union(step).distinct())
+        drop(known)
+        known, now = wider, wider.count()
         if now == before:
-            break
+            return known
         before = now
-    return known
 
 
 def shortest_chains(edges: DataFrame, starts: DataFrame, ends: DataFrame, max_depth: int = 5) -> DataFrame:

@@ -37,7 +37,8 @@ def flows_of(content: str) -> Iterator[dict]:
     """Flows of one file. All assignments are seen before the sinks, as the analysis does not follow the order of statements."""
     lines = content.split("\n")
     tainted: dict[str, dict] = {}
-    for _ in range(10):
+    seen: set = set()
+    while True:  # until nothing changes, or a state comes back (assignments that overwrite each other)
         before = {k: (v["line"], v["hops"], tuple(sorted(v["clean"]))) for k, v in tainted.items()}
         for n, line in enumerate(lines, 1):
             if line.lstrip().startswith(("#", "//")) or not (m := _ASSIGN.match(line)):
@@ -51,8 +52,11 @@ def flows_of(content: str) -> Iterator[dict]:
                 if used:
                     v = min(used, key=lambda v: (v["hops"], v["line"]))
                     tainted[name] = {"line": v["line"], "hops": min(v["hops"] + 1, 50), "clean": v["clean"] | clean}
-        if before == {k: (v["line"], v["hops"], tuple(sorted(v["clean"]))) for k, v in tainted.items()}:
+        after = {k: (v["line"], v["hops"], tuple(sorted(v["clean"]))) for k, v in tainted.items()}
+        state = tuple(sorted(after.items()))
+        if before == after or state in seen:
             break
+        seen.add(state)
     for n, line in enumerate(lines, 1):
         if line.lstrip().startswith(("#", "//")):
             continue
@@ -109,17 +113,16 @@ def call_graph(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, "path string, caller string, callee string, line long")
 
 
-def spread(calls: DataFrame, facts: DataFrame, rounds: int = 10) -> DataFrame:
-    """Functions that reach one with a fact through calls: (path, name). At most ``rounds`` steps, each an anti-joined step outward."""
+def spread(calls: DataFrame, facts: DataFrame) -> DataFrame:
+    """Functions that reach one with a fact through calls: (path, name). Each round is an anti-joined step outward, until none is new."""
     calls = cut(calls.select("path", "caller", "callee").distinct())
     known = front = cut(facts.select("path", "name").distinct())
-    for _ in range(rounds):
+    while True:
         up = calls.join(front.withColumnRenamed("name", "callee"), ["path", "callee"]).select("path", F.col("caller").alias("name")).distinct()
         front = cut(up.join(known, ["path", "name"], "left_anti"))
         if front.isEmpty():
-            break
+            return known
         known = known.union(front)
-    return known
 
 
 # Rungs of the ladder, from what least to what most speaks for exploitability.

@@ -121,21 +121,24 @@ def confidence(severity: Column, safe: Column, test_file: Column, placeholder: C
 
 
 def contains_join(texts: DataFrame, text: str, values: DataFrame, value: str, gram: int = 6, most: int = 100_000) -> DataFrame:
-    """texts rows with the values (of at least ``gram`` characters) that occur inside ``text``.
+    """texts rows with the values (not empty) that occur inside ``text``.
 
-    A value can only start where the text has the value's first ``gram`` characters, so an equi-join on these grams
-    finds all candidates and contains() decides; no product of texts and values. If there are at most ``most`` such
-    grams, the workers know them and only these leave the texts; beyond that, all grams of the texts are joined.
+    A value can only start where the text has the value's head, its first ``gram`` characters (all of a shorter value), so
+    an equi-join on heads finds all candidates and contains() decides; no product of texts and values. If there are at
+    most ``most`` heads, the workers know them and only these leave the texts; beyond that, all pieces of the texts of the
+    lengths that heads have are joined.
     """
-    first = F.left(F.col(value), F.lit(gram))
-    heads = values.where(F.length(value) >= gram).select(first.alias("g")).distinct().limit(most + 1).collect()
+    head = F.left(F.col(value), F.lit(gram))
+    named = values.where(F.length(value) > 0)
+    heads = named.select(head.alias("g")).distinct().limit(most + 1).collect()
     known = frozenset(r.g for r in heads) if len(heads) <= most else None
+    lengths = sorted({len(g) for g in known}) if known is not None else range(1, gram + 1)
 
     @F.pandas_udf("array<string>")
-    def grams(s: pd.Series) -> pd.Series:
-        every = s.map(lambda t: {t[i : i + gram] for i in range(len(t) - gram + 1)})
+    def pieces(s: pd.Series) -> pd.Series:
+        every = s.map(lambda t: {t[i : i + n] for n in lengths for i in range(len(t or "") - n + 1)})
         return every.map(lambda x: [*(x if known is None else x & known)])
 
-    a = texts.where(F.length(text) >= gram).withColumn("_g", F.explode(grams(text)))
-    b = values.where(F.length(value) >= gram).withColumn("_g", first)
+    a = texts.withColumn("_g", F.explode(pieces(text)))
+    b = named.withColumn("_g", head)
     return a.join(b, "_g").where(F.expr(f"contains(`{text}`, `{value}`)")).drop("_g").dropDuplicates()

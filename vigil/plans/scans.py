@@ -145,7 +145,7 @@ def endpoint_risk_tags(spark, sf_dir):
 
 @query("""
 WITH v AS (SELECT DISTINCT regexp_extract(url, '^https?://([^/]+)', 1) AS value FROM pages)
-SELECT p.page_id, v.value FROM pages p JOIN v ON contains(p.html, v.value) WHERE length(v.value) >= 6
+SELECT p.page_id, v.value FROM pages p JOIN v ON contains(p.html, v.value) WHERE length(v.value) > 0
 """)
 def ioc_substring_correlation(spark, sf_dir):
     """Indicators (hosts) that occur inside texts, by six-character grams."""
