@@ -79,12 +79,12 @@ def shortest_chain(spark, sf_dir):
 
 
 @query(f"""
-WITH RECURSIVE e AS (SELECT * FROM ({_EDGES}) WHERE src <> dst AND src % 4 <> 3), c(src, dst) AS (SELECT src, dst FROM e UNION SELECT c.src, e.dst FROM c JOIN e ON e.src = c.dst)
+WITH RECURSIVE e AS (SELECT * FROM ({_EDGES}) WHERE src <> dst), c(src, dst) AS (SELECT src, dst FROM e UNION SELECT c.src, e.dst FROM c JOIN e ON e.src = c.dst)
 SELECT src, count(*) AS reach, bool_or(src = dst) AS recursive FROM c GROUP BY src
 """)
 def closure(spark, sf_dir):
     """What each node reaches, and whether it reaches itself; each round doubles the reach."""
-    c = G.closure(_edges(spark, sf_dir).where("src % 4 <> 3"))
+    c = G.closure(_edges(spark, sf_dir))
     return c.groupBy("src").agg(F.count("*").alias("reach"), F.bool_or(F.col("src") == F.col("dst")).alias("recursive"))
 
 

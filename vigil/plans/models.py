@@ -14,16 +14,16 @@ from .registry import SQL, query, table
 _STRIDE_SQL = "CASE " + " ".join("WHEN " + " OR ".join(f"contains(lower(t), '{w}')" for w in ws) + f" THEN '{n}'" for n, ws in K.STRIDE) + " ELSE 'tampering' END"
 
 
-@query(f"SELECT doc_id, {_STRIDE_SQL} AS class FROM (SELECT doc_id, left(text, 200) || source AS t FROM documents)")
+@query(f"SELECT doc_id, {_STRIDE_SQL} AS class FROM (SELECT doc_id, text || source AS t FROM documents)")
 def stride_class(spark, sf_dir):
-    """Ordered keyword classes over a title-like field; the first that fits."""
+    """Ordered keyword classes over the whole text; the first that fits."""
     d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", K.first_class(F.concat(F.left("text", F.lit(200)), "source")).alias("class"))
+    return d.select("doc_id", K.first_class(F.concat("text", "source")).alias("class"))
 
 
-@query(SQL["stride_class"].replace("left(text, 200)", "text"))
+@query(SQL["stride_class"])
 def stride_class_whole(spark, sf_dir):
-    """stride_class over the whole text."""
+    """The same under its second name."""
     return table(spark, sf_dir, "documents").select("doc_id", K.first_class(F.concat("text", "source")).alias("class"))
 
 
