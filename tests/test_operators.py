@@ -218,3 +218,34 @@ def test_commit_analysis(spark):
     assert got["b"].score == 9.0
     assert got["c"].signals == "high,medium" and got["c"].score == 2.0
     assert got["d"].signals == "config_weaken" and got["d"].score == 1.0
+
+
+def test_feeds(spark, tmp_path):
+    import json
+
+    from vigil.sources import feeds
+
+    def put(name, data):
+        (tmp_path / name).write_text(json.dumps(data))
+        return f"{tmp_path}/{name}"
+
+    kev = put("kev.json", {"vulnerabilities": [{"cveID": "CVE-2021-1", "vendorProject": "V", "product": "P", "dateAdded": "2024-01-02", "knownRansomwareCampaignUse": "Known"}, {"cveID": "CVE-2021-2"}]})
+    got = {r.cve: r for r in feeds.exploited(spark, kev).collect()}
+    assert got["CVE-2021-1"].ransomware and not got["CVE-2021-2"].ransomware and str(got["CVE-2021-1"].added) == "2024-01-02"
+    events = [{"introduced": "0"}, {"fixed": "1.2.3"}]
+    osv = put("osv.json", [
+        {"id": "GHSA-1", "aliases": ["X", "CVE-2020-1"], "summary": "s", "database_specific": {"severity": "MODERATE", "cwe_ids": ["CWE-79"]}, "affected": [{"package": {"name": "Lib", "ecosystem": "npm"}, "ranges": [{"type": "SEMVER", "events": events}]}]},
+        {"id": "OSV-2", "severity": [{"type": "CVSS_V3", "score": "9.8"}], "details": "d", "affected": [{"package": {"name": "other", "ecosystem": "npm"}}]},
+    ])
+    rows = {r.id: r for r in feeds.osv(spark, osv).collect()}
+    assert (rows["GHSA-1"].cve, rows["GHSA-1"].package, rows["GHSA-1"].severity, rows["GHSA-1"].fixed, rows["GHSA-1"].cwes) == ("CVE-2020-1", "lib", "medium", ["1.2.3"], ["CWE-79"])
+    assert (rows["OSV-2"].cve, rows["OSV-2"].severity, rows["OSV-2"].cvss, rows["OSV-2"].fixed, rows["OSV-2"].summary) == (None, "critical", 9.8, [], "d")
+    github = put("github.json", [{"ghsa_id": "GHSA-1", "cve_id": "CVE-2020-1", "severity": "high", "cwes": [{"cwe_id": "CWE-79"}], "vulnerabilities": [{"package": {"ecosystem": "npm", "name": "lib"}, "first_patched_version": "1.2.3"}]}])
+    nvd = put("nvd.json", {"vulnerabilities": [{"cve": {"id": "CVE-2020-9", "descriptions": [{"lang": "es", "value": "x"}, {"lang": "en", "value": "text"}], "metrics": {"cvssMetricV31": [{"cvssData": {"baseScore": 7.5}}]}, "weaknesses": [{"description": [{"lang": "en", "value": "CWE-20"}, {"lang": "en", "value": "NVD-CWE-noinfo"}]}]}}]})
+    n = feeds.nvd(spark, nvd, "npm", "lib").first()
+    assert (n.severity, n.cvss, n.cwes, n.summary) == ("high", 7.5, ["CWE-20"], "text")
+    merged = feeds.merge([feeds.osv(spark, osv), feeds.github(spark, github), feeds.nvd(spark, nvd, "npm", "lib")]).collect()
+    assert sorted((r.source, r.id) for r in merged) == [("nvd", "CVE-2020-9"), ("osv", "GHSA-1"), ("osv", "OSV-2")]
+    cache = spark.sql("SELECT 'a' AS package, current_timestamp() AS fetched_at UNION ALL SELECT 'b', current_timestamp() - INTERVAL 9 HOURS")
+    hits, misses = feeds.against_cache(spark.createDataFrame([("a",), ("b",), ("c",)], "package string"), cache, ["package"])
+    assert [r.package for r in hits.collect()] == ["a"] and {r.package for r in misses.collect()} == {"b", "c"}
