@@ -133,9 +133,10 @@ def findings_feed_page(spark, sf_dir):
 SELECT o_orderkey, o_orderdate, (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey) AS findings, (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey AND l_linestatus = 'O') AS open FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 40
 """)
 def commits_page_with_subcounts(spark, sf_dir):
-    """Correlated counts as one pre-aggregated join."""
+    """Correlated counts as one aggregate over the rows of the page's 40 keys, which are few enough to send along."""
     top = R.page(table(spark, sf_dir, "orders"), [F.col("o_orderdate").desc(), F.col("o_orderkey")], 1, 40).select("o_orderkey", "o_orderdate")
-    n = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("findings"), F.count_if(F.col("l_linestatus") == "O").alias("open"))
+    l = table(spark, sf_dir, "lineitem").join(F.broadcast(top.select("o_orderkey")), F.col("l_orderkey") == F.col("o_orderkey"), "left_semi")
+    n = l.groupBy("l_orderkey").agg(F.count("*").alias("findings"), F.count_if(F.col("l_linestatus") == "O").alias("open"))
     return top.join(n, F.col("o_orderkey") == F.col("l_orderkey"), "left").select("o_orderkey", "o_orderdate", F.coalesce("findings", F.lit(0)).alias("findings"), F.coalesce("open", F.lit(0)).alias("open"))
 
 
@@ -177,8 +178,8 @@ SELECT l_returnflag, l_linestatus, l_linenumber, count(*) AS n, CAST(grouping(l_
 """)
 def grouping_sets_summary(spark, sf_dir):
     """Three group-bys in one pass."""
-    table(spark, sf_dir, "lineitem").createOrReplaceTempView("_vigil_lineitem")
-    return spark.sql("SELECT l_returnflag, l_linestatus, l_linenumber, count(*) AS n, grouping_id(l_returnflag, l_linestatus, l_linenumber) AS g FROM _vigil_lineitem GROUP BY GROUPING SETS ((l_returnflag), (l_linestatus), (l_linenumber))")
+    l = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_linestatus", "l_linenumber")
+    return l.groupingSets([["l_returnflag"], ["l_linestatus"], ["l_linenumber"]], "l_returnflag", "l_linestatus", "l_linenumber").agg(F.count("*").alias("n"), F.grouping_id().alias("g"))
 
 
 @query(f"""
@@ -242,11 +243,15 @@ r AS (SELECT *, row_number() OVER (PARTITION BY s_suppkey ORDER BY o, p_partkey)
 SELECT s_suppkey, p_partkey, o AS tier, others FROM r WHERE rn = 1
 """)
 def best_match(spark, sf_dir):
-    """Tiers of equi-joins in order of strength; the best per key and how many others there were."""
-    s, p = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "part")
-    a = s.join(p, p["p_size"] == s["s_nationkey"]).select("s_suppkey", "p_partkey", F.lit(1).alias("tier"))
-    b = s.join(p.where("p_partkey % 3 = 0"), p["p_size"] == s["s_nationkey"] + 25).select("s_suppkey", "p_partkey", F.lit(2).alias("tier"))
-    return a.union(b).groupBy("s_suppkey").agg(F.min(F.struct("tier", "p_partkey")).alias("m"), (F.count("*") - 1).alias("others")).select("s_suppkey", "m.p_partkey", "m.tier", "others")
+    """Tiers of equi-joins in order of strength; the best per key and how many others there were.
+
+    Candidates are reduced to the least and a count per join key first, so a key joins one row per tier.
+    """
+    s, p = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey"), table(spark, sf_dir, "part")
+    least = lambda rows: rows.groupBy("p_size").agg(F.min("p_partkey").alias("p_partkey"), F.count("*").alias("n"))
+    a, b = least(p), least(p.where("p_partkey % 3 = 0"))
+    tiers = [s.join(t, t["p_size"] == s["s_nationkey"] + more).select("s_suppkey", "p_partkey", F.lit(i).alias("tier"), "n") for i, (t, more) in enumerate(((a, 0), (b, 25)), 1)]
+    return tiers[0].union(tiers[1]).groupBy("s_suppkey").agg(F.min(F.struct("tier", "p_partkey")).alias("m"), (F.sum("n") - 1).alias("others")).select("s_suppkey", "m.p_partkey", "m.tier", "others")
 
 
 @query("""
