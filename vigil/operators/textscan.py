@@ -70,29 +70,6 @@ def scan(lined: DataFrame, rules: list[Rule], language: Column | None = None, ch
     return out
 
 
-# What starts a comment, by language.
-COMMENT_STARTS = {"python": ["#", '"""', "'''"], "javascript": ["//", "/*", "*"], "java": ["//", "/*", "*"], "go": ["//", "/*", "*"], "ruby": ["#"], "php": ["//", "#", "/*", "*"]}
-COMMENT_INSIDE = {"python": " # ", "javascript": " // ", "java": " // ", "go": " // "}
-
-
-def is_comment(line: Column, language: str) -> Column:
-    """Begins as a comment, or has the language's inline comment marker between blanks."""
-    bare = F.ltrim(line)
-    out = reduce(lambda a, b: a | b, [bare.startswith(s) for s in COMMENT_STARTS.get(language, ["#", "//"])])
-    return out | line.contains(COMMENT_INSIDE[language]) if language in COMMENT_INSIDE else out
-
-
-def in_string(line: Column, at: Column) -> Column:
-    """Is 1-based position ``at`` inside quotes: an odd number of either quote before it."""
-    before = F.substring(line, F.lit(1), at - 1)
-    odd = lambda q: (F.length(before) - F.length(F.replace(before, F.lit(q), F.lit("")))) % 2 == 1
-    return odd("'") | odd('"')
-
-
-def is_test_file(path: Column) -> Column:
-    return F.lower(path).rlike(r"(^|/)(tests?|spec|__tests__|fixtures?|mocks?|examples?)(/|_|\.)|[._-](test|spec|mock)\.|(^|/)test_|conftest")
-
-
 def context(df: DataFrame, key: str, text: str, before: int, after: int) -> DataFrame:
     """(key, line_number, line, context): neighbouring lines by slicing the array of lines, without a window."""
     a = df.select(key, F.split(text, "\n").alias("_l"))
@@ -113,13 +90,6 @@ def diff_lines(df: DataFrame, key: str, text: str) -> DataFrame:
     return named.where(F.col("line").startswith("+") & ~F.col("line").startswith("+++")).select(key, "line_number", "file", F.substring("line", 2, 1 << 20).alias("added"))
 
 
-def confidence(severity: Column, safe: Column, test_file: Column, placeholder: Column, user_input: Column) -> Column:
-    """high, medium or low from the severity's base less what speaks against the finding."""
-    base = F.when(severity == "critical", 9).when(severity == "high", 7).when(severity == "medium", 5).otherwise(3)
-    s = base - F.when(safe, 3).otherwise(0) - F.when(test_file, 2).otherwise(0) - F.when(placeholder, 2).otherwise(0) + F.when(user_input, 1).otherwise(0)
-    return F.when(s >= 7, "high").when(s >= 4, "medium").otherwise("low")
-
-
 def contains_join(texts: DataFrame, text: str, values: DataFrame, value: str, gram: int = 6, most: int = 100_000) -> DataFrame:
     """texts rows with the values (not empty) that occur inside ``text``.
 
