@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from vigil.llm import bpe, common, fingerprint, licenses, lm, media, minhash, packing, quality, queries, substring, toxicity
@@ -190,6 +191,40 @@ def test_op4(spark, edge, none, docs):
     assert one.near_next == 1.0
 
 
+def plain_fingerprint(text: str) -> str:
+    """One bin after the other, in plain Python."""
+    mask, low, bins = (1 << 64) - 1, (1 << 52) - 1, fingerprint.BINS
+    long = lambda v, seed: xxhash.xxh64(v.to_bytes(8, "little"), seed=seed).intdigest()
+    words = [xxhash.xxh64(w.encode(), seed=42).intdigest() for w in re.split("[ \\x09-\\x0D]+", text.lower().strip(" \t\n\x0b\x0c\r")) if w]
+    size = fingerprint.SHINGLE
+    held: list[int | None] = [None] * bins
+    for i in range(max(1, len(words) - size + 1) if words else 0):
+        h = 42
+        for w in words[i : i + size]:
+            h = long(w, h) & mask
+        b, v = h >> 56, h & low
+        held[b] = v if held[b] is None else min(held[b], v)
+    if not words:
+        return ""
+    rng = np.random.Generator(np.random.PCG64(7))
+    start, step = rng.integers(0, bins, bins), rng.integers(0, bins // 2, bins) * 2 + 1
+    for tries in [fingerprint._TRIES] * fingerprint._PASSES + [bins]:
+        seen = held[:]
+        for b in range(bins):
+            if seen[b] is None:
+                places = [int(start[b] + k * step[b]) % bins for k in range(tries)]
+                held[b] = next((seen[p] for p in places if seen[p] is not None), None)
+    return "".join(f"{v & 255:02x}" for v in held)
+
+
+def test_op4_fingerprints_are_exact(spark, docs):
+    texts = [*docs.values(), *[t for _, t in EDGE], "a", "A b", "a b c d e f", " x\ty  z\n", "one two three four five six seven " * 3]
+    got = fingerprint.fingerprints(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        assert r.fingerprint == plain_fingerprint(texts[r.doc_id] or "")
+
+
 def test_op5(spark, edge, none, docs):
     phrases = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
     rows = [(i, t) for i, t in EDGE] + [(i + 10_000, t) for i, t in docs.items()] + [(900, "cc by CC-BY all rights reserved x general public license"), (901, "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the 'Software'), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so")]
@@ -294,6 +329,33 @@ def test_op7(spark, edge, none, docs):
     assert lm.score(edge).count() == len(EDGE) and lm.score(none).count() == 0
 
 
+def test_op7_score_is_exact(spark, docs, monkeypatch):
+    """Scores against the model's forward recursion in logarithms, word by word, with most words outside the head table."""
+    kept, train = [], lm.baum_welch
+    monkeypatch.setattr(lm, "HEAD", 5000)
+    monkeypatch.setattr(lm, "baum_welch", lambda coded: kept.append(train(coded)) or kept[-1])
+    got = {r.doc_id: r.score for r in queries.op7_lm_score(spark, SF).collect()}
+    tok = {i: ascii_lower(t).encode().split() for i, t in docs.items()}
+    c = collections.Counter(w for i, x in tok.items() if zlib.crc32(str(i).encode()) % 7 != 2 for w in x)
+    top = {w: 1 + k for k, w in enumerate(sorted(c, key=lambda w: (-c[w], w))[: lm.SYMBOLS])}
+    n, v = collections.Counter(), collections.Counter()
+    for w in c.keys() - top.keys():
+        n[lm.word_class(w)] += c[w]
+        v[lm.word_class(w)] += 1
+    m = kept[0]
+    assert np.allclose(m.emit.sum(axis=0), 1) and np.allclose(m.trans.sum(axis=1), 1) and np.isclose(m.start.sum(), 1)
+    for i, x in tok.items():
+        symbols, inner = [], 0.0
+        for w in x:
+            k = lm.word_class(w)
+            symbols.append(top.get(w, 1 + lm.SYMBOLS + k))
+            inner += 0.0 if w in top else math.log10((c[w] + 1) / (n[k] + v[k] + 1))
+        a = None
+        for s in [*symbols, 0]:
+            a = np.log(m.emit[s]) + (np.log(m.start) if a is None else np.logaddexp.reduce(a[:, None] + np.log(m.trans), axis=0))
+        assert math.isclose(got[i], np.logaddexp.reduce(a) / math.log(10) + inner, rel_tol=1e-6)
+
+
 def test_op7_tail_join(spark, monkeypatch):
     """With a tiny head table the counts of nearly all words come from the join."""
     want = {r.doc_id: r for r in queries.op7_lm_score(spark, SF).collect()}
