@@ -196,28 +196,6 @@ def test_deep_dependency_path(spark):
     assert len(got) == 24 and got["p23"].count(" > ") == 23
 
 
-def test_commit_analysis(spark):
-    """From commits and diffs to scores: pipeline tampering, ignore rules, owners, unknown severities."""
-    from vigil.operators import commit_signals
-
-    pipeline = "diff --git a/x b/x\n--- a/.github/workflows/ci.yml\n+++ b/.github/workflows/ci.yml\n-  run: snyk test\n+  run: git commit --no-verify\n+  EXPOSE 8080\n"
-    ignore = "--- a/.gitignore\n+++ b/.gitignore\n-.env\n-build/\n+dist/\n"
-    rows = [
-        ("a", "Change the pipeline for reasons", "2024-01-01T12:00:00Z", "x@a", "x@a", True, False, 0, 3, [".github/workflows/ci.yml"], pipeline),
-        ("b", "wip", "2024-01-01T23:00:00Z", "x@a", "y@b", False, True, 900, 1000, ["id_rsa", "lib.so"], ""),
-        ("c", "Fine and descriptive", "2024-01-01T12:00:00Z", "x@a", "X@A", True, False, 0, 3, ["main.py"], ""),
-        ("d", "Ignore less", "2024-01-01T12:00:00Z", "x@a", "noreply@h", True, False, 0, 3, [".gitignore"], ignore),
-    ]
-    commits = spark.createDataFrame(rows, "sha string, message string, committed_at string, author string, committer string, verified boolean, forced boolean, deletions long, changes long, files array<string>, diff string")
-    findings = spark.createDataFrame([("c", "high"), ("c", "weird")], "sha string, severity string")
-    got = {r.sha: r for r in commit_signals.analyze(commits, findings).collect()}
-    assert got["a"].signals == "cicd_tamper" and got["a"].score == 3.0
-    assert got["b"].signals == "author_mismatch,binary_file,force_push,large_deletion,off_hours,sensitive_file,suspicious_message,unsigned"
-    assert got["b"].score == 9.0
-    assert got["c"].signals == "high,medium" and got["c"].score == 2.0
-    assert got["d"].signals == "config_weaken" and got["d"].score == 1.0
-
-
 def test_feeds(spark, tmp_path):
     import json
 

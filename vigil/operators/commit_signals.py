@@ -1,4 +1,8 @@
-"""Signals of a commit: sensitive and binary files, tampered manifests and pipelines, weakened configuration, message and time."""
+"""Signals of a commit: sensitive and binary files, tampered manifests and pipelines, weakened configuration, message and time.
+
+A commit is one row: its diff is cut into the sections of its files, and all tests are folds over the lines of the sections
+that they are meant for. So commits are scored by a projection, and only findings of other scans are joined to them.
+"""
 
 from __future__ import annotations
 
@@ -8,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.severity import level
-from .textscan import carry, diff_lines, lines
+from .textscan import Rule, diff_lines, hits
 
 # Patterns, extensions, labels, weights and caps that results must reproduce.
 SENSITIVE = (
@@ -57,6 +61,16 @@ CICD_TAMPERING = (
     (r"EXPOSE\s+\d{4,5}", "port_exposed"),
 )
 CICD_TOOLS = ("snyk", "sonar", "trivy", "semgrep", "bandit", "brakeman", "safety", "gitleaks", "trufflehog", "checkov", "tfsec", "grype", "syft", "cosign")
+DEPENDENCY_FILES = (
+    "package.json", "package-lock.json", "yarn.lock", "requirements.txt", "Pipfile", "Pipfile.lock", "poetry.lock", "setup.py", "setup.cfg", "Gemfile", "Gemfile.lock", "go.mod", "go.sum",
+    "pom.xml", "build.gradle", "build.gradle.kts", "Cargo.toml", "Cargo.lock", "composer.json", "composer.lock", "pubspec.yaml", "pubspec.lock",
+)
+SECURITY_DEPENDENCIES = (
+    "helmet", "csurf", "cors", "express-rate-limit", "hpp", "bcrypt", "argon2", "scrypt", "jsonwebtoken", "passport", "express-session", "django-cors-headers", "django-csp",
+    "safety", "bandit", "semgrep", "snyk", "audit", "eslint-plugin-security",
+)
+CONFIG_FILES = (r"\.gitignore$", r"CODEOWNERS$", r"\.github/CODEOWNERS$", r"branch-protection", r"renovate\.json", r"\.dependabot/")
+CONFIG_WORDS = ("config", "settings", "nginx", "apache", "cors", ".cfg", ".ini", ".toml", ".yaml", ".yml")
 IGNORE_REMOVAL = (r"\.env", r"\.pem", r"\.key", r"secret", r"credential", r"\.pfx", r"\.p12", r"token", r"password")
 LARGE_DELETION = 500
 VAGUE_MESSAGE = r"^(fix|update|change|wip|test|tmp|temp|misc|stuff|asdf|todo|ok|done|na|\.+|-+)$"
@@ -72,14 +86,16 @@ def sensitive_pattern(path: Column) -> Column:
     return F.coalesce(*[F.when(path.rlike("(?i)" + p), F.lit(p)) for p in SENSITIVE])
 
 
-def binary_extension(path: Column) -> Column:
-    return F.coalesce(*[F.when(F.lower(path).endswith(e), F.lit(e)) for e in BINARY])
+def binary_extension(path: Column, status: Column | None = None) -> Column:
+    """The ending of a binary file that the commit adds or modifies; without a status, of any."""
+    found = F.coalesce(*[F.when(F.lower(path).endswith(e), F.lit(e)) for e in BINARY])
+    return found if status is None else F.when(status.isin("added", "modified"), found)
 
 
 def message_signal(message: Column, changes: Column) -> Column:
     """empty or vague, for commits of 50 changed lines or more."""
-    m = F.trim(F.coalesce(message, F.lit("")))
-    vague = F.lower(F.trim(F.substring_index(m, "\n", 1))).rlike(VAGUE_MESSAGE)
+    m = F.regexp_replace(F.coalesce(message, F.lit("")), r"^\s+|\s+$", "")
+    vague = F.lower(F.regexp_replace(F.substring_index(m, "\n", 1), r"\s+$", "")).rlike(VAGUE_MESSAGE)
     return F.when(changes < 50, None).when(F.length(m) < 4, "empty").when(vague, "vague")
 
 
@@ -103,55 +119,142 @@ def labelled_lines(commits: DataFrame, key: str, diff: str, patterns, files: str
     return added.select(key, "file", F.explode(labels).alias("label"))
 
 
-def removed_lines(df: DataFrame, key: str, diff: str) -> DataFrame:
-    """Removed lines of unified diffs with the file they belong to: (key, line_number, file, removed)."""
-    named = carry(lines(df, key, diff), key, "line_number", F.when(F.col("line").startswith("+++ b/"), F.substring("line", 7, 1 << 20)), "file")
-    return named.where(F.col("line").startswith("-") & ~F.col("line").startswith("---")).select(key, "line_number", "file", F.substring("line", 2, 1 << 20).alias("removed"))
+#: What ends a line of a diff.
+LINE_BREAK = r"\r\n|[\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]"
+
+
+def _text(diff: Column) -> Column:
+    return F.regexp_replace(F.coalesce(diff, F.lit("")), LINE_BREAK, "\n")
+
+
+def sections(diff: Column) -> Column:
+    """Array of (file, lines): the parts of a unified diff that begin with ``+++ b/file``; what comes before the first is left out."""
+    parts = F.filter(F.split(_text(diff), r"(?m)^(?=\+\+\+ b/)"), lambda p: p.startswith("+++ b/"))
+    lines = lambda p: F.split(F.regexp_replace(p, r"\n\z", ""), "\n")
+    return F.transform(parts, lambda p: F.struct(F.substring_index(F.regexp_replace(p, r"^\+\+\+ b/", ""), "\n", 1).alias("file"), lines(p).alias("lines")))
+
+
+def _after(line: Column) -> Column:
+    return F.regexp_replace(line, r"(?s)^.", "")
+
+
+def _added(line: Column) -> Column:
+    return line.startswith("+") & ~line.startswith("+++")
+
+
+def _removed(line: Column) -> Column:
+    return line.startswith("-") & ~line.startswith("---")
+
+
+def _labels(text: Column, patterns, flag: str = "(?i)") -> Column:
+    return F.filter(F.array(*[F.when(text.rlike(flag + p), F.lit(label)) for p, label in patterns]), lambda x: x.isNotNull())
+
+
+def _named(text: Column, words, label: str) -> Column:
+    """The label once for each word that the text contains."""
+    return F.filter(F.array(*[F.when(text.contains(w), F.lit(label)) for w in words]), lambda x: x.isNotNull())
+
 
+def _each(parts: Column, test, labels) -> Column:
+    """All labels of the lines of sections whose file passes the test; ``labels`` takes a line and its file."""
+    none = F.array().cast("array<string>")
+    return F.flatten(F.transform(F.filter(parts, lambda s: test(s["file"])), lambda s: F.flatten(F.transform(s["lines"], lambda x: F.coalesce(labels(x, s["file"]), none)))))
 
-def cicd_tampering(commits: DataFrame, key: str, diff: str) -> DataFrame:
-    """(key, file, label): suspicious lines added to pipeline files, and security tools in lines removed from them."""
-    files = "(" + "|".join(CICD_FILES) + ")"
-    gone = removed_lines(commits, key, diff).where(F.col("file").rlike(files))
-    tools = F.filter(F.array(*[F.when(F.lower("removed").contains(t), F.lit("security_tool_removed")) for t in CICD_TOOLS]), lambda x: x.isNotNull())
-    return labelled_lines(commits, key, diff, CICD_TAMPERING, files).union(gone.select(key, "file", F.explode(tools).alias("label")))
+
+def dependency_file(path: Column) -> Column:
+    return F.substring_index(path, "/", -1).isin(*DEPENDENCY_FILES)
+
+
+def pipeline_file(path: Column) -> Column:
+    return path.rlike("(?i)(" + "|".join(CICD_FILES) + ")")
+
+
+def config_file(path: Column) -> Column:
+    return path.rlike("(?i)(" + "|".join(CONFIG_FILES) + ")") | reduce(lambda c, w: c | F.lower(path).contains(w), CONFIG_WORDS, F.lit(False))
+
+
+def dependency_tampering(parts: Column) -> Column:
+    """Labels of suspicious lines added to manifests, and of security packages in lines removed from them."""
+    return _each(parts, dependency_file, lambda x, _: F.when(_added(x), _labels(_after(x), DEPENDENCY_TAMPERING)).when(_removed(x), _named(F.lower(_after(x)), SECURITY_DEPENDENCIES, "security_dep_removed")))
+
+
+def pipeline_tampering(parts: Column) -> Column:
+    """Labels of suspicious lines added to pipeline files, and of security tools in lines removed from them."""
+    return _each(parts, pipeline_file, lambda x, _: F.when(_added(x), _labels(_after(x), CICD_TAMPERING)).when(_removed(x), _named(F.lower(_after(x)), CICD_TOOLS, "security_tool_removed")))
+
+
+def config_weakening(parts: Column) -> Column:
+    """Labels of weakening lines added to configuration, of rules removed from ignore files that hid secrets, and of owners removed from review."""
+
+    def labels(x: Column, file: Column) -> Column:
+        entry = F.regexp_replace(_after(x), r"^\s+|\s+$", "")
+        counts = (entry != "") & ~entry.startswith("#")
+        secret = F.when(file.endswith(".gitignore") & counts & entry.rlike("(?i)(" + "|".join(IGNORE_REMOVAL) + ")"), "gitignore_sensitive_unignored")
+        owner = F.when(F.lower(file).contains("codeowners") & counts, "codeowner_removed")
+        return F.when(_added(x), _labels(_after(x), CONFIG_WEAKENING, "")).when(_removed(x), F.filter(F.array(secret, owner), lambda y: y.isNotNull()))
+
+    return _each(parts, config_file, labels)
+
+
+def scan_diffs(commits: DataFrame, rules: list[Rule]) -> DataFrame:
+    """(sha, rule_id, severity, file, line_number, matched_text, snippet): added lines of ``commits`` (sha, diff) that match a rule.
+
+    The line number counts from the diff's first line; the snippet has five lines on either side, 1500 characters at most.
+    Hits are sought within the row; only they leave it.
+    """
+    d = commits.select("sha", F.split(F.regexp_replace(_text(F.col("diff")), r"\n\z", ""), "\n").alias("all"))
+    asked = lambda x: x.startswith("+") & ~x.startswith("+++ b/")
+    at = F.filter(F.transform("all", lambda x, i: F.struct(i.alias("i"), F.when(asked(x), hits(_after(x), rules)).alias("rules"))), lambda h: F.size(F.coalesce(h["rules"], F.array().cast("array<string>"))) > 0)
+    around = lambda i: F.array_join(F.slice("all", F.greatest(i - 4, F.lit(1)), F.least(F.lit(11), i + 6)), "\n")
+    file = lambda i: F.regexp_replace(F.try_element_at(F.filter(F.slice("all", F.lit(1), i + 1), lambda x: x.startswith("+++ b/")), F.lit(-1)), r"^\+\+\+ b/", "")
+    found = F.transform(at, lambda h: F.struct(h["rules"].alias("rules"), file(h["i"]).alias("file"), (h["i"] + 1).cast("long").alias("line_number"), F.left(_after(F.element_at("all", h["i"] + 1)), F.lit(200)).alias("matched_text"), around(h["i"]).alias("s")))
+    out = d.select("sha", F.explode(found).alias("h")).select("sha", F.explode("h.rules").alias("rule_id"), "h.file", "h.line_number", "h.matched_text", F.when(F.length("h.s") > 1500, F.concat(F.left("h.s", F.lit(1500)), F.lit("\n... (truncated)"))).otherwise(F.col("h.s")).alias("snippet"))
+    severity = reduce(lambda c, r: c.when(F.col("rule_id") == r.id, r.severity), rules, F.when(F.lit(False), ""))
+    return out.select("sha", "rule_id", severity.alias("severity"), "file", "line_number", "matched_text", "snippet")
 
 
-def ignore_removals(commits: DataFrame, key: str, diff: str) -> DataFrame:
-    """(key, file, label): rules removed from ignore files that hid secrets, and owners removed from review."""
-    gone = removed_lines(commits, key, diff).withColumn("entry", F.trim("removed")).where("entry <> '' and not startswith(entry, '#')")
-    secret = F.col("file").endswith(".gitignore") & F.col("entry").rlike("(?i)(" + "|".join(IGNORE_REMOVAL) + ")")
-    owner = F.lower("file").contains("codeowners")
-    label = F.when(secret, "gitignore_sensitive_unignored").when(owner, "codeowner_removed")
-    return gone.select(key, "file", label.alias("label")).where("label is not null")
+def _points(name: str, n: Column) -> Column:
+    weight, cap = WEIGHTS[name]
+    return F.when(n > 0, F.lit(weight) if cap is None else F.least(n * weight, F.lit(cap))).otherwise(0.0)
 
 
 def analyze(commits: DataFrame, findings: DataFrame) -> DataFrame:
-    """(sha, score, level, signals) of ``commits``: sha, message, committed_at, author, committer, verified, forced, deletions,
-    changes, files (array), diff; ``findings``: sha, severity, of the scan of the diffs. Every commit has a row.
+    """(sha, score, level, signals) of every row of ``commits``: sha, message, committed_at, author, committer, verified, forced,
+    deletions, changes, files (array of (filename, status)), diff; ``findings``: sha, severity, of the scan of the diffs.
 
-    Any severity but critical and high counts as medium.
+    Manifests and pipeline files in the diff count only if the list of files names one of their kind. Any severity but
+    critical and high counts as medium. ``signals`` lists them in a fixed order with their numbers or sorted labels.
     """
-    key = commits.select("sha")
-    one = lambda cond, name: commits.where(cond).select("sha", F.lit(name).alias("signal"))
-    mismatch = (F.lower("author") != F.lower("committer")) & ~F.lower("committer").contains("noreply")
-    parts = [
-        one(off_hours(F.col("committed_at")), "off_hours"), one(mismatch, "author_mismatch"), one(~F.coalesce("verified", F.lit(False)), "unsigned"), one(F.col("forced"), "force_push"),
-        one(F.col("deletions") > LARGE_DELETION, "large_deletion"), one(message_signal(F.col("message"), F.col("changes")).isNotNull(), "suspicious_message"),
-        findings.select("sha", F.when(F.col("severity").isin("critical", "high"), F.col("severity")).otherwise("medium").alias("signal")),
-    ]
-    files = commits.select("sha", F.explode("files").alias("path"))
-    parts += [files.where(c.isNotNull()).select("sha", F.lit(n)) for c, n in ((sensitive_pattern(F.col("path")), "sensitive_file"), (binary_extension(F.col("path")), "binary_file"))]
-    parts += [
-        labelled_lines(commits, "sha", "diff", DEPENDENCY_TAMPERING).select("sha", F.lit("dependency_tamper")).distinct(),
-        cicd_tampering(commits, "sha", "diff").select("sha", F.lit("cicd_tamper")),
-        labelled_lines(commits, "sha", "diff", CONFIG_WEAKENING, r"(?i)(config|settings|nginx|apache|cors|\.cfg|\.ini|\.toml|\.yaml|\.yml)", ignore_case=False).select("sha", F.lit("config_weaken")),
-        ignore_removals(commits, "sha", "diff").select("sha", F.lit("config_weaken")),
-    ]
-    signals = reduce(DataFrame.union, parts)
-    names = signals.groupBy("sha").agg(F.array_join(F.array_sort(F.collect_set("signal")), ",").alias("signals"))
-    out = key.join(score(signals, "sha"), "sha", "left").join(names, "sha", "left")
-    return out.select("sha", F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("level", level(F.lit(0.0))).alias("level"), F.coalesce("signals", F.lit("")).alias("signals"))
+    found = findings.groupBy("sha").agg(*[F.count_if(c).alias(n) for n, c in (("_critical", F.col("severity") == "critical"), ("_high", F.col("severity") == "high"))], F.count("*").alias("_found"))
+    parts, files = sections(F.col("diff")), F.coalesce("files", F.array().cast("array<struct<filename:string,status:string>>"))
+    none = F.array().cast("array<string>")
+    touched = lambda test: F.exists(files, lambda f: F.coalesce(test(f["filename"]), F.lit(False)))
+    some = lambda c: F.coalesce(c != "", F.lit(False))
+    mismatch = some(F.col("author")) & some(F.col("committer")) & (F.lower("author") != F.lower("committer")) & ~F.lower("committer").contains("noreply")
+    c = commits.select(
+        "sha", off_hours(F.col("committed_at")).alias("off_hours"), mismatch.alias("author_mismatch"), (~F.coalesce("verified", F.lit(False))).alias("unsigned"), F.coalesce("forced", F.lit(False)).alias("force_push"),
+        F.coalesce(F.col("deletions") > LARGE_DELETION, F.lit(False)).alias("large_deletion"), message_signal(F.col("message"), F.coalesce("changes", F.lit(0))).alias("message"),
+        F.size(F.filter(files, lambda f: sensitive_pattern(f["filename"]).isNotNull())).alias("sensitive_file"), F.size(F.filter(files, lambda f: binary_extension(f["filename"], f["status"]).isNotNull())).alias("binary_file"),
+        F.when(touched(dependency_file), dependency_tampering(parts)).otherwise(none).alias("dependency"), F.when(touched(pipeline_file), pipeline_tampering(parts)).otherwise(none).alias("cicd"), config_weakening(parts).alias("config"),
+    )
+    c = c.join(found, "sha", "left").fillna(0, ["_critical", "_high", "_found"])
+    flag = lambda n: F.col(n).cast("int")
+    numbers = {
+        "off_hours": flag("off_hours"), "author_mismatch": flag("author_mismatch"), "unsigned": flag("unsigned"), "force_push": flag("force_push"), "large_deletion": flag("large_deletion"),
+        "suspicious_message": F.col("message").isNotNull().cast("int"), "sensitive_file": F.col("sensitive_file"), "binary_file": F.col("binary_file"), "dependency_tamper": F.size("dependency"),
+        "cicd_tamper": F.size("cicd"), "config_weaken": F.size("config"),
+    }
+    points = reduce(Column.__add__, [_points(n, v) for n, v in numbers.items()])
+    points = points + F.col("_critical") * WEIGHTS["critical"][0] + F.col("_high") * WEIGHTS["high"][0] + (F.col("_found") - F.col("_critical") - F.col("_high")) * WEIGHTS["medium"][0]
+    score = F.least(F.round(points, 2), F.lit(10.0))
+    named = lambda n, c: F.when(F.size(c) > 0, F.concat(F.lit(f"{n}:"), F.array_join(F.array_sort(F.array_distinct(c)), ",")))
+    counted = lambda n, c: F.when(F.col(c) > 0, F.concat(F.lit(f"{n}:"), F.col(c).cast("string")))
+    signals = F.array(
+        F.when(F.col("off_hours"), "off_hours"), F.when(F.col("author_mismatch"), "author_committer_mismatch"), F.when(F.col("unsigned"), "unsigned_commit"), F.when(F.col("force_push"), "force_push"), F.when(F.col("large_deletion"), "large_deletion"),
+        counted("sast_findings", "_found"), counted("sensitive_files", "sensitive_file"), F.concat(F.lit("suspicious_message:"), F.col("message")), counted("binary_files", "binary_file"),
+        named("dependency_tampering", "dependency"), named("cicd_tampering", "cicd"), named("config_weakening", "config"),
+    )
+    return c.select("sha", score.alias("score"), level(score).alias("level"), F.filter(signals, lambda x: x.isNotNull()).alias("signals"))
 
 
 def score(signals: DataFrame, key: str) -> DataFrame:

@@ -86,8 +86,8 @@ def carry(df: DataFrame, key: str, order: str, value: Column, name: str) -> Data
 
 def diff_lines(df: DataFrame, key: str, text: str) -> DataFrame:
     """Added lines of unified diffs with the file they belong to: (key, line_number, file, added)."""
-    named = carry(lines(df, key, text), key, "line_number", F.when(F.col("line").startswith("+++ b/"), F.substring("line", 7, 1 << 20)), "file")
-    return named.where(F.col("line").startswith("+") & ~F.col("line").startswith("+++")).select(key, "line_number", "file", F.substring("line", 2, 1 << 20).alias("added"))
+    named = carry(lines(df, key, text), key, "line_number", F.when(F.col("line").startswith("+++ b/"), F.expr("substring(line, 7)")), "file")
+    return named.where(F.col("line").startswith("+") & ~F.col("line").startswith("+++")).select(key, "line_number", "file", F.expr("substring(line, 2)").alias("added"))
 
 
 def contains_join(texts: DataFrame, text: str, values: DataFrame, value: str, gram: int = 6, most: int = 100_000) -> DataFrame:
