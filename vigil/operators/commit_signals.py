@@ -226,12 +226,12 @@ def analyze(commits: DataFrame, findings: DataFrame) -> DataFrame:
     critical and high counts as medium. ``signals`` lists them in a fixed order with their numbers or sorted labels.
     """
     found = findings.groupBy("sha").agg(*[F.count_if(c).alias(n) for n, c in (("_critical", F.col("severity") == "critical"), ("_high", F.col("severity") == "high"))], F.count("*").alias("_found"))
-    parts, files = sections(F.col("diff")), F.coalesce("files", F.array().cast("array<struct<filename:string,status:string>>"))
+    parts, files = F.col("_parts"), F.coalesce("files", F.array().cast("array<struct<filename:string,status:string>>"))
     none = F.array().cast("array<string>")
     touched = lambda test: F.exists(files, lambda f: F.coalesce(test(f["filename"]), F.lit(False)))
     some = lambda c: F.coalesce(c != "", F.lit(False))
     mismatch = some(F.col("author")) & some(F.col("committer")) & (F.lower("author") != F.lower("committer")) & ~F.lower("committer").contains("noreply")
-    c = commits.select(
+    c = commits.withColumn("_parts", sections(F.col("diff"))).select(
         "sha", off_hours(F.col("committed_at")).alias("off_hours"), mismatch.alias("author_mismatch"), (~F.coalesce("verified", F.lit(False))).alias("unsigned"), F.coalesce("forced", F.lit(False)).alias("force_push"),
         F.coalesce(F.col("deletions") > LARGE_DELETION, F.lit(False)).alias("large_deletion"), message_signal(F.col("message"), F.coalesce("changes", F.lit(0))).alias("message"),
         F.size(F.filter(files, lambda f: sensitive_pattern(f["filename"]).isNotNull())).alias("sensitive_file"), F.size(F.filter(files, lambda f: binary_extension(f["filename"], f["status"]).isNotNull())).alias("binary_file"),

@@ -64,7 +64,8 @@ def _events(lined: DataFrame, definition: str) -> DataFrame:
     same = Window.partitionBy("path", "level").orderBy("line_number", "kind")
     top = F.last(F.when(F.col("kind") == 0, F.col("name")), ignorenulls=True).over(same.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     closed = F.first(F.when(F.col("kind") == 1, F.col("line_number")), ignorenulls=True).over(same.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    return df.withColumn("top", top).withColumn("closed", closed)
+    opened = F.last(F.when(F.col("kind") == 0, F.col("line_number")), ignorenulls=True).over(same.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return df.withColumn("top", top).withColumn("closed", closed).withColumn("opened", opened)
 
 
 def functions(lined: DataFrame, definition: str = DEFINITION) -> DataFrame:

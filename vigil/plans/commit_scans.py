@@ -7,6 +7,7 @@ import re
 from pyspark.sql import functions as F
 
 from ..operators import commit_signals as G
+from ..operators.iterate import cut
 from ..operators.textscan import Rule
 from .registry import query, table
 
@@ -97,7 +98,7 @@ FROM p
 @query(_sql())
 def commit_analysis(spark, sf_dir):
     """Scores of all commits: metadata, files, message, manifests, pipelines, configuration and findings in their diffs."""
-    c = commits(spark, sf_dir)
+    c = cut(commits(spark, sf_dir))
     return G.analyze(c, G.scan_diffs(c, RULES)).withColumn("signals", F.array_join("signals", " "))
 
 

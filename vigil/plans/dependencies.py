@@ -1,4 +1,4 @@
-"""Versions, advisories, graphs and dataflow. Versions and edges come from the test tables; code and lockfiles from literals."""
+"""Versions, advisories and graphs. Versions and edges come from the test tables."""
 
 from __future__ import annotations
 
@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from ..functions import versions as V
 from ..operators import advisories as A
 from ..operators import graph as G
-from ..operators import taint as T
 from .registry import query, table
 
 _VERSION = "CAST(p_size % 4 AS VARCHAR) || '.' || CAST(p_partkey % 12 AS VARCHAR) || '.' || CAST(p_partkey % 30 AS VARCHAR)"
@@ -86,29 +85,3 @@ def closure(spark, sf_dir):
     """What each node reaches, and whether it reaches itself; each round doubles the reach."""
     c = G.closure(_edges(spark, sf_dir))
     return c.groupBy("src").agg(F.count("*").alias("reach"), F.bool_or(F.col("src") == F.col("dst")).alias("recursive"))
-
-
-CODE = [
-    ("a.py", "def load(request):\n    q = request.args.get('q')\n    sql = 'SELECT ' + q\n    cursor.execute(sql)\n"),
-    ("b.py", "def ok(request):\n    n = int(request.args['n'])\n    cursor.execute('SELECT ' + str(n))\n"),
-    ("c.py", "def run(request):\n    cmd = request.form['c']\n    do(cmd)\n\ndef do(c):\n    os.system(c)\n"),
-    ("d.py", "def bound(request):\n    q = request.args['q']\n    cursor.execute('SELECT ?', (q,))\n"),
-]
-
-
-@query("""
-SELECT * FROM (VALUES ('a.py', 2, 4, 'sql', 'sql', 'CWE-89', 'critical', 0.95::DOUBLE)) t(path, source_line, sink_line, sink, variable, cwe, severity, confidence)
-""")
-def taint_flows(spark, sf_dir):
-    """Flows in literal code: one through a second variable; converted and bound values give none."""
-    return T.flows(spark.createDataFrame(CODE, "path string, content string")).drop("flow_id").withColumns({c: F.col(c).cast("int") for c in ("source_line", "sink_line")})
-
-
-@query("""
-SELECT * FROM (VALUES ('c.py', 'do'), ('c.py', 'run'), ('a.py', 'load'), ('b.py', 'ok'), ('d.py', 'bound')) t(path, name)
-""")
-def callgraph(spark, sf_dir):
-    """Functions that reach a dangerous call."""
-    calls = T.call_graph(spark.createDataFrame(CODE, "path string, content string"))
-    facts = calls.where("callee in ('system', 'execute')").select("path", F.col("caller").alias("name"))
-    return T.spread(calls, facts)
