@@ -71,8 +71,12 @@ def call_arguments(line: Column) -> Column:
 
 
 def scoped(lined: DataFrame, definition: str = DEFINITION) -> DataFrame:
-    """(path, line_number, line, function, start): the function each line lies in and the line where it begins (0: none)."""
-    return _events(lined, definition).where("kind = 2").select("path", "line_number", "line", F.coalesce("top", F.lit(MODULE)).alias("function"), F.coalesce("opened", F.lit(0)).cast("long").alias("start"))
+    """(path, line_number, line, function, start): the function each line lies in and the line where it begins (0: none).
+
+    A definition belongs to the function that it opens, even if it closes it too.
+    """
+    begins = F.when(F.col("name").isNotNull(), F.col("line_number"))
+    return _events(lined, definition).where("kind = 2").select("path", "line_number", "line", F.coalesce("name", "top", F.lit(MODULE)).alias("function"), F.coalesce(begins, "opened", F.lit(0)).cast("long").alias("start"))
 
 
 def _passes(text: Column) -> Column:
@@ -138,8 +142,7 @@ def spread(links: DataFrame, fed: DataFrame) -> DataFrame:
         known = reduce(DataFrame.union, [p.select(*key) for p in parts])
         new = cut(step.join(known, key, "left_anti"))
         parts.append(new)
-    drop(parts.pop())
-    return reduce(DataFrame.union, parts) if parts else new
+    return reduce(DataFrame.union, parts)
 
 
 def flows(lined: DataFrame, definition: str = DEFINITION, between: bool = True) -> DataFrame:
