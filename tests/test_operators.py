@@ -184,8 +184,32 @@ def test_greedy_unique(spark):
         if not {a, b} & seen:
             want.append(i)
             seen |= {a, b} - {None}
-    got = correlation.greedy_unique(spark.createDataFrame(rows, "i long, a string, b string"), "i", "a", "b")
-    assert sorted(x.i for x in got.collect()) == want
+    df = spark.createDataFrame(rows, "i long, a string, b string")
+    for prefix in (correlation.PREFIX, 60):
+        assert sorted(x.i for x in correlation.greedy_unique(df, "i", "a", "b", prefix).collect()) == want
+    assert correlation.greedy_unique(df.limit(0), "i", "a", "b").collect() == []
+
+
+def test_greedy_unique_chain(spark, monkeypatch):
+    """Rows that hang together in a chain, each with the next: every second one stays, in few rounds, and little is left on disk."""
+    import os
+
+    from vigil.operators import correlation, graph, iterate
+
+    made, real = [], iterate.cut
+
+    def counted(df):
+        made.append(real(df))
+        return made[-1]
+
+    for m in (correlation, graph):
+        monkeypatch.setattr(m, "cut", counted)
+    n = 100_000
+    chain = spark.range(n).selectExpr("id AS i", "(id + 1) div 2 AS a", "id div 2 AS b")
+    got = correlation.greedy_unique(chain, "i", "a", "b")
+    assert got.selectExpr("sum(i % 2) odd", "count(*) n").first() == (0, n // 2)
+    left = [x for x in made if os.path.exists(x._vigil_round.removeprefix("file:"))]
+    assert len(made) < 40 and len(left) == 1  # the ids that are kept, which the result reads
 
 
 def test_deep_dependency_path(spark):

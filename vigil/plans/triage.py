@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import correlation
 from .registry import query, table
 
 _SEV = "CASE WHEN l_quantity >= 45 THEN 'critical' WHEN l_quantity >= 30 THEN 'high' WHEN l_quantity >= 15 THEN 'medium' ELSE 'low' END"
@@ -265,3 +266,17 @@ SELECT p_brand, p_partkey, p_retailprice, r FROM (SELECT p_brand, p_partkey, p_r
 def top_three_per_pair(spark, sf_dir):
     w = Window.partitionBy("p_brand").orderBy(F.col("p_retailprice").desc(), "p_partkey")
     return table(spark, sf_dir, "part").select("p_brand", "p_partkey", "p_retailprice", F.row_number().over(w).alias("r")).where("r <= 3")
+
+
+@query("""
+WITH o AS (SELECT o_orderkey, CASE WHEN o_orderkey % 11 > 0 THEN o_custkey END AS a, CASE WHEN o_orderkey % 13 > 0 THEN CAST(o_orderdate AS DATE) END AS b FROM orders
+), r AS (SELECT list_reduce(list({'o': o_orderkey, 'a': a, 'b': b} ORDER BY o_orderkey), lambda acc, x: CASE WHEN coalesce(list_contains(acc.a, x.a), false) OR coalesce(list_contains(acc.b, x.b), false) THEN acc
+  ELSE {'kept': list_append(acc.kept, x.o), 'a': CASE WHEN x.a IS NULL THEN acc.a ELSE list_append(acc.a, x.a) END, 'b': CASE WHEN x.b IS NULL THEN acc.b ELSE list_append(acc.b, x.b) END} END,
+  {'kept': CAST([] AS BIGINT[]), 'a': CAST([] AS BIGINT[]), 'b': CAST([] AS DATE[])}) AS acc FROM o)
+SELECT o.* FROM o WHERE o_orderkey IN (SELECT unnest(acc.kept) FROM r)
+""")
+def greedy_two_key_dedup(spark, sf_dir):
+    """Findings in order, each kept unless one kept before has its package key or its title key."""
+    o = table(spark, sf_dir, "orders")
+    o = o.select("o_orderkey", F.when(F.col("o_orderkey") % 11 > 0, F.col("o_custkey")).alias("a"), F.when(F.col("o_orderkey") % 13 > 0, F.to_date("o_orderdate")).alias("b"))
+    return correlation.greedy_unique(o, "o_orderkey", "a", "b")
