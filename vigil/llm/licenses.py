@@ -3,12 +3,13 @@
 The automaton holds every word sequence that occurs in a template. A text is streamed through it once: at each word it
 yields the length of the longest sequence ending there that some template contains, and the automaton state. Phrases
 of the base list are read off the states (a phrase ends where the statistics reach its length in a state below it).
-Right-maximal matches of at least ``LONG`` words (or a whole short template), at every place where the template holds
-them, are chained per template: the chain that covers most words, in text order and with template positions that advance,
+The statistics of a single template are those of the nearest state up the suffix links that it holds; they are kept per
+state, so each template's matches end where its own statistics do, whatever other templates go on to match. Matches of at
+least ``LONG`` words (or a whole shorter template), at every place where the template holds them, are chained per template: the chain that covers most words, in text order and with template positions that advance,
 over gaps of at most ``GAP`` words. A chain that covers ``COVER`` of the template is a span and gives the template's label.
 
-Templates are a parameter, (label, text) pairs; ``templates()`` reads them from a table. The default ones are notices and
-whole short licences.
+Templates are a parameter, (label, text) pairs; ``templates()`` reads them from a table, ``folder_templates()`` from files.
+The default ones are notices and whole short licences.
 
 Words outside all templates reset the stream, so only runs of known words are walked. The automaton is built from
 constants and its size does not depend on the corpus.
@@ -26,7 +27,8 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import common as C
 
@@ -200,6 +202,20 @@ class Scanner:
         for s in sorted(range(1, len(ends)), key=lambda s: self.auto.length[s]):
             ends[s] += ends[self.auto.link[s]]
         self.ends = ends
+        # what a state says of templates that only shorter sequences of it lie in: template -> (length, state)
+        self.above: list[dict[int, tuple[int, int]]] = [{} for _ in self.auto.link]
+        for s in sorted(range(1, len(ends)), key=lambda s: self.auto.length[s]):
+            up = self.auto.link[s]
+            near = {t: (self.auto.length[up], up) for t in self.auto.at[up] if self._counts(t, self.auto.length[up])}
+            self.above[s] = {t: v for t, v in (self.above[up] | near).items() if t not in self.auto.at[s]}
+        self.shortest = min((n for n in self.size if n), default=1)
+
+    def _counts(self, t: int, length: int) -> bool:
+        return t >= self.base and (length >= LONG or length == self.size[t])
+
+    def _statistics(self, state: int, l: int) -> dict[int, tuple[int, int]]:
+        """template -> (length, state) of the longest match that ends here, if it counts."""
+        return {t: (l, state) for t in self.auto.at[state] if self._counts(t, l)} | self.above[state]
 
     def scan(self, text: bytes) -> tuple[int, list[tuple[int, int, int]], list[Span]]:
         """(number of words, base places (start, end, phrase), template spans)."""
@@ -209,35 +225,36 @@ class Scanner:
         edge = np.flatnonzero(np.diff(np.r_[False, known, False].astype(np.int8)))
         places: list[tuple[int, int, int]] = []
         matches: dict[int, list[tuple[int, int, int]]] = {}
-        nxt, link, length, ends = self.auto.next, self.auto.link, self.auto.length, self.ends
+        nxt, link, length, at, above, ends = self.auto.next, self.auto.link, self.auto.length, self.auto.at, self.above, self.ends
         for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
-            if b - a < 2:
+            if b - a < self.shortest:
                 continue
             run = ids[a:b].tolist()
             state = l = 0
+            told: dict[int, tuple[int, int]] = {}
             for i, w in enumerate(run):
-                before, had = state, l
                 while state and w not in nxt[state]:
                     state = link[state]
                     l = length[state]
-                if had > l and had > 2:
-                    self._match(matches, before, had, a + i)
                 if w in nxt[state]:
                     state = nxt[state][w]
                     l += 1
                 else:
                     l = 0
+                now = self._statistics(state, l) if at[state] or above[state] else {}
+                for t, (n, s) in told.items():
+                    if t not in now or now[t][0] != n + 1:
+                        self._match(matches, t, n, s, a + i)
+                told = now
                 for n, k in ends[state]:
                     if l >= n:
                         places.append((a + i - n + 1, a + i + 1, k))
-            if l > 2:
-                self._match(matches, state, l, b)
+            for t, (n, s) in told.items():
+                self._match(matches, t, n, s, b)
         return len(ws), places, self._chain(matches)
 
-    def _match(self, matches: dict, state: int, l: int, end: int) -> None:
-        for t, at in self.auto.at[state].items():
-            if t >= self.base and (l >= LONG or l == self.size[t]):
-                matches.setdefault(t, []).extend((end - l, end, i + 1 - l) for i in at if i + 1 >= l)
+    def _match(self, matches: dict, t: int, l: int, state: int, end: int) -> None:
+        matches.setdefault(t, []).extend((end - l, end, i + 1 - l) for i in self.auto.at[state][t] if i + 1 >= l)
 
     def _chain(self, matches: dict) -> list[Span]:
         """Spans of the best chains: words covered, matches in order in text and template, gaps of GAP words at most."""
@@ -286,6 +303,12 @@ def templates(table: DataFrame, most: int = 10_000) -> tuple[tuple[str, str], ..
     return tuple((r.label, r.text) for r in rows)
 
 
+def folder_templates(spark: SparkSession, folder: str, most: int = 10_000) -> tuple[tuple[str, str], ...]:
+    """(label, text) pairs of a folder of licence texts, one file each; the label is the file's name without ``.txt``."""
+    files = spark.read.text(folder, wholetext=True).select(F.regexp_replace(F.lower(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)), r"\.txt$", "").alias("label"), F.col("value").alias("text"))
+    return templates(files, most)
+
+
 SCHEMA = "doc_id long, n_words long, places array<struct<start:int,end:int,label:string>>, spans array<struct<label:string,start:int,end:int,cover:double>>"
 
 
