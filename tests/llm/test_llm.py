@@ -270,6 +270,67 @@ def test_op5_matching_statistics():
     assert [(x.start, x.end, x.cover) for x in twice] == [(0, 14, 1.0)]
 
 
+def plain_spans(templates, text):
+    """Spans by trying everything: for each template and each end the longest match, those that cannot go on, their best chains."""
+    out = []
+    for label, t in templates:
+        t = t.split()
+        longest = []  # per end: length of the longest match that counts
+        for e in range(len(text) + 1):
+            n = max((k for k in range(min(e, len(t)) + 1) if k and any(t[p : p + k] == text[e - k : e] for p in range(len(t) - k + 1))), default=0)
+            longest.append(n if n >= licenses.LONG or n == len(t) else 0)
+        found = []
+        for e, n in enumerate(longest):
+            if n and (e == len(text) or longest[e + 1] != n + 1):
+                found += [(e - n, e, p) for p in range(len(t) - n + 1) if t[p : p + n] == text[e - n : e]]
+        found.sort(key=lambda m: (m[1], m[0], m[2]))
+        best, head = [], []
+        for s, e, p in found:
+            b, h = e - s, s
+            for (s0, e0, p0), b0, h0 in zip(found, best, head):
+                if s0 < s and e0 < e and p0 < p and e0 >= s - licenses.GAP and b0 + e - max(s, e0) > b:
+                    b, h = b0 + e - max(s, e0), h0
+            best.append(b)
+            head.append(h)
+        most = [x for x in best if x >= licenses.COVER * len(t)]
+        out += [(label, max(most) / len(t))] if most else []
+    return out
+
+
+def test_op5_by_hand():
+    """Labels, best covers and score on random templates that share beginnings, ends and parts."""
+    r = random.Random(41)
+    for _ in range(120):
+        common = [[r.choice("abcdefgh") for _ in range(r.randrange(2, 12))] for _ in range(4)]
+        templates = tuple((f"t{i}", " ".join(w for _ in range(r.randrange(1, 4)) for w in r.choice(common)) if i else r.choice(["a", "a b", "h g"])) for i in range(5))
+        text = [w for _ in range(r.randrange(1, 6)) for w in [*r.choice(common), *(["zz"] * r.randrange(3))]]
+        spans = licenses.Scanner(templates).scan(" ".join(text).encode())[2]
+        want = plain_spans(templates, text)
+        assert {s.label for s in spans} == {label for label, _ in want}, (templates, text)
+        for label, cover in want:
+            assert max(s.cover for s in spans if s.label == label) == min(1.0, cover)
+
+
+def test_op5_ends_of_matches():
+    one, two = " ".join(f"a{i}" for i in range(13)), " ".join(f"b{i}" for i in range(13))
+    three = " ".join(f"c{i}" for i in range(13))
+    spans = licenses.Scanner((("one", f"{one} {two}"), ("two", f"{one} {three}"))).scan(f"{one} b0 {three}".encode())[2]
+    assert [(s.label, s.start, s.end) for s in spans if s.label == "two"] == [("two", 0, 27)]
+    text = {x[0]: x[1] for x in licenses.TEMPLATES if len(x[1]) > 400}
+    labels = lambda t: {s.label for s in licenses.scanner().scan(t.encode())[2]}
+    assert {"bsd", "bsd-3-clause"} <= labels(text["bsd-3-clause"]) and {"mit", "as-is"} <= labels(text["mit"])
+    short = licenses.Scanner((("mit", "mit license"), ("gpl", "gpl"), ("x", "the mit license text that goes on")))
+    assert [(s.label, s.start, s.end, s.cover) for s in short.scan(b"see the MIT license. Or GPL")[2]] == [("mit", 2, 4, 1.0), ("gpl", 5, 6, 1.0)]
+
+
+def test_op5_folder(spark, tmp_path):
+    (tmp_path / "My-License.txt").write_text("one two three four five six seven eight nine ten eleven twelve")
+    texts = licenses.folder_templates(spark, str(tmp_path))
+    assert [t[0] for t in texts] == ["my-license"]
+    docs = spark.createDataFrame([(1, "so one two three four five six x eight nine ten eleven twelve"), (2, None)], "doc_id long, text string")
+    assert {r.doc_id: r.labels for r in licenses.summary(licenses.scan(docs, texts)).collect()} == {1: "my-license", 2: ""}
+
+
 def test_op6(spark, edge, none):
     import public_tokenizers as P
     from tokenizers import Tokenizer
@@ -315,6 +376,48 @@ def test_op6_padding():
         assert sum(n * p for p, n in h.items()) >= 0.94 * 1024 * sum(c for c, _ in plan)
 
 
+def test_op6_cuts():
+    """Any histogram is packed into few sequences, every place of every piece once, every sequence without gaps."""
+    wide = {"600-699": range(600, 700), "341": (341, 342), "350-511": range(350, 512), "260-330": range(260, 331), "1": (1,), "513": (513,), "1024": (1024,), "mixed": range(1, 1025)}
+    for name, lengths in wide.items():
+        for n in (1, 3, 700, 100_000):
+            h = collections.Counter(rng.choice(lengths) for _ in range(min(n, 20_000)))
+            h = {k: v * -(-n // 20_000) for k, v in h.items()}
+            total, pieces, filled = sum(k * v for k, v in h.items()), collections.Counter(), collections.defaultdict(list)
+            for length, many, parts in packing.slots(packing.patterns(h)):
+                pieces[length] += many
+                assert [s for _, _, s, _ in parts] == [sum(x[3] for x in parts[:i]) for i in range(len(parts))] and sum(x[3] for x in parts) == length
+                for first, offset, _, k in parts:
+                    filled[offset, k].append((first, many))
+            assert pieces == h
+            ends = max(f + m for v in filled.values() for f, m in v)
+            used = np.zeros((ends, 2), dtype=np.int64)  # places, and the sum of offsets that a gapless sequence has
+            for (offset, k), v in filled.items():
+                for f, m in v:
+                    used[f : f + m, 0] += k
+                    used[f : f + m, 1] += 2 * offset * k + k * k
+            assert (used[:, 0] <= 1024).all() and (used[:, 0] > 0).all() and (used[:, 1] == used[:, 0] ** 2).all()
+            assert ends <= max(-(-total // 1024), total / 1024 * 1.005), name
+
+
+def test_op6_fragments(spark):
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    rows = [(i, " ".join(rng.choice(WORDS) for _ in range(rng.randint(170, 230)))) for i in range(150)] + [(7, None), (8, "x " * 400_000)]
+    got = packing.pack(spark.createDataFrame([(*r, 1, "y") for r in rows], "doc_id long, text string, length int, ids string").repartition(3)).toPandas()
+    for i, t in rows:
+        ids = np.array([*tok.encode(t or "", add_special_tokens=False).ids, 0], dtype="<u4")
+        mine = got[(got.doc_id == i) & (got.doc_tokens == len(ids))].sort_values("start")
+        assert [*mine.start] == [*(mine.length.cumsum() - mine.length)] and mine.length.sum() == len(ids)
+        assert [zlib.crc32(ids[s : s + n].tobytes()) for s, n in zip(mine.start, mine.length)] == [*mine.ids_crc32]
+    seqs = got.sort_values("offset").groupby("sequence_id")
+    for _, s in seqs:
+        assert [*s.offset] == [*(s.length.cumsum() - s.length)] and s.length.sum() <= 1024
+    assert got.length.sum() >= 0.98 * 1024 * len(seqs) and [*sorted(got.sequence_id.unique())] == [*range(len(seqs))]
+
+
 def test_op7(spark, edge, none, docs):
     got = queries.op7_lm_score(spark, SF).collect()
     tok = {i: [*ascii_lower(t).encode().split(), None] for i, t in docs.items()}
