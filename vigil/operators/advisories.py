@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .iterate import cut
+from .trees import rollup
 
 from ..functions import versions as V
 
@@ -40,15 +38,19 @@ def transitive_summary(tree: DataFrame) -> DataFrame:
 
 
 def dependency_paths(tree: DataFrame) -> DataFrame:
-    """(name, path): from the root to each package by the name of its parent, of several the first by name.
-
-    One join per level, on the packages that the level before reached, until none is left; the tree may be of any depth.
-    """
-    nodes = cut(tree.groupBy("name").agg(F.min("parent").alias("parent")))
-    level = cut(nodes.where("parent is null").select("name", F.array("name").alias("path")))
-    rest, levels = nodes.where("parent is not null"), [level]
-    while not level.isEmpty():
-        above = level.select(F.col("name").alias("parent"), "path")
-        level = cut(rest.join(above, "parent").where(~F.array_contains("path", F.col("name"))).select("name", F.concat("path", F.array("name")).alias("path")))
-        levels.append(level)
-    return reduce(DataFrame.union, levels).select("name", F.array_join("path", " > ").alias("path"))
+    """(name, path): from the root to each package by the name of its parent, of several the first by name; by pointer
+    doubling, so the tree may be of any depth. Packages on or under a cycle have none."""
+    t = tree.select(F.lit("").alias("path"), "name", "parent")
+    none = t.select("path", "name", F.lit("").alias("severity")).limit(0)
+    return rollup(t, none).where("way is not null").select("name", F.array_join("way", " > ").alias("path"))
+
+
+def enrich(tree: DataFrame, found: DataFrame) -> DataFrame:
+    """Findings (path, name, severity, and more) with is_direct_dependency, dependency_depth, dependency_path, introduced_by and
+    brought_by (the direct dependency that leads there); one that the tree does not hold counts as direct."""
+    at = rollup(tree, found).select("path", "name", F.col("depth").alias("_d"), F.col("way").alias("_w"), F.col("root").alias("_r"))
+    j = found.join(at, ["path", "name"], "left")
+    return j.select(
+        *found.columns, F.coalesce(F.col("_d") == 0, F.col("_w").isNull()).alias("is_direct_dependency"), F.coalesce("_d", F.lit(0)).alias("dependency_depth"), F.coalesce("_w", F.array("name")).alias("dependency_path"),
+        F.when(F.col("_d") > 0, F.element_at("_w", -2)).alias("introduced_by"), F.coalesce("_r", "name").alias("brought_by"),
+    )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import versions as V
 from ..operators import advisories as A
 from ..operators import graph as G
+from ..operators import trees as Tr
 from .registry import query, table
 
 _VERSION = "CAST(p_size % 4 AS VARCHAR) || '.' || CAST(p_partkey % 12 AS VARCHAR) || '.' || CAST(p_partkey % 30 AS VARCHAR)"
@@ -85,3 +86,36 @@ def closure(spark, sf_dir):
     """What each node reaches, and whether it reaches itself; each round doubles the reach."""
     c = G.closure(_edges(spark, sf_dir))
     return c.groupBy("src").agg(F.count("*").alias("reach"), F.bool_or(F.col("src") == F.col("dst")).alias("recursive"))
+
+
+_PARENT = "CASE WHEN p_partkey > 1 THEN p_partkey - 1 - p_size % 2 WHEN p_partkey = 1 THEN 0 END"
+_SEVERITY = "CASE p_size % 7 WHEN 0 THEN 'critical' WHEN 1 THEN 'HIGH' WHEN 2 THEN 'medium' WHEN 3 THEN 'other' END"
+
+
+@query(f"""
+WITH RECURSIVE t AS (SELECT p_partkey AS k, {_PARENT} AS up, {_SEVERITY} AS severity FROM part),
+a(k, anc, n) AS (SELECT k, k, 0 FROM t UNION ALL SELECT a.k, t.up, a.n + 1 FROM a JOIN t ON t.k = a.anc WHERE t.up IS NOT NULL),
+w AS (SELECT k, max(n) AS depth, md5(string_agg('p' || anc, '>' ORDER BY n DESC)) AS way_md5, 'p' || arg_max(anc, n) AS root FROM a GROUP BY k),
+b AS (SELECT a.anc AS k, count(severity) AS below, count(*) FILTER (severity = 'critical') AS below_critical, count(*) FILTER (severity = 'HIGH') AS below_high, count(*) FILTER (severity = 'medium') AS below_medium FROM a JOIN t ON t.k = a.k GROUP BY a.anc)
+SELECT 'p' || w.k AS name, CAST(depth AS INTEGER) AS depth, root, way_md5, CAST((t.severity IS NOT NULL)::INT AS BIGINT) AS own, below, CAST(below_critical AS BIGINT) AS below_critical, CAST(below_high AS BIGINT) AS below_high, CAST(below_medium AS BIGINT) AS below_medium
+FROM w JOIN b USING (k) JOIN t USING (k)
+""")
+def dependency_rollup(spark, sf_dir):
+    """A tree as deep as half of all parts or more: depth, root and way of each package, and the findings in its subtree."""
+    p = table(spark, sf_dir, "part").selectExpr("'x' AS path", "concat('p', p_partkey) AS name", f"concat('p', {_PARENT}) AS parent", f"{_SEVERITY} AS severity")
+    r = Tr.rollup(p, p.where("severity is not null"))
+    return r.select("name", "depth", "root", F.md5(F.array_join("way", ">")).alias("way_md5"), "own", "below", "below_critical", "below_high", "below_medium")
+
+
+@query("""
+WITH RECURSIVE p AS (SELECT p_partkey AS k, p_partkey % 5 AS f, (p_partkey * 7 + 15) AS d1, p_partkey - 5 * (p_size % 9) - 5 AS d2 FROM part),
+e AS (SELECT p.f, p.k, q.k AS d FROM p JOIN p q ON q.f = p.f AND q.k IN (p.d1 - (p.d1 - p.f) % 5, p.d2) AND q.k <> p.k),
+r(f, k, depth) AS (SELECT f, k, 0 FROM p WHERE k % 50 < 5 UNION SELECT e.f, e.d, r.depth + 1 FROM r JOIN e ON e.f = r.f AND e.k = r.k WHERE r.depth < 40),
+m AS (SELECT f, k, min(depth) AS depth FROM r GROUP BY ALL),
+u AS (SELECT e.f, e.d AS k, min('p' || e.k) AS parent FROM e JOIN m a ON a.f = e.f AND a.k = e.k JOIN m b ON b.f = e.f AND b.k = e.d AND b.depth = a.depth + 1 GROUP BY ALL)
+SELECT 'f' || p.f AS path, 'p' || p.k AS name, CAST(m.depth AS INTEGER) AS depth, u.parent, coalesce(m.depth = 0, false) AS is_direct FROM p LEFT JOIN m USING (f, k) LEFT JOIN u USING (f, k)
+""")
+def lockfile_depths(spark, sf_dir):
+    """Graphs with cycles, one per file: fewest edges from a direct dependency, and the package that leads there."""
+    p = table(spark, sf_dir, "part").selectExpr("p_partkey k", "p_partkey % 5 f", "p_partkey * 7 + 15 d1", "p_partkey - 5 * (p_size % 9) - 5 d2").selectExpr("concat('f', f) path", "concat('p', k) name", "k", "explode(array(d1 - (d1 - f) % 5, d2)) d")
+    return Tr.depths(p, p.selectExpr("path", "name", "concat('p', d) dependency"), p.where("k % 50 < 5").select("path", "name"))

@@ -243,3 +243,21 @@ def cargo_lock(files: DataFrame) -> DataFrame:
     b = f.select("path", F.explode(F.split("content", r"\[\[package\]\]")).alias("b")).where(F.col("b").rlike(r"(?m)^name = "))
     deps = F.regexp_extract("b", r"(?s)dependencies = \[(.*?)\]", 1)
     return b.select("path", F.regexp_extract("b", r"(?m)^name = \"([^\"]+)\"", 1).alias("name"), F.regexp_extract("b", r"(?m)^version = \"([^\"]+)\"", 1).alias("version"), F.regexp_extract_all(deps, F.lit(r"\"([^\s\"]+)[^\"]*\""), F.lit(1)).alias("dependencies"))
+
+
+def yarn_graph(files: DataFrame) -> DataFrame:
+    """(path, name, version, dependencies) of yarn.lock: one row per package name of each block; names of dependencies, optional ones too."""
+    f = files.where(file_name(F.col("path")) == "yarn.lock")
+    b = f.select("path", F.explode(F.split(F.regexp_replace("content", r"\r\n", "\n"), r"\n(?=[^\s#])")).alias("b")).where(F.col("b").rlike(r"(?m)^[^\s#].*:$"))
+    head, body = F.regexp_extract("b", r"(?m)^([^\s#].*):$", 1), F.regexp_extract("b", r"(?ms)^[^\s#][^\n]*:$(.*)", 1)
+    names = F.array_distinct(F.filter(F.transform(F.split(head, ","), lambda x: F.regexp_extract(x, r'^\s*"?(@?[^@"]+)@', 1)), lambda x: x != ""))
+    deps = F.array_distinct(F.regexp_extract_all(body, F.lit(r'(?m)^    "?(@?[^\s"@:]+)"?:?\s'), F.lit(1)))
+    return b.select("path", F.explode(names).alias("name"), F.regexp_extract("b", r'(?m)^  version:? "?([^"\s]+)', 1).alias("version"), deps.alias("dependencies")).where("version <> ''")
+
+
+def lock_tree(packages: DataFrame) -> DataFrame:
+    """(path, name, version, depth, parent, is_direct) of the packages (path, name, version, dependencies) of yarn_graph() or cargo_lock()."""
+    from ..operators.trees import depths
+
+    at = depths(packages, packages.select("path", "name", F.explode("dependencies").alias("dependency")))
+    return packages.select("path", "name", "version").distinct().join(at, ["path", "name"]).select("path", "name", "version", "depth", "parent", "is_direct")
