@@ -131,6 +131,25 @@ def words_of(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
+def tidy(run):
+    """``run``, after which the worker hands freed memory back: workers live on, and what one stage took counts in the next."""
+
+    def wrapped(batches):
+        import ctypes
+        import gc
+
+        import pyarrow as pa
+
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc only
+        if trim is not None:
+            trim(0)
+
+    return wrapped
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner drop shuffle files of finished rounds: it follows the collection of dead plan objects."""
     import gc
