@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import commit_scans, commits, dashboards, dataflow, dependencies, increments, models, precision, programs, reachability, rulesets, scans, threats, triage  # noqa: F401  registers their queries
+from .plans import caches, commit_scans, commits, dashboards, dataflow, dependencies, increments, models, precision, programs, reachability, rulesets, scans, threats, triage  # noqa: F401  registers their queries
 from .plans.registry import QUERIES, SQL
 
 FLAGSHIP = "developer_anomalies"
