@@ -99,3 +99,14 @@ def test_changes_impact_states(spark):
 def test_a_field_only_one_snapshot_has(spark):
     old, new = spark.createDataFrame([(1, "x")], "id long, a string"), spark.createDataFrame([(1, "x", "y")], "id long, a string, b string")
     assert [tuple(x) for x in I.changes(old, new, ["id"]).collect()] == [(1, "modified", ["b"])]
+
+
+def test_different_threats_with_one_id(spark):
+    """Hashes of eight digits meet: the states of the threats stay apart, and in the lifecycle each old one meets each new one."""
+    cols = "threat_id string, stride string, threat string, severity string, risk_score double, components array<string>"
+    old = spark.createDataFrame([("a", "S", "x", "high", 7.5, ["1"]), ("a", "S", "y", "low", 2.5, ["2"]), ("b", "S", "x", "low", 2.5, ["2"]), ("b", "S", "z", "low", 2.5, ["4"])], cols)
+    derived = spark.createDataFrame([("a", "S", "x", "high", 8.5, ["1"])], cols)
+    ids = spark.createDataFrame([(1, False), (4, True)], "id long, removed boolean")
+    assert sorted((x.threat_id, x.threat, x.state) for x in I.touched_threats(old, ids).collect()) == [("a", "x", "affected"), ("a", "y", "unaffected"), ("b", "x", "unaffected"), ("b", "z", "orphaned")]
+    got = [(x.threat_id, x.status, x.risk_score, x.previous and x.previous.risk_score) for x in I.classify(old, derived, ids).collect()]
+    assert sorted(got, key=repr) == sorted([("a", "modified", 8.5, 7.5), ("a", "modified", 2.5, 7.5), ("a", "modified", 8.5, 2.5), ("a", "existing", 2.5, None), ("b", "existing", 2.5, None), ("b", "existing", 2.5, None)], key=repr)

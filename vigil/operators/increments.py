@@ -98,23 +98,35 @@ def touched(components: DataFrame, flows: DataFrame, ids: DataFrame) -> tuple[Da
     return components.join(some, "id", "left_semi"), at("source").unionByName(rest)
 
 
+def _states(threats: DataFrame, ids: DataFrame) -> DataFrame:
+    """(threat_id, components, removed) of the threats with a component among ``ids``.
+
+    An id has eight digits of a hash, so different threats share one now and then: a threat is told by its components too.
+    """
+    each = threats.select("threat_id", "components", F.explode("components").alias("_c"))
+    return each.join(ids.select(F.col("id").cast("string").alias("_c"), "removed"), "_c").groupBy("threat_id", "components").agg(F.bool_or("removed").alias("removed"))
+
+
 def classify(existing: DataFrame, derived: DataFrame, ids: DataFrame, content: tuple[str, ...] = ("severity", "risk_score")) -> DataFrame:
     """existing's columns and status, previous: the lifecycle of every threat of either table.
 
     In both: modified if a ``content`` field differs (the new row, the old one in ``previous``), else existing. Only old:
-    resolved if one of its components was removed, else existing. Only derived: new.
+    resolved if one of its components was removed, else existing. Only derived: new. Threats that ``ids`` leave alone stand in
+    both. Rows that repeat a threat count once; of different threats with one id each old one meets each new one.
     """
     cols = [c for c in existing.columns if c != "threat_id"]
-    packed = lambda df, name: df.groupBy("threat_id").agg(F.max(F.struct(*[F.col(c) for c in cols])).alias(name))
-    both = packed(existing, "_o").join(packed(derived, "_n"), "threat_id", "full_outer")
-    gone = ids.where("removed").select(F.col("id").cast("string").alias("_c"))
-    lost = existing.select("threat_id", F.explode("components").alias("_c")).join(gone, "_c", "left_semi").select("threat_id").distinct().withColumn("_lost", F.lit(True))
+    same = ["threat_id", *[c for c in ("stride", "threat", "components") if c in cols]]
+    once = lambda df, *first: df.groupBy(*same).agg(F.max(F.struct(*first, *[c for c in cols if c not in same])).alias("_r")).select(*same, "_r.*").select("threat_id", *cols)
+    packed = lambda df, name, *more: df.select("threat_id", F.struct(*cols).alias(name), *more)
+    old = once(existing).join(_states(existing, ids).withColumnRenamed("removed", "_lost"), ["threat_id", "components"], "left")
+    now = once(old.where("_lost is null").select("threat_id", *cols, F.lit(0).alias("_p")).unionByName(derived.select("threat_id", *cols, F.lit(1).alias("_p"))), "_p")
+    both = packed(old, "_o", "_lost").join(packed(now, "_n"), "threat_id", "full_outer")
     differs = reduce(lambda a, b: a | b, [~F.col("_o")[c].eqNullSafe(F.col("_n")[c]) for c in content])
     status = (
         F.when(F.col("_o").isNull(), "new").when(F.col("_n").isNotNull(), F.when(differs, "modified").otherwise("existing")).when(F.col("_lost"), "resolved").otherwise("existing")
     )
     shown = F.when(status.isin("new", "modified"), F.col("_n")).otherwise(F.col("_o"))
-    out = both.join(lost, "threat_id", "left").select("threat_id", shown.alias("_s"), status.alias("status"), F.when(status == "modified", F.col("_o")).alias("previous"))
+    out = both.select("threat_id", shown.alias("_s"), status.alias("status"), F.when(status == "modified", F.col("_o")).alias("previous"))
     return out.select("threat_id", "_s.*", "status", "previous")
 
 
@@ -131,6 +143,5 @@ def current(lifecycle: DataFrame) -> DataFrame:
 
 def touched_threats(threats: DataFrame, ids: DataFrame) -> DataFrame:
     """threats with ``state``: orphaned if a component was removed, affected if one is among ``ids``, else unaffected."""
-    hit = threats.select("threat_id", F.explode("components").alias("_c")).join(ids.select(F.col("id").cast("string").alias("_c"), "removed"), "_c")
-    state = hit.groupBy("threat_id").agg(F.when(F.bool_or("removed"), "orphaned").otherwise("affected").alias("state"))
-    return threats.join(state, "threat_id", "left").withColumn("state", F.coalesce("state", F.lit("unaffected")))
+    state = F.when(F.col("removed"), "orphaned").when(~F.col("removed"), "affected").otherwise("unaffected")
+    return threats.join(_states(threats, ids), ["threat_id", "components"], "left").select(*threats.columns, state.alias("state"))
