@@ -249,3 +249,17 @@ def test_feeds(spark, tmp_path):
     cache = spark.sql("SELECT 'a' AS package, current_timestamp() AS fetched_at UNION ALL SELECT 'b', current_timestamp() - INTERVAL 9 HOURS")
     hits, misses = feeds.against_cache(spark.createDataFrame([("a",), ("b",), ("c",)], "package string"), cache, ["package"])
     assert [r.package for r in hits.collect()] == ["a"] and {r.package for r in misses.collect()} == {"b", "c"}
+
+
+def test_relevance_of_classes(spark):
+    """Against all pairs; rows that agree in all that counts are scored once, words that the other side lacks count in the share only."""
+    from vigil.operators import correlation as Co
+
+    c = [(i, i % 3 if i % 7 else None, ["a", "b", f"own{i}", *(["c"] if i % 2 else []), "a"]) for i in range(30)] + [(30, 1, None), (31, None, [])]
+    t = [(i, i % 5 if i % 6 else None, [w for k, w in enumerate("abcde") if i >> k & 1]) for i in range(64)] + [(64, 1, None)]
+    schema = "{} long, category int, words array<string>"
+    out = Co.relevance(spark.createDataFrame(c, schema.format("cid")), spark.createDataFrame(t, schema.format("tid")), 0.2)
+    got = sorted(map(tuple, out.collect()))
+    score = lambda x, y: round((x[1] is not None and x[1] == y[1]) * 0.5 + min(len({*(x[2] or [])} & {*(y[2] or [])}) / max(1, len({*(x[2] or [])})) * 0.5, 0.4), 6)
+    assert got == sorted((x[0], y[0], s) for x in c for y in t if (s := score(x, y)) >= 0.2)
+    assert "Aggregate" not in out._jdf.queryExecution().optimizedPlan().toString()  # pairs of rows are neither gathered nor counted
