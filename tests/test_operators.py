@@ -263,3 +263,13 @@ def test_relevance_of_classes(spark):
     score = lambda x, y: round((x[1] is not None and x[1] == y[1]) * 0.5 + min(len({*(x[2] or [])} & {*(y[2] or [])}) / max(1, len({*(x[2] or [])})) * 0.5, 0.4), 6)
     assert got == sorted((x[0], y[0], s) for x in c for y in t if (s := score(x, y)) >= 0.2)
     assert "Aggregate" not in out._jdf.queryExecution().optimizedPlan().toString()  # pairs of rows are neither gathered nor counted
+
+
+def test_jobs_of_one_interval_meet_events_once(spark, tmp_path):
+    from vigil import catalog
+
+    spark.sql("SELECT id AS o_orderkey, TIMESTAMP'1995-01-01' AS o_orderdate FROM range(300)").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.sql("SELECT id AS event_id, TIMESTAMP'2024-01-02' AS ts FROM range(200)").write.parquet(f"{tmp_path}/events.parquet")
+    out = catalog.queries()["interval_join_jobs"](spark, str(tmp_path))
+    assert sorted(map(tuple, out.collect())) == [(i, 200) for i in range(300)]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [at") == 1  # moments, not events, are joined
