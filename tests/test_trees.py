@@ -76,3 +76,17 @@ def test_enrich(spark):
 def test_nothing(spark):
     none = spark.createDataFrame([], "path string, name string, parent string, dependency string, severity string")
     assert T.depths(none, none).collect() == [] and T.rollup(none, none).collect() == []
+
+
+def test_way_digests(spark):
+    """Digests of the ways without the ways: bushy trees, chains, several roots and files, cycles."""
+    import hashlib
+
+    r = random.Random(4)
+    rows = [("f", str(i), str(r.randrange(max(0, i - 4), i)) if i and r.random() < 0.97 else None) for i in range(120)] + [("g", str(i), str(i // 9) if i else None) for i in range(60)] + [("g", "a", "b"), ("g", "b", "a"), ("g", "c", "a")]
+    tree = spark.createDataFrame(rows, "path string, name string, parent string")
+    none = spark.createDataFrame([], "path string, name string, severity string")
+    want = {(x.path, x.name): (x.way and hashlib.md5(">".join(x.way).encode()).hexdigest(), x.depth, x.root) for x in T.rollup(tree, none).collect()}
+    got = {(x.path, x.name): (x.way_md5, x.depth, x.root) for x in T.rollup(tree, none, digest=True).collect()}
+    assert got == want and len(got) == 183
+    assert got["g", "c"] == (None, None, None)

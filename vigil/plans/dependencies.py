@@ -103,8 +103,8 @@ FROM w JOIN b USING (k) JOIN t USING (k)
 def dependency_rollup(spark, sf_dir):
     """A tree as deep as half of all parts or more: depth, root and way of each package, and the findings in its subtree."""
     p = table(spark, sf_dir, "part").selectExpr("'x' AS path", "concat('p', p_partkey) AS name", f"concat('p', {_PARENT}) AS parent", f"{_SEVERITY} AS severity")
-    r = Tr.rollup(p, p.where("severity is not null"))
-    return r.select("name", "depth", "root", F.md5(F.array_join("way", ">")).alias("way_md5"), "own", "below", "below_critical", "below_high", "below_medium")
+    r = Tr.rollup(p, p.where("severity is not null"), digest=True)
+    return r.select("name", "depth", "root", "way_md5", "own", "below", "below_critical", "below_high", "below_medium")
 
 
 @query("""
