@@ -141,3 +141,12 @@ def test_long_chain_and_cycle(spark):
     code += ["function go(req) {", "  f0(req.query.a)", "}"]
     got = D.flows(spark.createDataFrame([("x", i + 1, t) for i, t in enumerate(code)], "path string, line_number int, line string")).collect()
     assert {(r.function, r.hops) for r in got} == {(f"f{i}", i + 1) for i in range(n)}
+
+
+def test_long_chains_keep_few_tables_and_no_broadcast(spark):
+    """Facts of many rounds are merged, and what grows with the code is not sent through the driver."""
+    lines = ["function f(a) {", "  x0 = request.args.q", *[f"  x{i + 1} = x{i}" for i in range(20)], "  db.execute(x20)", "}"]
+    out = D.flows(spark.createDataFrame([("p", i + 1, x) for i, x in enumerate(lines)], "path string, line_number long, line string"), between=False)
+    assert [(r.hops, r.source_line, r.sink_line) for r in out.collect()] == [(21, 2, 23)]
+    plan = out._jdf.queryExecution().toString()
+    assert "BroadcastHashJoin" not in plan and out._jdf.queryExecution().optimizedPlan().toString().count("Relation [") <= D.TABLES + 2

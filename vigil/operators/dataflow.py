@@ -29,6 +29,8 @@ ASSIGNMENT = r"^\s*(?:(?:const|let|var|final)\s+)?(?:[A-Za-z_][\w<>\[\].]*\s+)?\
 TOKENS = r"""(?sU)"(?:\\.|[^"\\])*+(?:"|\\?\z)|'(?:\\.|[^'\\])*+(?:'|\\?\z)|`(?:\\.|[^`\\])*+(?:`|\\?\z)|[\w.]+\s*\(|[(),]|[^"'`(),\w]+|[\w.]+"""
 #: Arguments of a call that count.
 MOST_ARGUMENTS = 10
+#: Tables of facts that are kept apart; so many become one.
+TABLES = 8
 
 _FRAME = "struct<name:string,head:string,raw:string,arg:string,args:array<string>>"
 _CALLS = "array<struct<callee:string,args:array<string>>>"
@@ -79,6 +81,12 @@ def scoped(lined: DataFrame, definition: str = DEFINITION) -> DataFrame:
     return _events(lined, definition).where("kind = 2").select("path", "line_number", "line", F.coalesce("name", "top", F.lit(MODULE)).alias("function"), F.coalesce(begins, "opened", F.lit(0)).cast("long").alias("start"))
 
 
+def _far(df: DataFrame) -> DataFrame:
+    """A side of a join that grows with the code: always shuffled. Its files are so small, as names repeat, that the plan would
+    send all rows through the driver to every executor."""
+    return df.hint("merge")
+
+
 def _passes(text: Column) -> Column:
     """The kinds of taint that no sanitizer in ``text`` stops."""
     return F.filter(F.array(*[F.when(~text.rlike(SANITIZERS.get(k, "(?!)") + "|" + SANITIZERS["any"]), F.lit(k)) for k in KINDS]), lambda k: k.isNotNull())
@@ -96,7 +104,7 @@ def expressions(code: DataFrame) -> tuple[DataFrame, DataFrame]:
     value = F.regexp_extract("line", ASSIGNMENT, 2)
     out = [part(c.where("target is not null"), value, here, F.col("target")), part(c.where(r"line rlike '^\\s*return\\b'"), F.regexp_extract("line", r"\breturn\b(.*)", 1), F.col("start"), F.lit(RETURN))]
     args = c.select("path", "start", "line_number", F.explode("calls").alias("call")).select("path", "start", "line_number", F.col("call.callee").alias("function"), F.posexplode("call.args").alias("place", "text"))
-    args = args.join(last, ["path", "function"]).join(head.select("path", F.col("start").alias("callee_start"), "place", "variable"), ["path", "callee_start", "place"])
+    args = args.join(_far(last), ["path", "function"]).join(_far(head.select("path", F.col("start").alias("callee_start"), "place", "variable")), ["path", "callee_start", "place"])
     out.append(part(args, F.col("text"), F.col("callee_start"), F.col("variable")))
     for kind, (pattern, *_) in SINKS.items():
         rest = F.regexp_extract("line", f"(?:{pattern})(.*)", 1)
@@ -122,7 +130,7 @@ def edges(code: DataFrame, between: bool = True) -> tuple[DataFrame, DataFrame]:
     if between:
         starts = code.where("start > 0").groupBy("path", "function").agg(F.max("start").alias("from_at"))
         called = found.select("path", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(CALL), F.lit(1)))).alias("function"), "at", "name", "passes")
-        out = out.union(called.join(starts, ["path", "function"]).select("path", "from_at", F.lit(RETURN), "at", "name", "passes"))
+        out = out.union(called.join(_far(starts), ["path", "function"]).select("path", "from_at", F.lit(RETURN), "at", "name", "passes"))
     fed = found.where(F.col("text").rlike("|".join(SOURCES.values()))).select("path", "at", "name", "passes", "line_number")
     out = cut(out.where(F.size("passes") > 0).groupBy("path", "from_at", "from_name", "at", "name").agg(F.array_distinct(F.flatten(F.collect_set("passes"))).alias("passes")))
     fed = cut(fed)
@@ -135,12 +143,17 @@ def spread(links: DataFrame, fed: DataFrame) -> DataFrame:
     line among the sources that are so near."""
     key = ["path", "at", "name", "kind"]
     new = cut(fed.select("path", "at", "name", F.explode("passes").alias("kind"), F.col("line_number").alias("source_line")).groupBy(*key).agg(F.lit(0).alias("hops"), F.min("source_line").alias("source_line")))
-    parts = [new]
+    parts, hops = [new], 0
     while not new.isEmpty():
+        hops += 1
         from_new = new.select("path", F.col("at").alias("from_at"), F.col("name").alias("from_name"), "kind", "source_line")
-        step = links.join(from_new, ["path", "from_at", "from_name"]).where(F.array_contains("passes", F.col("kind"))).groupBy(*key).agg(F.lit(len(parts)).alias("hops"), F.min("source_line").alias("source_line"))
+        step = links.join(_far(from_new), ["path", "from_at", "from_name"]).where(F.array_contains("passes", F.col("kind"))).groupBy(*key).agg(F.lit(hops).alias("hops"), F.min("source_line").alias("source_line"))
         known = reduce(DataFrame.union, [p.select(*key) for p in parts])
-        new = cut(step.join(known, key, "left_anti"))
+        new = cut(step.join(_far(known), key, "left_anti"))
+        if len(parts) == TABLES:
+            whole = cut(reduce(DataFrame.union, parts))
+            drop(*parts)
+            parts = [whole]
         parts.append(new)
     return reduce(DataFrame.union, parts)
 
@@ -156,5 +169,5 @@ def flows(lined: DataFrame, definition: str = DEFINITION, between: bool = True)
     facts = spread(links, fed).where(F.col("name").startswith("!"))
     at = lambda i: reduce(lambda c, kv: c.when(F.col("kind") == kv[0], kv[1][i]), SINKS.items(), F.when(F.lit(False), ""))
     where = code.select("path", F.col("line_number").alias("at"), "function")
-    out = facts.join(where, ["path", "at"]).select("path", "function", F.col("at").alias("sink_line"), "kind", at(1).alias("cwe"), at(2).alias("severity"), "source_line", "hops")
+    out = facts.join(_far(where), ["path", "at"]).select("path", "function", F.col("at").alias("sink_line"), "kind", at(1).alias("cwe"), at(2).alias("severity"), "source_line", "hops")
     return out.withColumn("confidence", F.round(F.pow(F.lit(DECAY), F.greatest(F.col("hops") - 1, F.lit(0))), 6))
