@@ -649,6 +649,15 @@ def test_op9_many_edits(spark):
     assert {i for i, t in got.items() if t} == set(heads.values())
 
 
+def test_exact_leaves_decided_pairs(spark):
+    """A bucket's first hub has been compared with all others: a bucket of two gives no rows, one of three its other pair."""
+    same = np.arange(1, 40, dtype=np.uint64).tobytes()
+    sets = spark.createDataFrame([(k, same) for k in range(1, 6)], "k long, s binary")
+    members = [(7, 1, 5), (7, 2, 4), (8, 3, 9), (8, 4, 2), (8, 5, 2)]
+    members = spark.createDataFrame([(h, k, 39, d, k) for h, k, d in members], "h long, k long, n long, degree long, label long")
+    assert [tuple(r) for r in minhash._exact(members, sets, 80).collect()] == [(4, 5)]
+
+
 def test_op9_planted(spark):
     """Passages of 55 to 100 words in two documents, wrapped behind other short lines or inside text without sentence ends."""
     r = random.Random(17)

@@ -7,7 +7,7 @@ is never expanded into pairs: its members are compared with one hub, by one orde
 group's buckets name the same pairs. Exact copies are folded into one node first.
 
 Stars verify each member against its hub only. As two members may be alike though both are unlike the hub, what then
-shares a bucket across components goes through an exact join: with a fixed order of shingles, rare ones first, two
+shares a bucket across components, its first hub aside, goes through an exact join: with a fixed order of shingles, rare ones first, two
 sets alike share one of the first few, at places that leave enough behind them (prefix and position filter). So all
 pairs that share a bucket are decided. Every link is confirmed on the full shingle sets.
 
@@ -239,9 +239,15 @@ def _cross(percent: int, block: int = 1 << 21):
 
 
 def _exact(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs (a, b) with different labels, among nodes of buckets that hold several labels: all that can be alike."""
-    split = members.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("h")
-    have = C.cut(members.join(split, "h", "left_semi").select("k", "label").distinct().join(sets, "k").select("k", "label", "s"))
+    """Distinct pairs (a, b) with different labels, among nodes of buckets that hold several labels: all that can be alike.
+
+    The first round of stars has decided every pair with a bucket's first hub, so the hub stands aside: what chance puts
+    into a bucket by twos, which grows with the square of the corpus, has nothing left to decide.
+    """
+    hubs = members.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("c"), F.min(F.struct((-F.col("degree")).alias("o"), "k")).alias("hub"))
+    rest = members.join(hubs.where("c > 2 and lo <> hi").select("h", F.col("hub.k").alias("hub")), "h").where("k <> hub")
+    split = rest.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("h")
+    have = C.cut(rest.join(split, "h", "left_semi").select("k", "label").distinct().join(sets, "k").select("k", "label", "s"))
     rows = have.mapInArrow(C.tidy(_prefixes(_frequencies(have), percent)), "t long, label long, k long, n long, i long")
     return rows.repartition("t").sortWithinPartitions("t", "label").mapInArrow(C.tidy(_cross(percent)), "a long, b long").distinct()
 
