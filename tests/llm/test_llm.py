@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -467,6 +468,17 @@ def test_op7_tail_join(spark, monkeypatch):
         assert r.n_known == want[r.doc_id].n_known and math.isclose(r.base_score, want[r.doc_id].base_score, rel_tol=1e-9)
 
 
+def test_op7_start_counts_all_texts(spark, monkeypatch):
+    """A long text, and one among many, has its say in the start."""
+    monkeypatch.setattr(lm, "PASSES", 0)
+    texts = [[1 + i % 9, 2, 0] for i in range(450)]
+    fit = lambda more: lm.baum_welch(spark.createDataFrame([(i, t) for i, t in enumerate([*texts, more])], "doc_id long, symbols array<short>")).emit
+    assert not np.allclose(fit([3] * 5000 + [0]), fit([4] * 5000 + [0]))
+    cells = next(lm._pairs(iter([pa.RecordBatch.from_arrays([pa.array([[5, 6, 0], [0]], pa.list_(pa.int16()))], ["symbols"])])))
+    wide = lm.OWN + lm.SHARED
+    assert cells.to_pydict() == {"cell": [0, 5, 5 * wide + 6, 6 * wide], "n": [1, 1, 1, 1]}
+
+
 def test_op7_forward_is_exact():
     import itertools
 

@@ -6,9 +6,8 @@ other words of a text meet their counts in a join, so counts are exact at any vo
 
 The model's symbols are the end, the ``SYMBOLS`` most frequent words, and ``CLASSES`` classes of the remaining words (by
 their first bytes); a word of a class has probability (c + 1) / (N + V + 1) of its class's counts, one unseen word's mass
-included. Baum-Welch starts from a fit to at most ``START`` texts of at most ``START_TOKENS`` tokens (a starting point
-only); its ``PASSES`` passes then count
-expected transitions and emissions over all training texts, summed by symbol across partitions. Scores are exact
+included. Baum-Welch starts from a fit to the counts of neighbouring symbols in all training texts (the second of a
+pair by groups, so the table has a fixed size); its ``PASSES`` passes then count expected transitions and emissions over all training texts, summed by symbol across partitions. Scores are exact
 likelihoods by the scaled forward recursion, vectorised over texts of similar length; a text of any length is scored
 and trained on whole: for texts over ``SEGMENT`` tokens the backward pass keeps the forward state at the start of each
 segment and recomputes the rest of it, which bounds the memory and gives the same counts.
@@ -35,7 +34,9 @@ from . import common as C
 
 HEAD, WORD_BYTES = 200_000, 64
 SYMBOLS, CLASSES, STATES = 4096, 512, 8
-START, START_TOKENS, START_ROUNDS, PASSES, SEGMENT = 400, 4096, 12, 2, 8192
+START_ROUNDS, PASSES, SEGMENT = 100, 2, 8192
+#: Groups of the second symbol of a pair: so many frequent symbols by themselves, and groups that the others share.
+OWN, SHARED = 128, 32
 #: Tokens that a worker holds at once.
 HELD = 250_000
 FOLDS, FOLD = 7, 2
@@ -268,20 +269,54 @@ def code(docs: DataFrame, tables) -> DataFrame:
     return C.cut(docs.select("text", "doc_id").mapInArrow(run, "doc_id long, h long, n_tokens long, n_known long, base double, inner double, words array<binary>, times array<long>, symbols array<short>"))
 
 
-def baum_welch(coded: DataFrame) -> Model:
-    """A model of the texts in ``coded`` (doc_id, symbols): a start on START of them, then PASSES passes over all."""
-    few = coded.where(F.size("symbols") <= START_TOKENS)
-    ids = few.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(START)
-    sample = few.join(F.broadcast(ids), "doc_id", "left_semi").select("symbols").limit(START).toArrow()  # START * START_TOKENS symbols at most
-    seqs = [s.values.to_numpy() for s in sample.column("symbols")]
-    # starting point: states differ by a deterministic random tilt of the shares
-    share = np.bincount(np.concatenate(seqs), minlength=1 + SYMBOLS + CLASSES) if seqs else np.ones(1 + SYMBOLS + CLASSES)
+def _group(symbols: np.ndarray) -> np.ndarray:
+    """Groups of symbols: the most frequent ones by themselves, the others dealt to SHARED groups."""
+    return np.where(symbols < OWN, symbols, OWN + symbols % SHARED)
+
+
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(cell, n): how often a symbol stands before one of a group; a text's first symbol follows its end."""
+    groups = _group(np.arange(1 + SYMBOLS + CLASSES))
+    n = np.zeros(len(groups) * (OWN + SHARED), dtype=np.int64)
+    for b in batches:
+        for s in _sequences(b.column(0)):
+            for i in range(0, len(s), HELD):
+                part = s[i : i + HELD].astype(np.int64)
+                after = np.append(s[i + 1 : i + len(part)], s[(i + len(part)) % len(s)])
+                np.add.at(n, part * (OWN + SHARED) + groups[after], 1)
+    cell = np.flatnonzero(n)
+    yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int64()), pa.array(n[cell])], ["cell", "n"])
+
+
+def start(coded: DataFrame) -> Model:
+    """The model from which the passes start, fitted to the pairs of neighbours in all of ``coded`` (symbols).
+
+    The counts of pairs are a table of fixed size; a round of expectation and maximisation on it is a few products of matrices.
+    """
+    got = coded.select("symbols").mapInArrow(_pairs, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # symbols times groups at most
+    groups = _group(np.arange(1 + SYMBOLS + CLASSES))
+    n = np.zeros(len(groups) * (OWN + SHARED))
+    n[got.column("cell").to_numpy()] = got.column("n").to_numpy()
+    n = n.reshape(len(groups), -1)
+    # states differ at first by a deterministic random tilt of the shares
     rng = np.random.Generator(np.random.PCG64(11))
-    emit = (share + 0.01)[:, None] * rng.gamma(2.0, 0.5, (len(share), STATES))
+    emit = (n.sum(axis=1) + 0.01)[:, None] * rng.gamma(2.0, 0.5, (len(n), STATES))
     model = Model.from_counts(np.ones(STATES), np.eye(STATES) * 50 + 1.0, emit)
-    for _ in range(START_ROUNDS if seqs else 0):
-        parts = [model.forward(g, back=True)[1:] for g in _groups(seqs)]
-        model = Model.from_counts(*(sum(p[i] for p in parts) for i in range(3)))
+    for _ in range(START_ROUNDS if n.any() else 0):
+        grouped = np.zeros((n.shape[1], STATES))
+        np.add.at(grouped, groups, model.emit)
+        joint = (emit.sum(axis=0) / emit.sum())[:, None] * model.trans
+        seen = n / ((model.emit @ joint) @ grouped.T)
+        second = seen @ grouped
+        trans = joint * (model.emit.T @ second)
+        emit = model.emit * (second @ joint.T)
+        model = Model.from_counts((emit[0] / max(emit[0].sum(), 1e-300)) @ trans, trans, emit)
+    return model
+
+
+def baum_welch(coded: DataFrame) -> Model:
+    """A model of the texts in ``coded`` (symbols): a start from their pairs of neighbours, then PASSES passes, all over all texts."""
+    model = start(coded)
     for _ in range(PASSES):
         sums = coded.select("symbols").mapInArrow(_expected(model), "i long, " + ", ".join(f"e{i} double" for i in range(STATES)))
         got = sums.groupBy("i").agg(*[F.sum(f"e{i}").alias(f"e{i}") for i in range(STATES)]).toArrow()  # one row per symbol or state
@@ -300,7 +335,7 @@ def score(documents: DataFrame, folds: int = FOLDS, fold: int = FOLD) -> DataFra
     local, counts = count(train)
     tables = spark.sparkContext.broadcast(local)
     coded = code(docs, tables)
-    shared = spark.sparkContext.broadcast(baum_welch(coded.where(~C.held_out("doc_id", folds, fold)).select("doc_id", "symbols")))
+    shared = spark.sparkContext.broadcast(baum_welch(coded.where(~C.held_out("doc_id", folds, fold)).select("symbols")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
