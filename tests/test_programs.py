@@ -50,3 +50,9 @@ def test_odd_parameters(spark):
     lined = spark.createDataFrame([(1, 1, "function f(x: str, **kw, $y = 2) {"), (1, 2, "os.system($y)"), (1, 3, "}")], "path int, line_number int, line string")
     r = P.summaries(lined).first()
     assert (r.params, r.end_line, r.returns_tainted) == ("x,$y", 3, False)
+
+
+def test_lines_are_dealt_by_number(spark):
+    lined = spark.range(1000).selectExpr("id % 50 AS path", "id AS line_number", "'function f(a) {' AS line")
+    dealt = P.deal(lined, rows=100)
+    assert dealt.rdd.getNumPartitions() == 10 and P.functions(dealt).rdd.getNumPartitions() == 10 and P.functions(dealt).count() == 1000

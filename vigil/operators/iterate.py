@@ -38,6 +38,11 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
+def parts(df: DataFrame, rows: int) -> int:
+    """Partitions for tasks of about ``rows`` rows each, as many as there are cores at least: the number grows with the table, not the tasks."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows))
+
+
 def drop(*tables: DataFrame) -> None:
     """Delete tables that cut() wrote, once nothing reads them any more."""
     for df in tables:

@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .iterate import parts
 from .taint import SANITIZERS, SINKS, SOURCES
 
 # The definition pattern for any language, call sites, words that look like calls, classes of lines.
@@ -29,6 +30,13 @@ LINE_CLASSES = (
 )
 ASSIGNMENT = r"^\s*(\w+)\s*=\s*(.+)"
 MODULE, ENTRY, EXIT = "<module>", 0, -1
+#: Lines that a task sorts at once; each becomes up to three rows.
+ROWS = 100_000
+
+
+def deal(lines: DataFrame, path: str = "path", rows: int = ROWS) -> DataFrame:
+    """``lines`` by file, dealt to as many partitions as their number asks for; the windows over a file then need no other shuffle."""
+    return lines.repartition(parts(lines, rows), path)
 
 
 def _some(c: Column) -> Column:
@@ -129,10 +137,11 @@ def summaries(lined: DataFrame, definition: str = DEFINITION) -> DataFrame:
     """
     f = functions(lined, definition).withColumn("params", parameters(F.col("line"))).drop("line")
     at = f.withColumn("line_number", F.explode(F.sequence("start_line", "end_line")))
-    key = ["path", "name", "start_line", "end_line"]
+    key, n = ["path", "name", "start_line", "end_line"], parts(lined, ROWS)
     text = lined.select("path", F.col("line_number").cast("long").alias("line_number"), F.coalesce("line", F.lit("")).alias("line"))
     body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_number", "line"))), lambda x: x["line"]), "\n")
-    whole = at.join(text, ["path", "line_number"]).groupBy(*key).agg(F.first("params").alias("params"), body.alias("body"))
+    both = [d.repartition(n, "path", "line_number") for d in (at, text)]
+    whole = both[0].join(both[1], ["path", "line_number"]).repartition(n, *key).groupBy(*key).agg(F.first("params").alias("params"), body.alias("body"))
     has = F.col("body").rlike
 
     def near(p: Column) -> Column:

@@ -30,7 +30,8 @@ f AS (SELECT path, name, line_number AS start_line, coalesce(closed, line_number
 
 
 def _code(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS path", f"{_ROW} AS line_number", f"{_LINE} AS line")
+    lines = P.deal(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate"), "l_orderkey")
+    return lines.selectExpr("l_orderkey AS path", f"{_ROW} AS line_number", f"{_LINE} AS line")
 
 
 @query(f"WITH {_EVENTS} SELECT path, name, start_line, end_line FROM f")
