@@ -172,6 +172,35 @@ def test_short_values_are_found(spark):
     assert {(r.id, r.value) for r in textscan.contains_join(texts, "text", values, "value").collect()} == {(1, "abc"), (3, "long-value.example")}
 
 
+def test_pieces_are_not_held(spark):
+    """The heads in a batch of texts take little memory, and beyond the known heads the join finds the same."""
+    import tracemalloc
+
+    import pandas as pd
+
+    from vigil.operators import textscan
+
+    batch = pd.Series(["".join(map(chr, range(k, k + 20_000))) for k in range(200, 220)])
+    tracemalloc.start()
+    assert [len(x) for x in textscan.heads_in(batch, [6], frozenset(["none"]))] == [0] * 20
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 5_000_000
+    texts = spark.createDataFrame([(1, "has abc inside"), (2, "nothing"), (3, "long-value.example here"), (4, None), (5, "ab" * 2000 + "zz")], "id long, text string")
+    values = spark.createDataFrame([("abc",), ("long-value.example",), ("",), ("zz",)], "value string")
+    got = textscan.contains_join(texts, "text", values, "value", most=0)
+    assert {(r.id, r.value) for r in got.collect()} == {(1, "abc"), (3, "long-value.example"), (5, "zz")}
+
+
+def test_tiers_are_dealt_by_number(spark):
+    from vigil.operators import correlation
+
+    v = spark.range(100).selectExpr("id AS vid", "id AS cve", "1 AS cwe", "'f' AS family", "array('w') AS words")
+    t = spark.range(3).selectExpr("id AS tid", "id AS cve", "1 AS cwe", "'f' AS family", "array('w') AS words")
+    out = correlation.tiers(v, t, {"cve": 4.0, "cwe": 3.0, "family": 2.0, "word": 1.0}, rows=10)
+    assert out.rdd.getNumPartitions() == 10 and out.count() == 300
+
+
 def test_greedy_unique(spark):
     import random
 

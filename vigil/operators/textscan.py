@@ -7,12 +7,18 @@ checked when rules are loaded: an invalid one is set aside instead of failing th
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
+
+#: Bytes that a worker hands over at once where a text gives many rows.
+HELD = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -90,6 +96,26 @@ def diff_lines(df: DataFrame, key: str, text: str) -> DataFrame:
     return named.where(F.col("line").startswith("+") & ~F.col("line").startswith("+++")).select(key, "line_number", "file", F.expr("substring(line, 2)").alias("added"))
 
 
+def _pieces(t: str, lengths: Iterable[int]) -> Iterator[str]:
+    return (t[i : i + n] for n in lengths for i in range(len(t) - n + 1))
+
+
+def heads_in(texts: pd.Series, lengths: Iterable[int], known: frozenset[str]) -> pd.Series:
+    """The known heads in each text; of a text's pieces no others are held."""
+    return texts.map(lambda t: [*{g for g in _pieces(t or "", lengths) if g in known}])
+
+
+def _cut_up(batches: Iterator[pa.RecordBatch], place: int, lengths: Iterable[int]) -> Iterator[pa.RecordBatch]:
+    """Each row with all pieces of its text, as many at once as copies of the row fit into HELD bytes."""
+    for b in batches:
+        for i, t in enumerate(b.column(place)):
+            every = [*set(_pieces(t.as_py() or "", lengths))]
+            step = max(1, HELD // max(1, b.slice(i, 1).nbytes))
+            for j in range(0, len(every), step):
+                part = every[j : j + step]
+                yield pa.RecordBatch.from_arrays([*(c.take(pa.array([i] * len(part), pa.int64())) for c in b.columns), pa.array(part, pa.string())], [*b.schema.names, "_g"])
+
+
 def contains_join(texts: DataFrame, text: str, values: DataFrame, value: str, gram: int = 6, most: int = 100_000) -> DataFrame:
     """texts rows with the values (not empty) that occur inside ``text``.
 
@@ -104,11 +130,11 @@ def contains_join(texts: DataFrame, text: str, values: DataFrame, value: str, gr
     known = frozenset(r.g for r in heads) if len(heads) <= most else None
     lengths = sorted({len(g) for g in known}) if known is not None else range(1, gram + 1)
 
-    @F.pandas_udf("array<string>")
-    def pieces(s: pd.Series) -> pd.Series:
-        every = s.map(lambda t: {t[i : i + n] for n in lengths for i in range(len(t or "") - n + 1)})
-        return every.map(lambda x: [*(x if known is None else x & known)])
-
-    a = texts.withColumn("_g", F.explode(pieces(text)))
+    if known is not None:
+        pieces = F.pandas_udf(lambda s: heads_in(s, lengths, known), "array<string>")
+        a = texts.withColumn("_g", F.explode(pieces(text)))
+    else:
+        place = texts.columns.index(text)
+        a = texts.mapInArrow(lambda batches: _cut_up(batches, place, lengths), StructType([*texts.schema.fields, StructField("_g", StringType())]))
     b = named.withColumn("_g", head)
     return a.join(b, "_g").where(F.expr(f"contains(`{text}`, `{value}`)")).drop("_g").dropDuplicates()
