@@ -54,3 +54,12 @@ def test_lines_without_a_factor_are_not_tried(spark):
 def test_nothing(spark):
     df = spark.createDataFrame([], "id long, t string")
     assert P.scan(df, "id", "t", [Rule("a", "abc")]).collect() == [] and P.scan(spark.createDataFrame([(1, "a")], "id long, t string"), "id", "t", []).collect() == []
+
+
+def test_lines_leave_in_small_batches():
+    import pyarrow as pa
+
+    b = pa.RecordBatch.from_arrays([pa.array(range(100)), pa.array(["some token here\nx\n"] * 99 + [None])], ["id", "_t"])
+    out = [*P._search([Rule("a", "token")], 1000)(iter([b]))]
+    assert max(o.num_rows for o in out) < 20 and sum(o.num_rows for o in out) == 99
+    assert out[0].slice(0, 1).to_pylist() == [{"id": 0, "line_number": 1, "line": "some token here", "_try": [0]}]

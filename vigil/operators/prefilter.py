@@ -9,20 +9,24 @@ No shuffle; the automaton is as large as the rules and is built once per worker.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 from re import _constants as P
 from re import _parser
 
 import ahocorasick
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .textscan import Rule
 
 #: A factor has at least so many characters, and a pattern at most so many factors; others are tried everywhere.
 LEAST, MOST = 3, 16
+#: Bytes of lines in question that a worker holds before it passes them on.
+HELD = 1 << 20
 
 _REPEATS = (P.MAX_REPEAT, P.MIN_REPEAT, P.POSSESSIVE_REPEAT)
 
@@ -88,39 +92,54 @@ def _automaton(needs: tuple[tuple[str, tuple[int, ...]], ...]) -> ahocorasick.Au
     return a
 
 
-def candidates(text: Column, rules: list[Rule]) -> Column:
-    """Array of (pos, rules): the lines, from 0, that hold a factor, and the places in ``rules`` to try there."""
+def _search(rules: list[Rule], held: int):
+    """Batches of (kept columns, text) to rows of (kept columns, line_number, line, _try), a few texts at a time."""
     found = [factors(r.pattern) for r in rules]
     always = frozenset(i for i, f in enumerate(found) if f is None)
     words = sorted(set().union(*(f for f in found if f)))
     needs = tuple((w, tuple(i for i, f in enumerate(found) if f and w in f)) for w in words)
 
-    @F.pandas_udf("array<struct<pos: int, rules: array<int>>>")
-    def search(texts: pd.Series) -> pd.Series:
-        a = _automaton(needs) if needs else None
-
-        def one(t: str | None) -> list[dict]:
-            if t is None:
-                return []
-            b = _plain(t)
-            ends = np.array([m.start() for m in re.finditer("\n", b)], dtype=np.int64)
-            at: dict[int, set[int]] = {i: set(always) for i in range(len(ends) + 1)} if always else {}
-            hits = list(a.iter(b)) if a else []
-            for pos, (_, which) in zip(np.searchsorted(ends, [e for e, _ in hits]).tolist(), hits, strict=True):
-                at.setdefault(pos, set()).update(which)
-            return [{"pos": p, "rules": sorted(r)} for p, r in sorted(at.items())]
-
-        return texts.map(one)
-
-    return search(text)
-
-
-def in_question(texts: DataFrame, key: str, text: str, rules: list[Rule], language: str | None = None) -> DataFrame:
+    def one(t: str) -> list[tuple[int, str, list[int]]]:
+        b, l = _plain(t), t.split("\n")
+        ends = np.array([m.start() for m in re.finditer("\n", b)], dtype=np.int64)
+        at: dict[int, set[int]] = {i: set(always) for i in range(len(l))} if always else {}
+        hits = list(_automaton(needs).iter(b)) if needs else []
+        for pos, (_, which) in zip(np.searchsorted(ends, [e for e, _ in hits]).tolist(), hits, strict=True):
+            at.setdefault(pos, set()).update(which)
+        return [(p + 1, l[p], sorted(r)) for p, r in sorted(at.items())]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = None
+        rows, some, size = [], [], 0
+
+        def out(b: pa.RecordBatch) -> pa.RecordBatch:
+            number, line, each = zip(*some) if some else ((), (), ())
+            cols = [c.take(pa.array(rows, pa.int64())) for c in b.columns[:-1]]
+            return pa.RecordBatch.from_arrays([*cols, pa.array(number, pa.int64()), pa.array(line, pa.string()), pa.array(each, pa.list_(pa.int32()))], names)
+
+        for b in batches:
+            names = [*b.schema.names[:-1], "line_number", "line", "_try"]
+            for i, t in enumerate(b.column(b.num_columns - 1)):
+                if t.is_valid:
+                    got = one(t.as_py())
+                    some += got
+                    rows += [i] * len(got)
+                    size += sum(len(l) + 64 for _, l, _ in got)
+                if size >= held:
+                    yield out(b)
+                    rows, some, size = [], [], 0
+            if some:
+                yield out(b)
+                rows, some, size = [], [], 0
+
+    return run
+
+
+def in_question(texts: DataFrame, key: str, text: str, rules: list[Rule], language: str | None = None, held: int = HELD) -> DataFrame:
     """(key, line_number from 1, line, _try): the lines on which some pattern has to be tried, and which."""
-    kept = [key, *([language] if language else [])]
-    named = texts.select(*kept, F.split(text, "\n").alias("_l"), candidates(F.col(text), rules).alias("_c"))
-    each = named.select(*kept, "_l", F.explode("_c").alias("_c"))
-    return each.select(*kept, (F.col("_c.pos") + 1).cast("long").alias("line_number"), F.element_at("_l", F.col("_c.pos") + 1).alias("line"), F.col("_c.rules").alias("_try"))
+    kept = texts.select(key, *([language] if language else []))
+    schema = StructType([*kept.schema.fields, *StructType.fromDDL("line_number long, line string, _try array<int>").fields])
+    return texts.select(*kept.columns, F.col(text).cast("string").alias("_t")).mapInArrow(_search(rules, held), schema)
 
 
 def scan(texts: DataFrame, key: str, text: str, rules: list[Rule], language: str | None = None, chunk: int = 25) -> DataFrame:
