@@ -670,6 +670,28 @@ def test_exact_leaves_decided_pairs(spark):
     assert [tuple(r) for r in minhash._exact(members, sets, 80).collect()] == [(4, 5)]
 
 
+def test_exact_join_of_a_frequent_shingle_in_small_blocks():
+    """All pairs of 1,000 sets with one shingle in common come in blocks of 131,072 at most."""
+    n = 1000
+    cols = [np.ones(n, np.int64), np.arange(n), np.arange(n), np.full(n, 39), np.zeros(n, np.int64)]
+    got = [*minhash._cross(80)(iter([pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["t", "label", "k", "n", "i"])]))]
+    assert max(b.num_rows for b in got) <= 1 << 17
+    assert {(a, b) for x in got for a, b in zip(*(c.to_pylist() for c in x.columns), strict=True)} == {(a, b) for a in range(n) for b in range(a + 1, n)}
+
+
+def test_batches_are_bounded_by_bytes(spark):
+    """A map gets 600 texts of 100,000 bytes in batches of about BATCH bytes, whatever the limit of rows."""
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], ["rows", "size"])
+
+    docs = spark.range(600, numPartitions=2).selectExpr("id", "repeat('a', 100000) text")
+    got = common.arrow(docs, run, "rows long, size long").collect()
+    assert sum(r.rows for r in got) == 600
+    assert max(r.size for r in got) <= common.BATCH + 300_000
+
+
 def test_op9_planted(spark):
     """Passages of 55 to 100 words in two documents, wrapped behind other short lines or inside text without sentence ends."""
     r = random.Random(17)

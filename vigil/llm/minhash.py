@@ -136,14 +136,14 @@ def _candidate_sets(docs: DataFrame, members: DataFrame) -> DataFrame:
     """(k, s): the full shingle set of every node that shares a bucket; the scan is thinned out before the join."""
     nodes = C.cut(members.select("k", "rep").distinct())
     sieve = C.Sieve(nodes, "rep")
-    sets = docs.select("text", *C.Sieve.places("doc_id")).mapInArrow(C.tidy(_sets(sieve.bits)), "k long, s binary")
+    sets = C.arrow(docs.select("text", *C.Sieve.places("doc_id")), _sets(sieve.bits), "k long, s binary")
     return C.cut(sets.join(nodes.select("k"), "k", "left_semi").groupBy("k").agg(F.first("s").alias("s")))
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b, ok) for ``pairs`` (member a, hub b), decided on the full sets."""
     both = pairs.join(sets.select(F.col("k").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("k").alias("b"), F.col("s").alias("sb")), "b")
-    return C.cut(both.select("a", "b", "sa", "sb").mapInArrow(C.tidy(_verify(percent)), "a long, b long, ok boolean"))
+    return C.cut(C.arrow(both.select("a", "b", "sa", "sb"), _verify(percent), "a long, b long, ok boolean"))
 
 
 def _stars(members: DataFrame, orders: list, percent: int) -> DataFrame:
@@ -167,7 +167,7 @@ def _frequencies(have: DataFrame):
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], ["cell", "n"])
 
-    got = have.select("s").mapInArrow(C.tidy(count), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).where("n > 1").toArrow()  # CELLS rows at most
+    got = C.arrow(have.select("s"), count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).where("n > 1").toArrow()  # CELLS rows at most
     n = np.ones(CELLS, dtype=np.int32)
     n[got.column("cell").to_numpy()] = np.minimum(got.column("n").to_numpy(), np.iinfo(np.int32).max)
     return have.sparkSession.sparkContext.broadcast(n)
@@ -195,7 +195,7 @@ def _prefixes(frequencies, percent: int):
     return run
 
 
-def _cross(percent: int, block: int = 1 << 21):
+def _cross(percent: int, block: int = 1 << 17):
     """Rows sorted by (t, label): pairs of a shingle's members under different labels that pass the position filter."""
 
     def pairs(t, label, k, n, i):
@@ -248,8 +248,8 @@ def _exact(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     rest = members.join(hubs.where("c > 2 and lo <> hi").select("h", F.col("hub.k").alias("hub")), "h").where("k <> hub")
     split = rest.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("h")
     have = C.cut(rest.join(split, "h", "left_semi").select("k", "label").distinct().join(sets, "k").select("k", "label", "s"))
-    rows = have.mapInArrow(C.tidy(_prefixes(_frequencies(have), percent)), "t long, label long, k long, n long, i long")
-    return rows.repartition("t").sortWithinPartitions("t", "label").mapInArrow(C.tidy(_cross(percent)), "a long, b long").distinct()
+    rows = C.arrow(have, _prefixes(_frequencies(have), percent), "t long, label long, k long, n long, i long")
+    return C.arrow(rows.repartition("t").sortWithinPartitions("t", "label"), _cross(percent), "a long, b long").distinct()
 
 
 def _grow(comp: DataFrame | None, links: DataFrame) -> DataFrame:
@@ -306,7 +306,7 @@ def assign(documents: DataFrame, percent: int = 85) -> DataFrame:
     """
     spark = documents.sparkSession
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sig = docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(C.tidy(_signatures), "doc_id long, th long, n long, k long, bands array<long>")
+    sig = C.arrow(docs.select("doc_id", F.xxhash64("text").alias("th"), "text"), _signatures, "doc_id long, th long, n long, k long, bands array<long>")
     sig = C.cut(sig)
     nodes = C.cut(sig.where("n > 0 and doc_id is not null").groupBy("k").agg(F.min(F.struct("doc_id", "th")).alias("head"), F.first("n").alias("n"), F.first("bands").alias("bands")))
     of_doc = C.cut(sig.select("doc_id", "th", "n", "k"))

@@ -115,7 +115,7 @@ def pieces(documents: DataFrame, size: int = SIZE, vocabulary: str | None = None
                         out.append(v)
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(whom, pa.int64())), *(pa.array(x, pa.int64()) for x in rows), pa.array(kept, pa.binary())], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"])
 
-    return documents.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(C.tidy(run), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary")
+    return C.arrow(documents.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text"), run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary")
 
 
 def _short(raw: bytes) -> bytes:
@@ -237,4 +237,4 @@ def pack(documents: DataFrame, size: int = SIZE, vocabulary: str | None = None)
             sequence = p[:, 0] + (rank - begins[slot])[row]
             yield pa.RecordBatch.from_arrays([b.column(0).take(which), pa.array(start), pa.array(p[:, 3]), pa.array(crc), b.column(4).take(which), pa.array(sequence), pa.array(p[:, 1])], names)
 
-    return ranked.mapInArrow(C.tidy(place), ", ".join(f"{n} long" for n in names))
+    return C.arrow(ranked, place, ", ".join(f"{n} long" for n in names))

@@ -114,7 +114,7 @@ def fit(documents: DataFrame, labels: DataFrame, column: str = "quality", sample
             x = [statistics(t) for t in C.text_bytes(b.column(0))]
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array(x, pa.list_(pa.float64()))], ["y", "x"])
 
-    rows = labelled(documents, labels, column, sample).mapInArrow(C.tidy(run), "y int, x array<double>").toArrow()
+    rows = C.arrow(labelled(documents, labels, column, sample), run, "y int, x array<double>").toArrow()
     y = rows.column("y").to_numpy()
     x = np.array(rows.column("x").to_pylist(), dtype=float).reshape(len(y), len(statistics(b"")))
     return Discriminant(x, y, pooled, identity)
@@ -129,7 +129,7 @@ def score(documents: DataFrame, model: Discriminant, threshold: float = THRESHOL
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.score(x) if len(x) else [], pa.float64())], ["doc_id", "score"])
 
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    out = docs.mapInArrow(C.tidy(run), "doc_id long, score double")
+    out = C.arrow(docs, run, "doc_id long, score double")
     return out.select("doc_id", C.held_out("doc_id", FOLDS, FOLD).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
@@ -142,4 +142,4 @@ def keep(documents: DataFrame, model: Discriminant, threshold: float = THRESHOLD
             if len(x):
                 yield b.filter(pa.array(model.score(x) >= threshold))
 
-    return documents.mapInArrow(C.tidy(run), documents.schema)
+    return C.arrow(documents, run, documents.schema)

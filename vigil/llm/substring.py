@@ -261,19 +261,19 @@ def repeats(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     ref: the shingle set of that first one, where it is not equal.
     """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    both = C.cut(docs.mapInArrow(C.tidy(_units), "doc_id long, at int, to int, k long, bands array<long>"))
+    both = C.cut(C.arrow(docs, _units, "doc_id long, at int, to int, k long, bands array<long>"))
     rows, runs = both.where("size(bands) > 0"), C.cut(both.where("size(bands) = 0").drop("bands"))
     nodes = C.cut(rows.groupBy("k").agg(F.min(F.struct("doc_id", "at")).alias("head"), F.count("*").alias("c"), F.first("bands").alias("bands")))
     places = C.cut(rows.select("doc_id", "at", "to", "k"))
     C.drop(both)
     stream = nodes.select(F.explode("bands").alias("h"), "k").repartition("h").sortWithinPartitions("h", "k")
-    members = C.cut(stream.mapInArrow(C.tidy(_shared), "h long, k long"))
+    members = C.cut(C.arrow(stream, _shared, "h long, k long"))
     small = C.cut(nodes.select("k", "head", "c"))
     C.drop(nodes)
     C.release(documents.sparkSession)
     wanted = C.cut(members.select("k").distinct().join(small.select("k", "head.doc_id"), "k"))
     sieve, named = C.Sieve(wanted, "doc_id"), C.Sieve(wanted, "k", local=True)
-    sets = docs.select("text", *C.Sieve.places("doc_id")).mapInArrow(C.tidy(_sets(sieve.bits, named.bits)), "k long, s binary")
+    sets = C.arrow(docs.select("text", *C.Sieve.places("doc_id")), _sets(sieve.bits, named.bits), "k long, s binary")
     sets = C.cut(sets.join(wanted.select("k"), "k", "left_semi").groupBy("k").agg(F.first("s").alias("s")))
     sizes = sets.select("k", (F.octet_length("s") / 8).cast("long").alias("n"))
     wide = widen(members.join(members.groupBy("h").agg(F.count("*").alias("c")), "h"), sizes)
@@ -372,4 +372,4 @@ def dedup(documents: DataFrame, percent: int = PERCENT, report: bool = False) ->
                 cols += [pa.array(n, pa.int64()), pa.array(words, pa.int64()), pa.array(spans, pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))), pa.array(firsts, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(cols, [*b.schema.names[:-1], *(REPORT if report else ())])
 
-    return both.mapInArrow(C.tidy(run), schema)
+    return C.arrow(both, run, schema)

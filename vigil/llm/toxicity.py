@@ -75,7 +75,7 @@ class Lexicon:
         """By kind of entry: whole word, each length of beginning."""
         got = self.cache.get((word, own))
         if got is None:
-            if len(self.cache) >= C.WORD_TABLE:
+            if len(self.cache) >= C.HASH_TABLE:
                 self.cache.clear()
             out = [0.0] * (1 + len(PREFIXES))
             for key in entries(word):
@@ -183,7 +183,7 @@ def fit(documents: DataFrame, labels: DataFrame, column: str = "toxic", sample:
             for t, y in zip(C.text_bytes(b.column(0)), b.column(1).to_pylist(), strict=True):
                 n[y][""] += 1
                 n[y].update({k for w in set(words(t)) for k in entries(w)})
-            if sum(map(len, n)) > C.WORD_TABLE:
+            if sum(map(len, n)) > C.HASH_TABLE:
                 yield flush(n)
         yield flush(n)
 
@@ -194,7 +194,7 @@ def fit(documents: DataFrame, labels: DataFrame, column: str = "toxic", sample:
         n[1].clear()
         return out
 
-    counts = C.cut(rows.mapInArrow(C.tidy(count), "key string, pos long, neg long").groupBy("key").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")))
+    counts = C.cut(C.arrow(rows, count, "key string, pos long, neg long").groupBy("key").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")))
     total = counts.where("key = ''").first()
     if total is None or not total.pos or not total.neg:
         return Classifier(None)
@@ -210,7 +210,7 @@ def fit(documents: DataFrame, labels: DataFrame, column: str = "toxic", sample:
             out = [votes(t, lexicon, o) for t, o in zip(C.text_bytes(b.column(0)), y, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(1), *(pa.array([x[i] for x in out], pa.list_(pa.float64())) for i in (0, 1, 2))], ["y", "v", "x", "g"])
 
-    got = rows.mapInArrow(C.tidy(vote), "y int, v array<double>, x array<double>, g array<double>").toArrow()
+    got = C.arrow(rows, vote, "y int, v array<double>, x array<double>, g array<double>").toArrow()
     y = got.column("y").to_numpy()
     v = np.array(got.column("v").to_pylist(), dtype=float)
     x = np.column_stack([v, np.array(got.column("x").to_pylist(), dtype=float)])
@@ -226,7 +226,7 @@ def score(documents: DataFrame, model: Classifier, threshold: float = THRESHOLD)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.score(C.text_bytes(b.column(1))), pa.float64())], ["doc_id", "score"])
 
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    out = docs.mapInArrow(C.tidy(run), "doc_id long, score double")
+    out = C.arrow(docs, run, "doc_id long, score double")
     return out.select("doc_id", C.held_out("doc_id", FOLDS, FOLD).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
@@ -237,4 +237,4 @@ def keep(documents: DataFrame, model: Classifier, threshold: float = THRESHOLD)
         for b in batches:
             yield b.filter(pa.array(model.score(C.text_bytes(b.column(b.schema.get_field_index("text")))) < threshold, pa.bool_()))
 
-    return documents.mapInArrow(C.tidy(run), documents.schema)
+    return C.arrow(documents, run, documents.schema)
