@@ -294,6 +294,41 @@ def test_relevance_of_classes(spark):
     assert "Aggregate" not in out._jdf.queryExecution().optimizedPlan().toString()  # pairs of rows are neither gathered nor counted
 
 
+def test_relevance_in_blocks(spark, tmp_path, monkeypatch):
+    """Ids that repeat or are null, classes of several blocks; the files of the pairs take a fraction of a byte for each."""
+    from vigil.operators import correlation as Co
+
+    schema = "{} long, category int, words array<string>"
+    c, t = [(i, 1, ["a"]) for i in range(500)], [(i, 1 + i % 2, ["a"]) for i in range(3000)]
+    c += [(7, 2, ["b", "c"]), (7, 1, ["a"]), (None, 1, ["a"])]
+    t += [(9, 1, ["b"]), (9, 1, ["a"]), (None, 1, ["a"])]
+    want = sorted((str(x[0]), str(y[0]), s) for x in c for y in t if (s := (x[1] == y[1]) * 0.5 + min(len({*x[2]} & {*y[2]}) / len(x[2]) * 0.5, 0.4)) >= 0.2)
+    tables = spark.createDataFrame(c, schema.format("cid")), spark.createDataFrame(t, schema.format("tid"))
+    Co.relevance(*tables, 0.2).write.parquet(f"{tmp_path}/one")
+    monkeypatch.setattr(Co, "CONTROLS", 90)
+    monkeypatch.setattr(Co, "THREATS", 400)
+    Co.relevance(*tables, 0.2).write.parquet(f"{tmp_path}/more")
+    for name in ("one", "more"):
+        assert sorted((str(r.cid), str(r.tid), r.score) for r in spark.read.parquet(f"{tmp_path}/{name}").toLocalIterator()) == want
+    assert sum(f.stat().st_size for f in (tmp_path / "one").glob("*.parquet")) < len(want) / 4
+
+
+def test_scored_cross_join_of_odd_rows(spark, duck, tmp_path):
+    """As its SQL: ids that repeat or are null, no category (no score), no name, names of blanks and of equal words."""
+    from vigil import catalog
+
+    duck = duck.cursor()
+    rows = {
+        "supplier": ("s_suppkey, s_nationkey", "(1::BIGINT, 1::INTEGER), (2, NULL), (2, 3), (NULL, 1), (4, 6), (5, 0)"),
+        "part": ("p_partkey, p_name, p_size", "(1::BIGINT, 'small ring', 1::INTEGER), (2, 'small ring', NULL), (3, NULL, 1), (4, '', 1), (5, 'ring ring', 2), (6, 'steel small ring', 51), (6, 'steel small ring', 51), (NULL, 'steel small', 0), (8, 'small 4', -1), (9, ' small  ring ', 3)"),
+    }
+    for name, (columns, values) in rows.items():
+        duck.sql(f"COPY (SELECT * FROM (VALUES {values}) v({columns})) TO '{tmp_path}/{name}.parquet' (FORMAT parquet)")
+        duck.sql(f"CREATE TEMP VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet'")
+    want = sorted(map(str, duck.sql(catalog.oracle_sql()["scored_cross_join"]).fetchall()))
+    assert sorted(str(tuple(r)) for r in catalog.queries()["scored_cross_join"](spark, str(tmp_path)).collect()) == want
+
+
 def test_jobs_of_one_interval_meet_events_once(spark, tmp_path):
     from vigil import catalog
 
